@@ -183,8 +183,8 @@ def pdb_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN is_hetatm THEN 'HETATM' ELSE 'ATOM' END, (atom_idx + 1) % 100000, "
         "CASE WHEN length(name) < 2 OR name IN ('CA', 'SG') THEN concat(' ', name) ELSE name END, alt_loc, res_name, "
         "chain_id, res_seq % 10000, ins_code, x, y, z, occupancy, b_factor, "
-        "CASE WHEN atom_idx % 5 = 0 THEN '' ELSE upper(element_at(array('C', 'N', 'O', 'S', 'H', 'Zn'), "
-        "array_position(array(6, 7, 8, 16, 1, 30), element))) END) AS line")
+        "CASE WHEN atom_idx % 5 = 0 THEN '' ELSE upper(element_at(array('C', 'N', 'O', 'S', 'H', 'Zn'), CAST("
+        "array_position(array(6, 7, 8, 16, 1, 30), element) AS INT))) END) AS line")
     ters = source.where("break_before").selectExpr(
         "structure_id AS file", f"{at} + 3 AS line_no", "'TER   ' AS line")
     models = source.where("atom_idx % 300 = 0").selectExpr(
@@ -214,8 +214,8 @@ def cif_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rendered = enriched(spark, sf_dir).withColumn("block", F.floor(F.col("atom_idx") / CIF_BLOCK)).selectExpr(
         "structure_id", "block", "atom_idx",
         "concat_ws(' ', CASE WHEN is_hetatm THEN 'HETATM' ELSE 'ATOM' END, CAST(atom_idx AS STRING), "
-        "CASE WHEN atom_idx % 5 = 0 THEN '?' ELSE element_at(array('C', 'N', 'O', 'S', 'H', 'ZN'), "
-        "array_position(array(6, 7, 8, 16, 1, 30), element)) END, "
+        "CASE WHEN atom_idx % 5 = 0 THEN '?' ELSE element_at(array('C', 'N', 'O', 'S', 'H', 'ZN'), CAST("
+        "array_position(array(6, 7, 8, 16, 1, 30), element) AS INT)) END, "
         "CASE WHEN atom_idx % 3 = 0 THEN concat('\"', name, '\\'\"') ELSE name END, "
         "CASE WHEN alt_loc = ' ' THEN '.' ELSE alt_loc END, res_name, chain_id, CAST(res_seq AS STRING), '?', "
         "format_string('%.3f', x), format_string('%.3f', y), CASE WHEN atom_idx % 97 = 0 THEN '?' ELSE "

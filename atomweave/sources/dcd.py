@@ -9,7 +9,8 @@
 The driver only lists paths and sizes.  A partition is a byte range of one file; its task reads the
 short file header, turns the range into whole frames (all frames have one size) and reads just those,
 so a file of any size is spread over many tasks.  Paths go through ``pyarrow.fs``: local folders,
-HDFS and object stores work alike.  Malformed files stop a read; ``report`` tells what is wrong.
+HDFS and object stores work alike.  A malformed file stops a read, or gives no rows with ``skipBad``; the
+``report`` table tells what is wrong.
 """
 
 from __future__ import annotations
@@ -128,32 +129,54 @@ def load_layout(handle) -> Layout:
     return read_layout(start)
 
 
-class Slice(InputPartition):
+@dataclass(frozen=True)
+class Slice:
     """Byte range of one file."""
+    path: str
+    size: int
+    start: int
+    stop: int
+
+
+class Pack(InputPartition):
+    """Slices read by one task: one range of a large file, or several small files."""
+
+    def __init__(self, slices: list[Slice]):
+        super().__init__(tuple(slices))
+        self.slices = slices
 
-    def __init__(self, path: str, size: int, start: int, stop: int):
-        super().__init__((path, start))
-        self.path, self.size, self.start, self.stop = path, size, start, stop
+
+def pack(slices: list[Slice], limit: int) -> list[Pack]:
+    packs, filled = [], 0
+    for one in slices:
+        size = one.stop - one.start
+        if not packs or filled + size > limit:
+            packs.append([])
+            filled = 0
+        packs[-1].append(one)
+        filled += size
+    return [Pack(slices) for slices in packs]
 
 
 class TrajectoryReader(DataSourceReader):
     def __init__(self, options: dict, table: str):
         self.location = options["path"]
         self.table = table
+        self.skip_bad = str(options.get("skipbad", options.get("skipBad", "false"))).lower() == "true"
         self.stride = max(1, int(options.get("stride", 1)))
         self.max_frames = int(options.get("maxframes", options.get("maxFrames", 0)))
         self.split_bytes = max(1, int(options.get("splitbytes", options.get("splitBytes", 64 << 20))))
 
-    def partitions(self) -> list[Slice]:
+    def partitions(self) -> list[Pack]:
         system, base = pafs.FileSystem.from_uri(self.location) if "://" in self.location or self.location.startswith(
             "file:") else (pafs.LocalFileSystem(), self.location)
         found = system.get_file_info(pafs.FileSelector(base, recursive=True)) \
             if system.get_file_info(base).type == pafs.FileType.Directory else [system.get_file_info(base)]
         files = sorted((f.path, f.size) for f in found if f.is_file and f.path.lower().endswith(".dcd"))
         if self.table == "report":
-            return [Slice(path, size, 0, size) for path, size in files]
-        return [Slice(path, size, start, min(size, start + self.split_bytes))
-                for path, size in files for start in range(0, max(size, 1), self.split_bytes)]
+            return pack([Slice(path, size, 0, size) for path, size in files], self.split_bytes)
+        return pack([Slice(path, size, start, min(size, start + self.split_bytes))
+                     for path, size in files for start in range(0, max(size, 1), self.split_bytes)], self.split_bytes)
 
     def _open(self, path: str):
         if "://" in self.location or self.location.startswith("file:"):
@@ -162,14 +185,21 @@ class TrajectoryReader(DataSourceReader):
             system = pafs.LocalFileSystem()
         return system.open_input_file(path)
 
-    def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
-        if partition is None:
-            return
+    def read(self, partition: Pack) -> Iterator[pa.RecordBatch]:
+        for one in partition.slices if partition is not None else []:
+            yield from self._read_slice(one)
+
+    def _read_slice(self, partition: Slice) -> Iterator[pa.RecordBatch]:
         with self._open(partition.path) as handle:
             if self.table == "report":
                 yield self._report(handle, partition)
                 return
-            layout = load_layout(handle)
+            try:
+                layout = load_layout(handle)
+            except BadTrajectory:
+                if self.skip_bad:
+                    return
+                raise
             # a frame belongs to the slice in which it starts
             skip = layout.first_frame
             first = max(0, -(-(partition.start - skip) // layout.frame_size))

@@ -16,7 +16,7 @@ def landed_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
 
 def with_freshness(files: DataFrame, now: Column, max_age_days: int) -> DataFrame:
     """Add ``is_fresh``: not empty and younger than the limit; a limit of zero or less never expires."""
-    age = F.unix_micros(now) - F.unix_micros("modificationTime")
+    age = F.unix_micros(now) - F.unix_micros(F.col("modificationTime").cast("timestamp"))
     young = F.lit(True) if max_age_days <= 0 else age < F.lit(max_age_days * 86_400_000_000)
     return files.withColumn("is_fresh", (F.col("length") > 0) & F.coalesce(young, F.lit(False)))
 
