@@ -235,7 +235,7 @@ def distance_band(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("b20_step_decisions", f"""
     SELECT structure_id, tick, mol_id, {q('1 - exp(-rate * 0.5)')} AS probability,
-      radius > 0 AND rate > 0 AND {D2} <= radius * radius * 100 AND roll < 1 - exp(-rate * 0.5) AS binds,
+      radius > 0 AND rate > 0 AND {D2} <= (radius * 10) * (radius * 10) AND roll < 1 - exp(-rate * 0.5) AS binds,
       rate > 0 AND roll < 1 - exp(-rate * 0.5) AS unbinds
     FROM (SELECT *, (species % 4)::DOUBLE AS rate FROM snapshots)""", "snapshots")
 def step_decisions(spark: SparkSession, sf: str) -> DataFrame:

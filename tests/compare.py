@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import sys
 import time
+from collections import Counter
 
 import duckdb
 
@@ -46,9 +47,19 @@ def differences(ours: tuple, theirs: tuple) -> str | None:
         return f"columns {ours[0]} != {theirs[0]}"
     if len(ours[1]) != len(theirs[1]):
         return f"rows {len(ours[1])} != {len(theirs[1])}: {ours[1][:2]} / {theirs[1][:2]}"
-    wrong = [(a, b) for a, b in zip(ours[1], theirs[1])
-             if a != b or [type(v) for v in a] != [type(v) for v in b] or "-0.0" in (str(v) for v in a + b)]
-    return f"{len(wrong)} rows differ, first {wrong[0][0]} / {wrong[0][1]}" if wrong else None
+    for row in ours[1] + theirs[1]:
+        if any(isinstance(v, float) and v == 0 and math.copysign(1, v) < 0 for v in row):
+            return f"negative zero in {row}"
+    left, right = Counter(ours[1]), Counter(theirs[1])
+    only_left, only_right = list((left - right).elements()), list((right - left).elements())
+    if only_left or only_right:
+        return f"{len(only_left)} rows differ, ours {only_left[:2]} / sql {only_right[:2]} ({ours[0]})"
+    types = [{type(row[i]) for row in side if row[i] is not None} for side in (ours[1], theirs[1])
+             for i in range(len(ours[0]))]
+    half = len(types) // 2
+    if types[:half] != types[half:]:
+        return f"types differ {types}"
+    return None
 
 
 def check(spark, sf_dir: str, name: str, function, sql: str | None, connection) -> tuple[str | None, int, float, float]:
