@@ -71,8 +71,10 @@ def density_field(atoms: DataFrame, grid: DataFrame, sharpness: float = -2.3, ke
         raise ValueError("sharpness has to be negative")
     places = atoms.groupBy(*keys, "x", "y", "z", "r").agg(F.count(F.lit(1)).alias("_n"))
     placed = places.join(grid, list(keys))
-    block = [F.floor((F.col(a) - F.col(f"origin_{a}")) / (F.col("voxel") * per_block)) for a in "xyz"]
-    spread = placed.hint("rebalance", *[F.col(k) for k in keys], *block)
+    blocks = [f"_b{a}" for a in "xyz"]
+    placed = placed.withColumns({f"_b{a}": F.floor((F.col(a) - F.col(f"origin_{a}")) / (F.col("voxel") * per_block))
+                                 for a in "xyz"})
+    spread = placed.hint("rebalance", *[F.col(c) for c in (*keys, *blocks)])
 
     def index(axis: str, sign: int) -> Column:
         return (F.col(axis) + sign * F.col("reach") - F.col(f"origin_{axis}")) / F.col("voxel")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tables import MAX_COVALENT_RADIUS
+from ..session import stage
 from . import grid
 
 KEY = ("structure_id",)
@@ -32,9 +33,10 @@ def bonds(atoms: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Bonds by distance: 0.4 Å <= d <= r1 + r2 + 0.45 Å, each pair once with atom_a < atom_b.
 
     Two grid joins instead of one sized for the largest element: common atoms among themselves in
-    small cells, and every atom against the rare large ones in wide cells.
+    small cells, and every atom against the rare large ones in wide cells.  The five columns needed
+    are staged once because both joins read them on both sides.
     """
-    points = atoms.select(*keys, "atom_idx", "x", "y", "z", F.col("covalent_radius").alias("r"))
+    points = stage(atoms.select(*keys, "atom_idx", "x", "y", "z", F.col("covalent_radius").alias("r")), "bond_points")
     points, members = grid.collapse_copies(points, keys, ["x", "y", "z", "r"], "atom_idx")
     reach = F.col("r") + F.col("r_r") + BOND_TOLERANCE
     d2 = grid.distance2()
@@ -104,11 +106,11 @@ def nearest_partner(molecules: DataFrame, cell_size: float, keys: Sequence[str]
     answered by the smallest two ids of the place; only places are paired with places.
     """
     place = [*keys, "x", "y", "z"]
-    # two smallest ids per place: both aggregates are partial, no list is built
-    smallest = molecules.groupBy(*place).agg(F.min(idx).alias("_id"), F.count(F.lit(1)).alias("_n"))
-    rest = molecules.join(smallest, place).where(F.col(idx) != F.col("_id"))
-    second = rest.groupBy(*place).agg(F.min(idx).alias("_second"))
-    sites = smallest.join(second, place, "left")
+    # the two smallest ids per place; the group limit cuts copies before the shuffle
+    rank = F.row_number().over(Window.partitionBy(*place).orderBy(idx))
+    smallest = molecules.select(*place, idx).withColumn("_rank", rank).where(F.col("_rank") <= 2)
+    sites = smallest.groupBy(*place).agg(
+        F.min(idx).alias("_id"), F.max(F.when(F.col("_rank") == 2, F.col(idx))).alias("_second"))
     crowded = sites.where(F.col("_second").isNotNull()).select(*place, "_id", "_second")
     together = (molecules.join(crowded, place)
                 .select(*keys, idx, F.when(F.col(idx) == F.col("_id"), F.col("_second"))

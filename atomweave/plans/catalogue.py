@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import joining, projecting, reading  # noqa: F401
+from . import joining, ordering, projecting, reading  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import chemistry, tables
 from ..functions.selection import load_filter
 from ..operators import assemble, scans
+from ..session import stage
 
 ATOM_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_shipdate",
               "l_discount", "l_tax"]
@@ -46,9 +47,12 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Atoms kept by the default load options, numbered into residues and chains."""
+    """Atoms kept by the default load options, numbered into residues and chains.
+
+    Staged, as an assembled atom table would be: every operator after it reads it several times.
+    """
     kept = enriched(spark, sf_dir).where(load_filter()).withColumnRenamed("atom_idx", "line_no")
-    return assemble.number_runs(kept)
+    return stage(assemble.number_runs(kept), "numbered")
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
