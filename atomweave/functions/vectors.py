@@ -17,6 +17,20 @@ def vec(source: str | Column, names=("x", "y", "z")) -> Vector:
     return tuple(base.getField(n) for n in names)
 
 
+def vec0(source: str | Column, names=("x", "y", "z")) -> Vector:
+    """Components of a struct column with zero for null.
+
+    For formulas whose result is only used under a condition that the vectors are there: without
+    null checks the generated code stays small enough to be compiled by the JVM.
+    """
+    return tuple(F.coalesce(c, F.lit(0.0)) for c in vec(source, names))
+
+
+def flat(source: str | Column, prefix: str) -> list[Column]:
+    """Zero-filled components as columns ``<prefix>x, <prefix>y, <prefix>z``."""
+    return [c.alias(f"{prefix}{n}") for c, n in zip(vec0(source), "xyz")]
+
+
 def columns(prefix: str = "", suffix: str = "") -> Vector:
     """Components held in flat columns such as ``x_r, y_r, z_r``."""
     return tuple(F.col(f"{prefix}{a}{suffix}") for a in "xyz")

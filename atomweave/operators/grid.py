@@ -42,11 +42,9 @@ def candidates(left: DataFrame, right: DataFrame, keys: Sequence[str], edge: flo
     ``how='left_semi'`` the join stops at the first match.
     """
     tiles = [f"_t{a}" for a in AXES]
-    lhs, rhs = left, right
-    for axis in AXES:
-        lhs = lhs.withColumn(f"_c{axis}", cell(axis, edge))
-        lhs = lhs.withColumn(f"_t{axis}", tile_of(F.col(f"_c{axis}"), per_tile))
-        rhs = rhs.withColumn(f"_c{axis}", cell(axis, edge))
+    cells = {f"_c{a}": cell(a, edge) for a in AXES}
+    lhs = left.withColumns(cells | {f"_t{a}": tile_of(cells[f"_c{a}"], per_tile) for a in AXES})
+    rhs = right.withColumns(cells)
     for axis in AXES:
         own = F.col(f"_c{axis}")
         rhs = rhs.withColumn(f"_t{axis}", F.explode(

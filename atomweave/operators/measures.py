@@ -103,11 +103,11 @@ def measure_tuples(tuples: DataFrame, atoms: DataFrame, keys: Sequence[str] = KE
     found = (long.join(atoms.select(*keys, "atom_idx", place.alias("_p")), [*keys, "atom_idx"], "left")
              .groupBy(*keys, tuple_id)
              .agg(*[F.max(F.when(F.col("_slot") == i, F.col("_p"))).alias(f"_{s}") for i, s in enumerate(slots)]))
-    a, b, c, d = (v.vec(f"_{s}") for s in slots)
+    a, b, c, d = (v.vec0(f"_{s}") for s in slots)
     have = {s: F.col(f"_{s}").isNotNull() for s in slots}
     return found.select(
         *keys, tuple_id,
-        v.distance(a, b).alias("distance"),
+        F.when(have["a"] & have["b"], v.distance(a, b)).alias("distance"),
         F.when(have["a"] & have["b"] & have["c"], v.angle_degrees(a, b, c)).alias("angle"),
         F.when(have["a"] & have["b"] & have["c"] & have["d"], v.dihedral_degrees(a, b, c, d)).alias("dihedral"))
 

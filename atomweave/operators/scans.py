@@ -119,24 +119,24 @@ def runs(df: DataFrame, keys: Sequence[str], ordinal: str, state: Column,
     last row of the block before it.
     """
     order, upto_here = inside(keys, [ordinal]), upto(keys, [ordinal])
-    local = (tag(df, ordinal, width).withColumn("_state", state)
-             .withColumn("_prev", F.lag("_state").over(order))
-             .withColumn("_row", F.row_number().over(order) - 1))
-    for name, starts in breaks.items():
-        inner = F.col("_prev").isNotNull() & starts(F.col("_state"), F.col("_prev"))
-        local = local.withColumn(f"_s_{name}", F.when(inner, 1).otherwise(0))
-    for name in positions:
-        local = local.withColumn(f"_at_{name}", F.when(F.col(f"_s_{name}") == 1, F.col("_row")))
+    local = tag(df, ordinal, width).withColumn("_state", state).withColumns(
+        {"_prev": F.lag("_state").over(order), "_row": F.row_number().over(order) - 1})
+    inner = {name: F.col("_prev").isNotNull() & starts(F.col("_state"), F.col("_prev"))
+             for name, starts in breaks.items()}
+    local = local.withColumns(
+        {f"_s_{name}": F.when(starts, 1).otherwise(0) for name, starts in inner.items()}
+        | {f"_at_{name}": F.when(inner[name], F.col("_row")) for name in positions})
     summary = local.groupBy(*keys, "_blk").agg(
         F.count(F.lit(1)).alias("_n"),
         F.min_by("_state", ordinal).alias("_first"), F.max_by("_state", ordinal).alias("_last"),
         *[F.sum(f"_s_{name}").alias(f"_c_{name}") for name in breaks],
         *[F.max(f"_at_{name}").alias(f"_m_{name}") for name in positions])
-    blocks = (summary.withColumn("_before", F.lag("_last").over(across(keys)))
-              .withColumn("_base", F.coalesce(F.sum("_n").over(earlier(keys)), F.lit(0))))
-    for name, starts in breaks.items():
-        opens = F.col("_before").isNull() | starts(F.col("_first"), F.col("_before"))
-        blocks = blocks.withColumn(f"_o_{name}", F.when(opens, 1).otherwise(0))
+    blocks = summary.withColumns({
+        "_before": F.lag("_last").over(across(keys)),
+        "_base": F.coalesce(F.sum("_n").over(earlier(keys)), F.lit(0))})
+    blocks = blocks.withColumns({
+        f"_o_{name}": F.when(F.col("_before").isNull() | starts(F.col("_first"), F.col("_before")), 1).otherwise(0)
+        for name, starts in breaks.items()})
     so_far = across(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     columns = [F.col("_base")]
     for name in breaks:
@@ -149,11 +149,10 @@ def runs(df: DataFrame, keys: Sequence[str], ordinal: str, state: Column,
                        .alias(f"_r_{name}"))
         columns.append(F.coalesce(F.lead(f"_o_{name}").over(across(keys)), F.lit(1)).alias(f"_x_{name}"))
     bases = blocks.select(*keys, "_blk", *columns)
-    for name in breaks:
-        local = local.withColumn(name, F.sum(f"_s_{name}").over(upto_here))
-    for name in positions:
-        local = (local.withColumn(f"_run_{name}", F.max(f"_at_{name}").over(upto_here))
-                 .withColumn(f"_next_{name}", F.lead(f"_s_{name}").over(order)))
+    local = local.withColumns(
+        {name: F.sum(f"_s_{name}").over(upto_here) for name in breaks}
+        | {f"_run_{name}": F.max(f"_at_{name}").over(upto_here) for name in positions}
+        | {f"_next_{name}": F.lead(f"_s_{name}").over(order) for name in positions})
     joined = attach(local, keys, bases)
     result = [F.col(c) for c in df.columns if c not in breaks and c != index]
     if index:

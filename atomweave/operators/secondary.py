@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
+from ..session import stage
 from . import grid, scans
 
 KEY = ("structure_id",)
@@ -55,16 +56,18 @@ def estimate_amide_h(backbone: DataFrame, keys: Sequence[str] = KEY) -> DataFram
     with_prev = blocks.withColumn(
         "_p", F.lag(F.struct("residue_idx", "chain_idx", "complete", "c", "o")).over(window))
     with_prev = scans.drop_halo(with_prev)
-    carbonyl = v.sub(v.vec("_p.c"), v.vec("_p.o"))
-    direction = v.unit(carbonyl)
+    carbonyl = v.sub(v.vec0("_p.c"), v.vec0("_p.o"))
+    link = v.sub(v.vec0("_p.c"), v.vec0("n"))
+    measured = with_prev.withColumns({"_cx": carbonyl[0], "_cy": carbonyl[1], "_cz": carbonyl[2],
+                                      "_len": v.length(carbonyl), "_link2": v.dot(link, link)})
     donor = (F.col("complete") & F.col("_p.complete")
              & (F.col("_p.residue_idx") == F.col("residue_idx") - 1)
              & (F.col("_p.chain_idx") == F.col("chain_idx"))
              & (F.upper("res_name") != "PRO")
-             & (v.distance(v.vec("_p.c"), v.vec("n")) <= PEPTIDE_MAX)
-             & ~v.nearly_zero(direction))
-    hydrogen = v.pack(v.add(v.vec("n"), v.scale(direction, NH_LENGTH)))
-    return with_prev.withColumn("h", F.when(donor, hydrogen)).drop("_p")
+             & (F.col("_link2") <= PEPTIDE_MAX ** 2) & (F.col("_len") >= 1e-4))
+    step = v.scale(v.columns("_c"), F.lit(NH_LENGTH) / F.col("_len"))
+    hydrogen = v.pack(v.add(v.vec0("n"), step))
+    return measured.withColumn("h", F.when(donor, hydrogen)).drop("_p", "_cx", "_cy", "_cz", "_len", "_link2")
 
 
 def bond_energy(n: v.Vector, h: v.Vector, c: v.Vector, o: v.Vector) -> Column:
@@ -83,19 +86,20 @@ def hydrogen_bonds(backbone: DataFrame, keys: Sequence[str] = KEY, best_only: bo
     same while a pile of copies is not paired row by row.
     """
     whole = backbone.where("complete")
-    flat = [F.col(f"ca.{a}").alias(a) for a in "xyz"]
-    donors = whole.where(F.col("h").isNotNull()).select(*keys, "residue_idx", "chain_idx", *flat, "n", "h")
-    acceptors = whole.select(*keys, "residue_idx", "chain_idx", *flat, "c", "o")
+    shared = [*keys, "residue_idx", "chain_idx", *v.flat("ca", "")]
+    donors = whole.where(F.col("h").isNotNull()).select(*shared, *v.flat("n", "n"), *v.flat("h", "h"))
+    acceptors = whole.select(*shared, *v.flat("c", "c"), *v.flat("o", "o"))
     if best_only:
-        rank = F.row_number().over(Window.partitionBy(*keys, "x", "y", "z", "c", "o").orderBy("residue_idx"))
+        spot = ["x", "y", "z", *[f"{p}{a}" for p in "co" for a in "xyz"]]
+        rank = F.row_number().over(Window.partitionBy(*keys, *spot).orderBy("residue_idx"))
         acceptors = acceptors.withColumn("_rank", rank).where(F.col("_rank") <= 5).drop("_rank")
+    energy = bond_energy(v.columns("n"), v.columns("h"), v.columns("c", "_r"), v.columns("o", "_r"))
     apart = F.abs(F.col("residue_idx") - F.col("residue_idx_r")) >= 2
+    # cheap tests first: the energy is only computed for pairs that are close enough
     near = grid.candidates(donors, acceptors, keys, CA_CUTOFF,
-                           condition=apart & (grid.distance2() <= CA_CUTOFF ** 2))
-    energy = bond_energy(v.vec("n"), v.vec("h"), v.vec("c_r"), v.vec("o_r"))
-    return (near.select(*keys, F.col("residue_idx").alias("nh"), F.col("residue_idx_r").alias("co"),
-                        energy.alias("energy"), (F.col("chain_idx") == F.col("chain_idx_r")).alias("same_chain"))
-            .where(F.col("energy") < BOND_ENERGY))
+                           condition=(grid.distance2() <= CA_CUTOFF ** 2) & apart & (energy < BOND_ENERGY))
+    return near.select(*keys, F.col("residue_idx").alias("nh"), F.col("residue_idx_r").alias("co"),
+                       energy.alias("energy"), (F.col("chain_idx") == F.col("chain_idx_r")).alias("same_chain"))
 
 
 def best_two(bonds: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
@@ -177,9 +181,13 @@ def assign(residues: DataFrame, backbone: DataFrame, bonds: DataFrame, keys: Seq
 
 
 def compute(atoms: DataFrame, residues: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
-    """Atoms and residues to residue states."""
-    backbone = estimate_amide_h(gather_backbone(atoms, keys), keys)
-    bonds = best_two(hydrogen_bonds(backbone, keys, best_only=True), keys)
+    """Atoms and residues to residue states.
+
+    The gathered backbone (one row per residue) and the chosen bonds (at most two per residue) are
+    staged, because several patterns read them.
+    """
+    backbone = stage(estimate_amide_h(gather_backbone(atoms, keys), keys), "backbone")
+    bonds = stage(best_two(hydrogen_bonds(backbone, keys, best_only=True), keys), "hydrogen_bonds")
     return assign(residues, backbone, bonds, keys)
 
 
@@ -195,10 +203,10 @@ def torsions(backbone: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
         return ((F.col(f"{side}.residue_idx") == F.col("residue_idx") + step)
                 & (F.col(f"{side}.chain_idx") == F.col("chain_idx")))
 
-    n, ca, c = v.vec("n"), v.vec("ca"), v.vec("c")
-    phi = v.dihedral_degrees(v.vec("_p.c"), n, ca, c)
-    psi = v.dihedral_degrees(n, ca, c, v.vec("_f.n"))
-    omega = v.dihedral_degrees(v.vec("_p.ca"), v.vec("_p.c"), n, ca)
+    n, ca, c = v.vec0("n"), v.vec0("ca"), v.vec0("c")
+    phi = v.dihedral_degrees(v.vec0("_p.c"), n, ca, c)
+    psi = v.dihedral_degrees(n, ca, c, v.vec0("_f.n"))
+    omega = v.dihedral_degrees(v.vec0("_p.ca"), v.vec0("_p.c"), n, ca)
     has = F.col("n").isNotNull() & F.col("ca").isNotNull() & F.col("c").isNotNull()
     before = has & linked("_p", -1) & F.col("_p.c").isNotNull()
     return framed.select(

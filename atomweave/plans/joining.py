@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import appearance, chemistry, identifiers, selection as sel
 from ..operators import assemble, binding, density, exports, grid, measures, neighbours, secondary, trajectory
+from ..session import stage
 from ..sources import manifest
 from . import fixtures as fx
 from .projecting import FILE_STATES, ORIGIN, origins
@@ -145,7 +146,7 @@ CONTACT_VIEWS = {"nearest": NEAREST, "contacts": CONTACTS}
 
 
 def contacts(spark: SparkSession, sf: str) -> DataFrame:
-    return neighbours.contacts(fx.snapshots(spark, sf), CELL)
+    return neighbours.contacts(stage(fx.snapshots(spark, sf), "snapshots"), CELL)
 
 
 @query("j5_nearest_partner", f"""

@@ -223,7 +223,7 @@ EVENTS = {
 
 
 def decided(spark: SparkSession, sf: str) -> DataFrame:
-    return binding.decisions(contacts(spark, sf), P_BIND, P_UNBIND, DT)
+    return stage(binding.decisions(contacts(spark, sf), P_BIND, P_UNBIND, DT), "decisions")
 
 
 @query("f11_binding_episodes", "SELECT structure_id, mol_id, tick, bound FROM walk", "snapshots", extra=EVENTS)
@@ -436,7 +436,7 @@ def box_lengths(spark: SparkSession, sf: str) -> DataFrame:
 @query("s1_binding_stream", "SELECT structure_id, mol_id, tick, bound, bound_to FROM walk", "snapshots", extra=EVENTS)
 def binding_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Contact rows land in files of later and later ticks and are processed as a stream."""
-    rows = stage(decided(spark, sf), "contacts").select(
+    rows = decided(spark, sf).select(
         "structure_id", "mol_id", "tick", "partner_id", "bind", "unbind")
     landed, target = fresh_path(spark, "contact-stream"), fresh_path(spark, "binding-states")
     for low, high in ((None, 10), (10, 20), (20, None)):
