@@ -84,22 +84,24 @@ def pack(a: Vector) -> Column:
     return F.struct(*[c.alias(n) for c, n in zip(a, "xyz")])
 
 
-def angle_degrees(a: Vector, b: Vector, c: Vector) -> Column:
-    """Angle at ``b``; null when one leg has no length."""
-    p, q = sub(a, b), sub(c, b)
+def angle_between(p: Vector, q: Vector) -> Column:
+    """Angle between two vectors; null when one has no length."""
     cosine = dot(p, q) / F.sqrt(dot(p, p) * dot(q, q))
     flat = (dot(p, p) < SMALL) | (dot(q, q) < SMALL)
     return F.when(~flat, F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))))
 
 
-def dihedral_degrees(a: Vector, b: Vector, c: Vector, d: Vector) -> Column:
+def torsion(middle: Vector, n1: Vector, n2: Vector) -> Column:
     """Signed torsion in the chemists' convention (right-handed helix: negative phi); 0 when collinear.
 
     With n1, n2 the plane normals and u the unit middle bond, the torsion is
     atan2(u . (n1 x n2), n1 . n2).
     """
-    middle = sub(c, b)
-    n1, n2 = cross(sub(b, a), middle), cross(middle, sub(d, c))
     sine = dot(middle, cross(n1, n2)) / length(middle)
-    torsion = F.degrees(F.atan2(sine, dot(n1, n2)))
-    return F.when(nearly_zero(n1) | nearly_zero(n2), F.lit(0.0)).otherwise(torsion)
+    return F.when(nearly_zero(n1) | nearly_zero(n2), F.lit(0.0)).otherwise(F.degrees(F.atan2(sine, dot(n1, n2))))
+
+
+def dihedral_degrees(a: Vector, b: Vector, c: Vector, d: Vector) -> Column:
+    """Torsion of four points."""
+    middle = sub(c, b)
+    return torsion(middle, cross(sub(b, a), middle), cross(middle, sub(d, c)))

@@ -103,13 +103,21 @@ def measure_tuples(tuples: DataFrame, atoms: DataFrame, keys: Sequence[str] = KE
     found = (long.join(atoms.select(*keys, "atom_idx", place.alias("_p")), [*keys, "atom_idx"], "left")
              .groupBy(*keys, tuple_id)
              .agg(*[F.max(F.when(F.col("_slot") == i, F.col("_p"))).alias(f"_{s}") for i, s in enumerate(slots)]))
-    a, b, c, d = (v.vec0(f"_{s}") for s in slots)
     have = {s: F.col(f"_{s}").isNotNull() for s in slots}
+    # legs and plane normals become columns of their own, so each is computed once
+    points = {s: v.vec0(f"_{s}") for s in slots}
+    legs = {"u": ("a", "b"), "v": ("b", "c"), "w": ("c", "d")}
+    found = found.withColumns({f"_{leg}{x}": q for leg, (p, s) in legs.items()
+                               for x, q in zip("xyz", v.sub(points[s], points[p]))})
+    first, middle, last = (v.columns(f"_{leg}") for leg in legs)
+    found = found.withColumns({f"_{n}{x}": q for n, (p, s) in {"m": (first, middle), "n": (middle, last)}.items()
+                               for x, q in zip("xyz", v.cross(p, s))})
     return found.select(
         *keys, tuple_id,
-        F.when(have["a"] & have["b"], v.distance(a, b)).alias("distance"),
-        F.when(have["a"] & have["b"] & have["c"], v.angle_degrees(a, b, c)).alias("angle"),
-        F.when(have["a"] & have["b"] & have["c"] & have["d"], v.dihedral_degrees(a, b, c, d)).alias("dihedral"))
+        F.when(have["a"] & have["b"], v.length(first)).alias("distance"),
+        F.when(have["a"] & have["b"] & have["c"], v.angle_between(v.scale(first, -1.0), middle)).alias("angle"),
+        F.when(have["a"] & have["b"] & have["c"] & have["d"],
+               v.torsion(middle, v.columns("_m"), v.columns("_n"))).alias("dihedral"))
 
 
 def secondary_composition(residues: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:

@@ -34,11 +34,29 @@ TOKEN = re.compile(
 
 
 def tokens(text: str) -> Iterator[tuple[str, bool]]:
-    """Values in order, each with whether it was quoted."""
-    for match in TOKEN.finditer(text):
-        kind = match.lastgroup
-        if kind is not None:
-            yield match.group(kind), kind != "word"
+    """Values in order, each with whether it was quoted.
+
+    Lines without quotes, comments and text fields, nearly all of a file, are split into words at
+    once; the pattern only works through the others.
+    """
+    at, size = 0, len(text)
+    while at < size:
+        end = text.find("\n", at)
+        end = size if end < 0 else end
+        line = text[at:end]
+        if "'" not in line and '"' not in line and "#" not in line and line[:1] != ";" and line.isascii():
+            for word in line.split():
+                yield word, False
+            at = end + 1
+            continue
+        at, start = size, at
+        for match in TOKEN.finditer(text, start):
+            kind = match.lastgroup
+            if kind is not None:
+                yield match.group(kind), kind != "word"
+            if match.end() >= end:
+                at = match.end()
+                break
 
 
 def ends_section(token: str, quoted: bool) -> bool:
@@ -129,7 +147,14 @@ def category_rows(texts: DataFrame, keys: Sequence[str] = KEY, text: str = "valu
                     data.append(pa.array([p[0] for p in pending], type=pa.int64()))
                     data.append(pa.array([p[1] for p in pending], type=pa.string()))
                     data.append(pa.array([p[2] for p in pending], type=pa.int64()))
-                    data.append(pa.array([list(p[3].items()) for p in pending], type=items_type))
+                    ends, names_flat, values_flat = [0], [], []
+                    for _, _, _, items in pending:
+                        names_flat.extend(items.keys())
+                        values_flat.extend(items.values())
+                        ends.append(len(names_flat))
+                    data.append(pa.MapArray.from_arrays(
+                        pa.array(ends, type=pa.int32()), pa.array(names_flat, type=pa.string()),
+                        pa.array(values_flat, type=pa.string())).cast(items_type))
                     return pa.RecordBatch.from_arrays(data, names=[*names, "ordinal", "category", "row", "items"])
 
                 for category, row, items in rows_of(text_value, wanted):
