@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from . import tables
 
 # Accepted forms of identifiers (fixed patterns of the two archives).
-ENTRY_PATTERN = "^([1-9][A-Z0-9]{3}|PDB_[A-Z0-9]{8})$"
-ACCESSION_PATTERN = "^([OPQ][0-9][A-Z0-9]{3}[0-9]|[A-NR-Z][0-9]([A-Z][A-Z0-9]{2}[0-9]){1,2})$"
+ENTRY_PATTERN = "^([1-9][A-Z0-9]{3}|PDB_[A-Z0-9]{8})\\z"
+ACCESSION_PATTERN = "^([OPQ][0-9][A-Z0-9]{3}[0-9]|[A-NR-Z][0-9]([A-Z][A-Z0-9]{2}[0-9]){1,2})\\z"
 
 SOURCE_SLUGS = {"archive": "rcsb", "prediction": "alphafold"}
 
