@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 AXES = ("x", "y", "z")
 COPIES = 64
 
@@ -86,13 +88,13 @@ def collapse_copies(points: DataFrame, keys: Sequence[str], same: Sequence[str],
     Returns ``(representatives, members)``.  ``members`` lists ``(keys, idx, member)`` for sites with
     more than ``more_than`` identical rows only, so it is normally empty and adaptive execution
     drops the joins with it; with many copies it keeps a join from pairing the copies of one place
-    with each other.
+    with each other.  The marked points are staged once, as a self join reads them on both sides.
     """
     site = [*keys, *same]
     heavy = (points.groupBy(*site)
              .agg(F.count(F.lit(1)).alias("_n"), F.min(idx).alias("_rep"))
              .where(F.col("_n") > more_than).drop("_n"))
-    marked = points.join(heavy, site, "left")
+    marked = stage(points.join(heavy, site, "left"), "points")
     representatives = marked.where(F.col("_rep").isNull() | (F.col("_rep") == F.col(idx))).drop("_rep")
     members = (marked.where(F.col("_rep").isNotNull())
                .select(*keys, F.col("_rep").alias(idx), F.col(idx).alias("member")))

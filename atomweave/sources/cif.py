@@ -19,6 +19,11 @@ from pyspark.sql import functions as F
 KEY = ("file",)
 CATEGORIES = ("atom_site", "entry", "struct", "exptl", "refine", "struct_conf", "struct_sheet_range", "ma_qa_metric")
 
+# Items of an atom row that are read.
+ATOM_ITEMS = ("group_pdb type_symbol label_atom_id auth_atom_id label_alt_id label_comp_id auth_comp_id label_asym_id "
+              "auth_asym_id label_seq_id auth_seq_id pdbx_pdb_ins_code cartn_x cartn_y cartn_z occupancy b_iso_or_equiv "
+              "pdbx_pdb_model_num").split()
+
 ROW_SCHEMA = "ordinal bigint, category string, row bigint, items map<string,string>"
 BATCH_ROWS = 4096
 
@@ -180,17 +185,22 @@ def item(name: str) -> Column:
     return F.when(~value.isin(".", "?"), value)
 
 
-def preferred(*names: str) -> Column:
-    """First item that has a value."""
-    return F.coalesce(*[item(n) for n in names])
-
-
 def atom_sites(rows: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Atom rows projected by item name; author numbering is preferred, rows without coordinates invalid."""
+    # one map lookup per item; everything else works on plain columns
+    sites = rows.where(F.col("category") == "atom_site").select(
+        *keys, "row", *[F.try_element_at("items", F.lit(n)).alias(f"_{n}") for n in ATOM_ITEMS])
+
+    def item(name: str) -> Column:
+        return F.when(~F.col(f"_{name}").isin(".", "?"), F.col(f"_{name}"))
+
+    def preferred(*names: str) -> Column:
+        return F.coalesce(*[item(n) for n in names])
+
     name = F.trim(preferred("auth_atom_id", "label_atom_id"))
     first = {c: F.coalesce(F.substring(item(i), 1, 1), F.lit(" ")) for c, i in (
         ("alt_loc", "label_alt_id"), ("ins_code", "pdbx_pdb_ins_code"))}
-    out = rows.where(F.col("category") == "atom_site").select(
+    out = sites.select(
         *keys, F.col("row").alias("line_no"),
         (F.upper(F.coalesce(item("group_pdb"), F.lit(""))) == "HETATM").alias("is_hetatm"),
         F.coalesce(name, F.lit("")).alias("padded_name"), F.coalesce(name, F.lit("")).alias("name"),
