@@ -19,10 +19,9 @@ from pyspark.sql import functions as F
 KEY = ("file",)
 CATEGORIES = ("atom_site", "entry", "struct", "exptl", "refine", "struct_conf", "struct_sheet_range", "ma_qa_metric")
 
-# Items of an atom row that are read.
-ATOM_ITEMS = ("group_pdb type_symbol label_atom_id auth_atom_id label_alt_id label_comp_id auth_comp_id label_asym_id "
-              "auth_asym_id label_seq_id auth_seq_id pdbx_pdb_ins_code cartn_x cartn_y cartn_z occupancy b_iso_or_equiv "
-              "pdbx_pdb_model_num").split()
+# Text items of an atom row.
+TEXT_ITEMS = ("group_pdb type_symbol label_atom_id auth_atom_id label_alt_id label_comp_id auth_comp_id label_asym_id "
+              "auth_asym_id pdbx_pdb_ins_code").split()
 
 ROW_SCHEMA = "ordinal bigint, category string, row bigint, items map<string,string>"
 BATCH_ROWS = 4096
@@ -187,35 +186,33 @@ def item(name: str) -> Column:
 
 def atom_sites(rows: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Atom rows projected by item name; author numbering is preferred, rows without coordinates invalid."""
-    # one map lookup per item; everything else works on plain columns
-    sites = rows.where(F.col("category") == "atom_site").select(
-        *keys, "row", *[F.try_element_at("items", F.lit(n)).alias(f"_{n}") for n in ATOM_ITEMS])
-
-    def item(name: str) -> Column:
-        return F.when(~F.col(f"_{name}").isin(".", "?"), F.col(f"_{name}"))
+    # One map lookup per item.  Null marks are no numbers, no record name and no symbol, so only text
+    # items have to be checked for them; that keeps the generated code small enough to be compiled.
+    def raw(name: str) -> Column:
+        return F.try_element_at("items", F.lit(name))
 
-    def preferred(*names: str) -> Column:
-        return F.coalesce(*[item(n) for n in names])
-
-    name = F.trim(preferred("auth_atom_id", "label_atom_id"))
-    first = {c: F.coalesce(F.substring(item(i), 1, 1), F.lit(" ")) for c, i in (
-        ("alt_loc", "label_alt_id"), ("ins_code", "pdbx_pdb_ins_code"))}
-    out = sites.select(
+    numbers = {"x": "cartn_x", "y": "cartn_y", "z": "cartn_z", "_occupancy": "occupancy", "_b": "b_iso_or_equiv"}
+    integers = {"_auth_seq": "auth_seq_id", "_label_seq": "label_seq_id", "_model": "pdbx_pdb_model_num"}
+    sites = rows.where(F.col("category") == "atom_site").select(
         *keys, F.col("row").alias("line_no"),
-        (F.upper(F.coalesce(item("group_pdb"), F.lit(""))) == "HETATM").alias("is_hetatm"),
-        F.coalesce(name, F.lit("")).alias("padded_name"), F.coalesce(name, F.lit("")).alias("name"),
-        first["alt_loc"].alias("alt_loc"),
-        F.coalesce(F.trim(preferred("auth_comp_id", "label_comp_id")), F.lit("")).alias("res_name"),
-        F.coalesce(F.trim(preferred("auth_asym_id", "label_asym_id")), F.lit("")).alias("chain_id"),
-        F.coalesce(item("auth_seq_id").try_cast("int"), item("label_seq_id").try_cast("int"), F.lit(0)).alias("res_seq"),
-        first["ins_code"].alias("ins_code"),
-        *[item(f"cartn_{a}").try_cast("double").alias(a) for a in "xyz"],
-        F.coalesce(item("occupancy").try_cast("double"), F.lit(1.0)).alias("occupancy"),
-        F.coalesce(item("b_iso_or_equiv").try_cast("double"), F.lit(0.0)).alias("b_factor"),
-        F.coalesce(item("type_symbol"), F.lit("")).alias("symbol"),
-        F.coalesce(item("pdbx_pdb_model_num").try_cast("int"), F.lit(1)).alias("model_no"),
-        F.lit(False).alias("break_before"))
-    return out.withColumn("is_valid", F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull())
+        *[raw(n).try_cast("double").alias(c) for c, n in numbers.items()],
+        *[raw(n).try_cast("int").alias(c) for c, n in integers.items()],
+        *[raw(n).alias(f"_{n}") for n in TEXT_ITEMS])
+
+    def text(*names: str, default: str = "") -> Column:
+        return F.coalesce(*[F.when(~F.col(f"_{n}").isin(".", "?"), F.col(f"_{n}")) for n in names], F.lit(default))
+
+    return sites.select(
+        *keys, "line_no", (F.upper("_group_pdb").eqNullSafe("HETATM")).alias("is_hetatm"),
+        text("auth_atom_id", "label_atom_id").alias("padded_name"), text("auth_atom_id", "label_atom_id").alias("name"),
+        F.substring(text("label_alt_id", default=" "), 1, 1).alias("alt_loc"),
+        text("auth_comp_id", "label_comp_id").alias("res_name"), text("auth_asym_id", "label_asym_id").alias("chain_id"),
+        F.coalesce("_auth_seq", "_label_seq", F.lit(0)).alias("res_seq"),
+        F.substring(text("pdbx_pdb_ins_code", default=" "), 1, 1).alias("ins_code"),
+        "x", "y", "z", F.coalesce("_occupancy", F.lit(1.0)).alias("occupancy"),
+        F.coalesce("_b", F.lit(0.0)).alias("b_factor"), F.coalesce("_type_symbol", F.lit("")).alias("symbol"),
+        F.coalesce("_model", F.lit(1)).alias("model_no"), F.lit(False).alias("break_before"),
+        (F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()).alias("is_valid"))
 
 
 def metadata(rows: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
