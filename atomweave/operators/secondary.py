@@ -95,11 +95,12 @@ def hydrogen_bonds(backbone: DataFrame, keys: Sequence[str] = KEY, best_only: bo
         acceptors = acceptors.withColumn("_rank", rank).where(F.col("_rank") <= 5).drop("_rank")
     energy = bond_energy(v.columns("n"), v.columns("h"), v.columns("c", "_r"), v.columns("o", "_r"))
     apart = F.abs(F.col("residue_idx") - F.col("residue_idx_r")) >= 2
-    # cheap tests first: the energy is only computed for pairs that are close enough
-    near = grid.candidates(donors, acceptors, keys, CA_CUTOFF,
-                           condition=(grid.distance2() <= CA_CUTOFF ** 2) & apart & (energy < BOND_ENERGY))
+    near = grid.candidates(donors, acceptors, keys, CA_CUTOFF, condition=(grid.distance2() <= CA_CUTOFF ** 2) & apart)
+    # the explode keeps the energy test above the join: otherwise the formula is copied into the join
+    # condition, in front of the cheap tests
     return near.select(*keys, F.col("residue_idx").alias("nh"), F.col("residue_idx_r").alias("co"),
-                       energy.alias("energy"), (F.col("chain_idx") == F.col("chain_idx_r")).alias("same_chain"))
+                       (F.col("chain_idx") == F.col("chain_idx_r")).alias("same_chain"),
+                       F.explode(F.array(energy)).alias("energy")).where(F.col("energy") < BOND_ENERGY)
 
 
 def best_two(bonds: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
