@@ -70,9 +70,8 @@ def estimate_amide_h(backbone: DataFrame, keys: Sequence[str] = KEY) -> DataFram
     return measured.withColumn("h", F.when(donor, hydrogen)).drop("_p", "_cx", "_cy", "_cz", "_len", "_link2")
 
 
-def bond_energy(n: v.Vector, h: v.Vector, c: v.Vector, o: v.Vector) -> Column:
-    """Electrostatic energy of N-H...O=C."""
-    on, ch, oh, cn = v.distance(o, n), v.distance(c, h), v.distance(o, h), v.distance(c, n)
+def bond_energy(on: Column, ch: Column, oh: Column, cn: Column) -> Column:
+    """Electrostatic energy of N-H...O=C from the four distances between its atoms."""
     clash = F.least(on, ch, oh, cn) < MIN_DISTANCE
     return F.when(clash, F.lit(CLAMPED_ENERGY)).otherwise(CHARGE_FACTOR * (1 / on + 1 / ch - 1 / oh - 1 / cn))
 
@@ -93,14 +92,18 @@ def hydrogen_bonds(backbone: DataFrame, keys: Sequence[str] = KEY, best_only: bo
         spot = ["x", "y", "z", *[f"{p}{a}" for p in "co" for a in "xyz"]]
         rank = F.row_number().over(Window.partitionBy(*keys, *spot).orderBy("residue_idx"))
         acceptors = acceptors.withColumn("_rank", rank).where(F.col("_rank") <= 5).drop("_rank")
-    energy = bond_energy(v.columns("n"), v.columns("h"), v.columns("c", "_r"), v.columns("o", "_r"))
     apart = F.abs(F.col("residue_idx") - F.col("residue_idx_r")) >= 2
     near = grid.candidates(donors, acceptors, keys, CA_CUTOFF, condition=(grid.distance2() <= CA_CUTOFF ** 2) & apart)
+    n, h, c, o = v.columns("n"), v.columns("h"), v.columns("c", "_r"), v.columns("o", "_r")
+    measured = near.select(*keys, F.col("residue_idx").alias("nh"), F.col("residue_idx_r").alias("co"),
+                           (F.col("chain_idx") == F.col("chain_idx_r")).alias("same_chain"),
+                           v.distance(o, n).alias("_on"), v.distance(c, h).alias("_ch"),
+                           v.distance(o, h).alias("_oh"), v.distance(c, n).alias("_cn"))
+    energy = bond_energy(*[F.col(d) for d in ("_on", "_ch", "_oh", "_cn")])
     # the explode keeps the energy test above the join: otherwise the formula is copied into the join
     # condition, in front of the cheap tests
-    return near.select(*keys, F.col("residue_idx").alias("nh"), F.col("residue_idx_r").alias("co"),
-                       (F.col("chain_idx") == F.col("chain_idx_r")).alias("same_chain"),
-                       F.explode(F.array(energy)).alias("energy")).where(F.col("energy") < BOND_ENERGY)
+    return (measured.withColumn("energy", F.explode(F.array(energy))).where(F.col("energy") < BOND_ENERGY)
+            .drop("_on", "_ch", "_oh", "_cn"))
 
 
 def best_two(bonds: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
