@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import mixing, neardup, sharding  # noqa: F401
+from . import langid, mixing, neardup, sharding  # noqa: F401
 from .common import ORACLE, QUERIES  # noqa: F401
