@@ -19,7 +19,7 @@ from .common import query, table, word_count
 #: The golden ratio as an odd multiplier modulo 2**32.
 GOLDEN = 2654435769
 #: Rows of one source that are ordered together by one task.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 2_000
 #: Bins that join schedule points to weight intervals.
 BINS = 1024
 
