@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, mixing, neardup, sharding, urls  # noqa: F401
+from . import bpe, langid, mixing, neardup, sharding, topk, urls  # noqa: F401
 from .common import ORACLE, QUERIES  # noqa: F401
