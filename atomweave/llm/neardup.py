@@ -6,14 +6,19 @@ second one gives the circle its values, and coordinate k is the least value seen
 shifted by k places.  All coordinates of a shingle lie next to each other in the second permutation,
 so a signature is a minimum over slices.
 
-Classes that agree on a band of the signature meet in a bucket.  No bucket is ever multiplied out:
-
-1. every member is verified against one pivot of its bucket; verified links give components;
-2. members of one bucket that are in different components now are verified too, unless their sizes or
-   their distances from the pivot (the Jaccard distance is a metric) already rule the link out;
-3. the links of both steps give the final components.
-
-So every pair of one bucket is decided, either by a verification, by a bound, or by being connected.
+Classes that agree on a band of the signature meet in a bucket.  No bucket is multiplied out:
+
+1. A bucket has a pivot, the member that meets the most others in all its buckets, so that a family of
+   edited copies mostly has one pivot, near its original.  Every member is verified against the pivot,
+   which also gives the shingles it has and the pivot has not.  Verified links give components.
+2. Let x and y be in one bucket, but not in one component.  What they share is at most the smaller of
+   their parts shared with the pivot, and the shingles they share beyond the pivot.  So the pair is only
+   verified if it shares enough shingles beyond the pivot (found by a join on those shingles, which edits
+   make rare), or if the parts shared with the pivot could be enough alone (which takes a y smaller than
+   the pivot, and an x close to a link with it).
+3. The links of both steps give the final components.
+
+So every pair that meets in a bucket is decided: by a verification, by a bound, or by being connected.
 """
 
 from __future__ import annotations
@@ -94,28 +99,35 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Intersection sizes of pairs of texts."""
+    """Intersection sizes of pairs of texts, and the shingles that only the second has."""
     for batch in batches:
         for first in range(0, batch.num_rows, 500):
             part = batch.slice(first, 500)
-            one, two = words.shingle_sets(part.column(2)), words.shingle_sets(part.column(3))
-            both = [words.shared(a, b) for a, b in zip(one, two, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(both, pa.int64())],
-                                             ["u", "v", "n_both"])
+            both, beyond = [], []
+            for a, b in zip(words.shingle_sets(part.column(2)), words.shingle_sets(part.column(3)), strict=True):
+                only = b[~np.isin(b, a, assume_unique=True, kind="sort")]
+                both.append(len(b) - len(only))
+                beyond.append(only.view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array(both, pa.int64()), pa.array(beyond, pa.list_(pa.int64()))],
+                ["u", "v", "n_both", "beyond"])
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes with their exact similarity and whether it reaches the threshold."""
-    read = classes.select("node", "set_id").join(texts, "set_id").select("node", "text")
+def _compared(pairs: DataFrame, texts: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes with sizes, intersection, the second's own shingles, and whether they are linked."""
+    read = known.join(texts, "set_id").select("node", "text")
     joined = (pairs.join(read.withColumnsRenamed({"node": "u", "text": "a"}), "u")
               .join(read.withColumnsRenamed({"node": "v", "text": "b"}), "v").select("u", "v", "a", "b"))
-    sizes = classes.select("node", "n_shingles")
-    counted = (joined.mapInArrow(_verify, "u long, v long, n_both long")
-               .join(sizes.withColumnsRenamed({"node": "u", "n_shingles": "n_u"}), "u")
-               .join(sizes.withColumnsRenamed({"node": "v", "n_shingles": "n_v"}), "v"))
-    union = F.col("n_u") + F.col("n_v") - F.col("n_both")
-    return counted.select("u", "v", (F.col("n_both") / union).alias("similarity"),
-                          (F.col("n_both") * 100 >= union * percent).alias("linked"))
+    sizes = known.select("node", "n_shingles")
+    return (joined.mapInArrow(_verify, "u long, v long, n_both long, beyond array<long>")
+            .join(sizes.withColumnsRenamed({"node": "u", "n_shingles": "n_u"}), "u")
+            .join(sizes.withColumnsRenamed({"node": "v", "n_shingles": "n_v"}), "v")
+            .withColumn("linked", _enough(F.col("n_both"), F.col("n_u"), F.col("n_v"), percent)))
+
+
+def _enough(both: Column, one: Column, two: Column, percent: int) -> Column:
+    """Whether sets of these sizes that share ``both`` reach the threshold."""
+    return both * (100 + percent) >= (one + two) * percent
 
 
 def near_duplicates(docs: DataFrame, key: Column, text: Column, percent: int = PERCENT) -> DataFrame:
@@ -133,8 +145,9 @@ def near_duplicates(docs: DataFrame, key: Column, text: Column, percent: int = P
                          F.first("bands").alias("bands"))
                     .withColumn("node", F.monotonically_increasing_id()), "classes")
     spread = classes.select(F.explode("bands").alias("bucket"), "node")
-    shared = (spread.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("_last"))
-              .where("pivot < _last").drop("_last"))
+    shared = (spread.groupBy("bucket").agg(F.min("node").alias("_first"), F.max("node").alias("_last"),
+                                           F.count(F.lit(1)).alias("met"))
+              .where("_first < _last").select("bucket", "met"))
     members = stage(spread.join(shared, "bucket"), "bucket-members")
     linked = _links(docs.select(key.cast("long").alias("id"), text.alias("text")), signed, classes, members, percent)
     found = components(linked)
@@ -152,35 +165,48 @@ def near_duplicates(docs: DataFrame, key: Column, text: Column, percent: int = P
 
 def _links(rows: DataFrame, signed: DataFrame, classes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Links that connect all that is similar within buckets."""
-    met = members.select("node").distinct()
-    wanted = (classes.join(met, "node", "left_semi").select(F.col("least").alias("_id")))
+    met = members.groupBy("node").agg(F.sum("met").alias("met"))
+    known = stage(classes.join(met, "node").select("node", "set_id", "n_shingles", "least", "met"), "met-classes")
+    wanted = known.select(F.col("least").alias("_id"))
     texts = stage(rows.join(wanted, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("text")
                   .mapInArrow(_sets, "set_id binary, text string").dropDuplicates(["set_id"]), "texts")
-    known = stage(classes.join(met, "node", "left_semi").select("node", "set_id", "n_shingles"), "met-classes")
+    known = known.drop("least")
 
-    star = members.where("node != pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
-    first = stage(_linked(star, texts, known, percent), "pivot-links")
+    pivots = (members.drop("met").join(known.select("node", "met"), "node").groupBy("bucket")
+              .agg(F.max_by("node", F.struct("met", "node")).alias("pivot")))
+    star = (members.join(pivots, "bucket").where("node != pivot")
+            .select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct())
+    first = stage(_compared(star, texts, known, percent), "pivot-links")
     roots = components(first.where("linked").select("u", "v"))
-    placed = (members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-              .join(known.select("node", "n_shingles"), "node")
-              .join(first.select(F.col("u").alias("pivot"), F.col("v").alias("node"), "similarity"),
-                    ["pivot", "node"], "left")
-              .where("node != pivot"))
-    mixed = (members.join(roots, "node", "left").groupBy("bucket")
-             .agg(F.min(F.coalesce("root", "node")).alias("_a"), F.max(F.coalesce("root", "node")).alias("_b"))
-             .where("_a < _b").select("bucket"))
-    rest = stage(placed.join(mixed, "bucket", "left_semi")
-                 .select("bucket", "node", "root", "n_shingles", "similarity"), "unsettled")
-    other = rest.select(*[F.col(c).alias(f"{c}_2") for c in rest.columns])
-    slack = (100 - percent) / 100 + 1e-9
-    pairs = (rest.join(other, (F.col("bucket") == F.col("bucket_2")) & (F.col("node") < F.col("node_2"))
-                       & (F.col("root") != F.col("root_2"))
-                       & (F.col("n_shingles") * 100 >= F.col("n_shingles_2") * percent)
-                       & (F.col("n_shingles_2") * 100 >= F.col("n_shingles") * percent)
-                       & (F.abs(F.col("similarity") - F.col("similarity_2")) <= slack))
-             .select(F.col("node").alias("u"), F.col("node_2").alias("v")).distinct())
-    new = pairs.join(first.select("u", "v"), ["u", "v"], "left_anti")
-    second = _linked(new, texts, known, percent).where("linked").select("u", "v")
+
+    group = first.select("u", F.col("v").alias("node"), "n_u", F.col("n_v").alias("n"), F.col("n_both").alias("part"),
+                         "linked", "beyond").join(roots, "node", "left")
+    group = group.withColumn("root", F.coalesce("root", "node"))
+    open_ = group.groupBy("u").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.min("n").alias("n_least"))
+    group = stage(group.join(open_.where("_a < _b").select("u", "n_least"), "u"), "unsettled")
+
+    def other(df: DataFrame, keys: list[str]) -> DataFrame:
+        return df.withColumnsRenamed({c: f"{c}_2" for c in df.columns if c not in keys})
+
+    parts = F.least("part", "part_2")
+    differ = (F.col("node") < F.col("node_2")) & (F.col("root") != F.col("root_2"))
+    spread = group.select("u", "node", "n", "part", "root", F.explode("beyond").alias("shingle"))
+    mixed = (spread.groupBy("u", "shingle").agg(F.min("root").alias("_a"), F.max("root").alias("_b"))
+             .where("_a < _b").select("u", "shingle"))
+    spread = stage(spread.join(mixed, ["u", "shingle"], "left_semi"), "shared-beyond")
+    by_shingle = (spread.join(other(spread, ["u", "shingle"]), ["u", "shingle"]).where(differ)
+                  .groupBy("u", "node", "node_2", "n", "n_2", "part", "part_2").agg(F.count(F.lit(1)).alias("_more"))
+                  .where(_enough(parts + F.col("_more"), F.col("n"), F.col("n_2"), percent)))
+    # the largest size of a partner for which the part shared with the pivot could do
+    group = group.drop("beyond").withColumn("_most", F.floor(F.col("part") * (100 + percent) / percent) - F.col("n"))
+    near = group.where(~F.col("linked") & (F.col("_most") >= F.col("n_least")) & (F.col("n_least") < F.col("n_u")))
+    sized = near.withColumn("n_2", F.explode(F.sequence("n_least", F.least("_most", F.col("n_u") - 1))))
+    by_size = (sized.join(group.select("u", F.col("node").alias("node_2"), F.col("n").alias("n_2"),
+                                       F.col("part").alias("part_2"), F.col("root").alias("root_2")), ["u", "n_2"])
+               .where((F.col("root") != F.col("root_2")) & _enough(parts, F.col("n"), F.col("n_2"), percent)))
+    pairs = (by_shingle.select("node", "node_2").union(by_size.select("node", "node_2"))
+             .select(F.least("node", "node_2").alias("u"), F.greatest("node", "node_2").alias("v")).distinct())
+    second = _compared(pairs, texts, known, percent).where("linked").select("u", "v")
     return stage(first.where("linked").select("u", "v").union(second), "all-links")
 
 
