@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, langid, mixing, neardup, sharding, topk, urls  # noqa: F401
+from . import bpe, fingerprints, langid, mixing, neardup, sharding, topk, urls, warc  # noqa: F401
 from .common import ORACLE, QUERIES  # noqa: F401
