@@ -215,6 +215,13 @@ def digests(rows: DataFrame, key: Column, text: Column, path: str, pattern: str)
                                   "ids_sha256 string, decoded_sha256 string")
 
 
+def tokenized(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """The rows of ``docs`` with ``n_tokens`` and ``ids`` (see :func:`encode`) in place of ``text``."""
+    others = [c for c in docs.columns if c not in ("text", "n_tokens", "ids")]
+    coded = encode(docs, F.struct(*others), F.col("text"), path, pattern)
+    return coded.select("id.*", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+
+
 @query("op9_bpe")
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded again."""

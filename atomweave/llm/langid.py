@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -154,15 +155,21 @@ def fit(rows: DataFrame, text: Column, label: Column, order: Column, per_label:
         most_labels: int = 400) -> Network:
     """Train on a bounded sample of the labelled ``rows``.
 
-    The sample is ``per_label`` rows of each label, those with the smallest ``order`` (a hash of the row,
-    so that it is spread evenly), and of each row one window from a place in its text that ``order``
+    The sample is ``per_label`` rows of each label, those with the smallest ``order`` (a 64-bit hash of the
+    row, so that it is spread evenly), and of each row one window from a place in its text that ``order``
     picks.  At most ``most_labels`` * ``per_label`` windows reach the driver; more labels raise an error.
     """
     spread = F.pmod(order, F.greatest(F.octet_length(text) - WINDOW + 1, F.lit(1))).cast("int")
-    windows = rows.where(label.isNotNull() & text.rlike(r"\p{L}")).select(
+    useful = rows.where(label.isNotNull() & text.rlike(r"\p{L}"))
+    counts = (useful.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("_count"), F.min(order).alias("_least"))
+              .withColumnRenamed("label", "_label"))
+    windows = useful.select(
         label.alias("label"), order.alias("_order"), F.substring(F.encode(text, "UTF-8"), spread + 1, F.lit(WINDOW)).alias("window"))
+    share = F.col("_order") / float(2 ** 64) + 0.5  # so that no more than some 4 x per_label rows of a label are ordered
+    thin = windows.join(counts, F.col("label") == F.col("_label")).where(
+        (share * F.col("_count") <= 4.0 * per_label) | (F.col("_order") == F.col("_least")))
     first = F.row_number().over(Window.partitionBy("label").orderBy("_order"))
-    sample = windows.withColumn("_n", first).where(F.col("_n") <= per_label).select("label", "window")
+    sample = thin.withColumn("_n", first).where(F.col("_n") <= per_label).select("label", "window")
     got = sample.limit(most_labels * per_label + 1).toPandas().sort_values(["label", "window"])
     labels = sorted(got["label"].unique())
     if len(labels) > most_labels or not labels:
@@ -181,6 +188,24 @@ def identify(rows: DataFrame, net: Network, key: Column, text: Column) -> DataFr
     return named.mapInArrow(predictor(net), f"id {kind}, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, net: Network, least: float = 0.4) -> DataFrame:
+    """The rows of ``docs`` (with ``text``) whose language is known with a score of ``least`` or more."""
+    names = docs.columns
+    at, marked = names.index("text"), docs.select("*", docs["text"].rlike(r"\p{L}"))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = predictor(net)
+        for batch in batches:
+            letters = batch.column(batch.num_columns - 1)
+            text = pc.if_else(letters, batch.column(at), pa.scalar(None, batch.column(at).type))
+            seen = pa.RecordBatch.from_arrays([pa.nulls(len(text)), text], ["id", "text"])
+            shares = np.concatenate([b.column(2).to_numpy() for b in score(iter([seen]))] or [np.empty(0)])
+            kept = batch.filter(pa.array(shares >= least))
+            yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=names)
+
+    return marked.mapInArrow(keep, docs.schema)
+
+
 def held_out(key: Column) -> Column:
     """Rows that are never learned from."""
     return F.coalesce(F.crc32(key.cast("string")) % 4 == 2, F.lit(False))

@@ -133,13 +133,15 @@ def _enough(both: Column, one: Column, two: Column, percent: int) -> Column:
 def near_duplicates(docs: DataFrame, key: Column, text: Column, percent: int = PERCENT) -> DataFrame:
     """Component of every row: ``id``, ``n_shingles``, ``component_id`` (smallest id reachable), ``kept``.
 
-    ``key`` is the row's id (a long); rows may repeat and ids may be null: a component's id is its smallest
+    ``key`` is the row's id, of any type with an order; rows may repeat and ids may be null: a component's id is its smallest
     non-null id, and null where no row of it has one.  ``kept`` is true for the rows whose id is the
     component's.  A null or wordless text has no shingles, is linked with nothing and is its own
     component.  Other columns of ``docs`` are ignored.
     """
-    signed = stage(docs.select(key.cast("long").alias("id"), text.alias("text"))
-                   .mapInArrow(_sign, "id long, n_shingles long, set_id binary, bands array<long>"), "signatures")
+    named = docs.select(key.alias("id"), text.alias("text"))
+    kind = named.schema["id"].dataType.simpleString()
+    signed = stage(named.mapInArrow(
+        _sign, f"id {kind}, n_shingles long, set_id binary, bands array<long>"), "signatures")
     classes = stage(signed.where("n_shingles > 0").groupBy("set_id")
                     .agg(F.min("id").alias("least"), F.first("n_shingles").alias("n_shingles"),
                          F.first("bands").alias("bands"))
@@ -149,7 +151,7 @@ def near_duplicates(docs: DataFrame, key: Column, text: Column, percent: int = P
                                            F.count(F.lit(1)).alias("met"))
               .where("_first < _last").select("bucket", "met"))
     members = stage(spread.join(shared, "bucket"), "bucket-members")
-    linked = _links(docs.select(key.cast("long").alias("id"), text.alias("text")), signed, classes, members, percent)
+    linked = _links(named, classes, members, percent)
     found = components(linked)
     least = classes.select("node", "set_id", "least").join(found, "node", "left")
     named = (least.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("component_id")))
@@ -163,7 +165,7 @@ def near_duplicates(docs: DataFrame, key: Column, text: Column, percent: int = P
                     F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept")))
 
 
-def _links(rows: DataFrame, signed: DataFrame, classes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def _links(rows: DataFrame, classes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Links that connect all that is similar within buckets."""
     met = members.groupBy("node").agg(F.sum("met").alias("met"))
     known = stage(classes.join(met, "node").select("node", "set_id", "n_shingles", "least", "met"), "met-classes")
@@ -229,6 +231,27 @@ FROM s JOIN r ON s.doc_id = r.doc_id GROUP BY s.doc_id, s.sh
 """
 
 
+def one_per_group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` (with ``doc_id`` and ``text``), one of each near-duplicate component.
+
+    The row with the smallest id stays; rows that repeat both its id and its text are one row.  Rows
+    without words all stay.
+    """
+    def key(df: DataFrame) -> Column:
+        return F.struct(df["doc_id"].alias("doc_id"), F.xxhash64(df["text"]).alias("hash"))
+
+    found = stage(near_duplicates(docs, key(docs), docs["text"], percent), "components")
+    gone = found.where(~F.col("kept")).select(F.col("id.doc_id").alias("_id"), F.col("id.hash").alias("_hash")).distinct()
+    rest = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_hash"]), "left_anti")
+    again = found.where("kept AND n_shingles > 0").groupBy("id").count().where("count > 1").select("id")
+    if again.isEmpty():
+        return rest
+    repeated = again.select(F.col("id.doc_id").alias("_id"), F.col("id.hash").alias("_hash"))
+    same = rest["doc_id"].eqNullSafe(repeated["_id"]) & (F.xxhash64(rest["text"]) == repeated["_hash"])
+    return rest.join(repeated, same, "left_anti").union(
+        rest.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 @query("op5_neardup", NEAR_SQL)
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document."""

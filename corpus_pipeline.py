@@ -4,20 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from atomweave.llm import mixing
+from atomweave.llm import bpe, langid, mixing, neardup
 from atomweave.llm.common import table
 from atomweave.session import stage
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised, by a network learned from the documents themselves."""
+    return langid.accepted(docs, langid.fit_documents(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return neardup.one_per_group(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix of sources takes them."""
     return mixing.mixed_documents(docs)
 
 
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in place of texts."""
+    return bpe.tokenized(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language ID", identify_language),
+    ("MinHash near-dedup", drop_near_duplicates),
     ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE encoding", tokenize),
 ]
 
 #: SQL cannot express the language classifier nor the tokenizer; tests hold the stages against brute force.
