@@ -13,8 +13,8 @@ Classes that agree on a band of the signature meet in a bucket.  No bucket is mu
    which also gives the shingles it has and the pivot has not.  Verified links give components.
 2. Let x and y be in one bucket, but not in one component.  What they share is at most the smaller of
    their parts shared with the pivot, and the shingles they share beyond the pivot.  So the pair is only
-   verified if it shares enough shingles beyond the pivot (found by a join on those shingles, which edits
-   make rare), or if the parts shared with the pivot could be enough alone (which takes a y smaller than
+   verified if it shares enough shingles beyond the pivot (found by a join on the rarest of those: who
+   needs k of m shared ones has one among the m - k + 1 rarest), or if the parts shared with the pivot could be enough alone (which takes a y smaller than
    the pivot, and an x close to a link with it).
 3. The links of both steps give the final components.
 
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
@@ -167,8 +167,8 @@ def near_duplicates(docs: DataFrame, key: Column, text: Column, percent: int = P
 
 def _links(rows: DataFrame, classes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Links that connect all that is similar within buckets."""
-    met = members.groupBy("node").agg(F.sum("met").alias("met"))
-    known = stage(classes.join(met, "node").select("node", "set_id", "n_shingles", "least", "met"), "met-classes")
+    meetings = members.groupBy("node").agg(F.sum("met").alias("met"))
+    known = stage(classes.join(meetings, "node").select("node", "set_id", "n_shingles", "least", "met"), "met-classes")
     wanted = known.select(F.col("least").alias("_id"))
     texts = stage(rows.join(wanted, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("text")
                   .mapInArrow(_sets, "set_id binary, text string").dropDuplicates(["set_id"]), "texts")
@@ -192,13 +192,26 @@ def _links(rows: DataFrame, classes: DataFrame, members: DataFrame, percent: int
 
     parts = F.least("part", "part_2")
     differ = (F.col("node") < F.col("node_2")) & (F.col("root") != F.col("root_2"))
-    spread = group.select("u", "node", "n", "part", "root", F.explode("beyond").alias("shingle"))
-    mixed = (spread.groupBy("u", "shingle").agg(F.min("root").alias("_a"), F.max("root").alias("_b"))
-             .where("_a < _b").select("u", "shingle"))
-    spread = stage(spread.join(mixed, ["u", "shingle"], "left_semi"), "shared-beyond")
-    by_shingle = (spread.join(other(spread, ["u", "shingle"]), ["u", "shingle"]).where(differ)
-                  .groupBy("u", "node", "node_2", "n", "n_2", "part", "part_2").agg(F.count(F.lit(1)).alias("_more"))
-                  .where(_enough(parts + F.col("_more"), F.col("n"), F.col("n_2"), percent)))
+    # a pair has to share so many shingles beyond the pivot, whatever the partner
+    least_partner = F.greatest("n_least", F.ceil(F.col("n") * percent / 100))
+    short = F.ceil((F.col("n") + least_partner) * percent / (100 + percent)) - F.col("part")
+    spread = group.select("u", "node", "n", "root", F.greatest(F.lit(1), short).alias("need"),
+                          F.explode("beyond").alias("shingle"))
+    mixed = (spread.groupBy("u", "shingle").agg(F.count(F.lit(1)).alias("often"), F.min("root").alias("_a"),
+                                                F.max("root").alias("_b"))
+             .where("_a < _b").select("u", "shingle", "often"))
+    own = Window.partitionBy("u", "node")
+    spread = (spread.join(mixed, ["u", "shingle"])
+              .withColumn("_all", F.count(F.lit(1)).over(own))
+              .withColumn("_at", F.row_number().over(own.orderBy("often", "shingle"))))
+    rare = stage(spread.where("_at <= _all - need + 1").select("u", "shingle", "node", "n", "root"), "rare-beyond")
+    sizes_fit = (F.col("n") * 100 >= F.col("n_2") * percent) & (F.col("n_2") * 100 >= F.col("n") * percent)
+    met = (rare.join(other(rare, ["u", "shingle"]), ["u", "shingle"]).where(differ & sizes_fit)
+           .select("u", "node", "node_2").distinct())
+    side = group.select("u", "node", "n", "part", "beyond")
+    more = F.size(F.array_intersect("beyond", "beyond_2"))
+    by_shingle = (met.join(side, ["u", "node"]).join(other(side, ["u"]), ["u", "node_2"])
+                  .where(_enough(parts + more, F.col("n"), F.col("n_2"), percent)))
     # the largest size of a partner for which the part shared with the pivot could do
     group = group.drop("beyond").withColumn("_most", F.floor(F.col("part") * (100 + percent) / percent) - F.col("n"))
     near = group.where(~F.col("linked") & (F.col("_most") >= F.col("n_least")) & (F.col("n_least") < F.col("n_u")))

@@ -92,7 +92,7 @@ def best(queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.ndar
     high, low = np.maximum.reduceat(d, starts), np.minimum.reduceat(d, starts)
     bounds = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
     order = np.argsort(-bounds, axis=1, kind="stable")
-    least = np.iinfo(np.int64).min if not safe else -np.inf
+    least = -np.inf if safe else -np.iinfo(np.int64).max  # negated in sorts
     scores = np.full((len(q), k), least, kind)
     found = np.full((len(q), k), np.iinfo(np.int64).max, np.int64)
     lines = np.arange(len(q))
