@@ -33,27 +33,41 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+def pair_table(ranks: dict[bytes, int]) -> list[dict[int, int]]:
+    """For every token id the ids it can be followed by in a merge, with the merged token's id."""
+    nothing: dict[int, int] = {}
+    follow = [nothing] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        for cut in range(1, len(token)):
+            left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+            if left is not None and right is not None:
+                if follow[left] is nothing:
+                    follow[left] = {}
+                follow[left][right] = rank
+    return follow
+
+
+def merge(piece: bytes, ranks: dict[bytes, int], follow: list[dict[int, int]]) -> list[int]:
     """Ids of one piece: the adjacent pair of least rank is joined, the leftmost of equals first, to the end."""
     if piece in ranks:
         return [ranks[piece]]
     if len(piece) > SHORT:
         return _merge_long(piece, ranks)
-    parts = [piece[i:i + 1] for i in range(len(piece))]
-    none = len(ranks) + 1
-    costs = [ranks.get(parts[i] + parts[i + 1], none) for i in range(len(parts) - 1)]
+    none = len(follow)
+    ids = [ranks[piece[i:i + 1]] for i in range(len(piece))]
+    costs = [follow[a].get(b, none) for a, b in zip(ids, ids[1:])]
     while costs:
         least = min(costs)
         if least == none:
             break
         at = costs.index(least)
-        parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        del costs[at]
+        ids[at] = least
+        del ids[at + 1], costs[at]
         if at < len(costs):
-            costs[at] = ranks.get(parts[at] + parts[at + 1], none)
+            costs[at] = follow[least].get(ids[at + 1], none)
         if at:
-            costs[at - 1] = ranks.get(parts[at - 1] + parts[at], none)
-    return [ranks[p] for p in parts]
+            costs[at - 1] = follow[ids[at - 1]].get(least, none)
+    return ids
 
 
 def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -87,7 +101,7 @@ class Codec:
     """Encodes and decodes with one rank table; keeps a bounded number of encoded pieces."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.split = ranks, regex.compile(pattern).findall
+        self.ranks, self.follow, self.split = ranks, pair_table(ranks), regex.compile(pattern).findall
         self.pieces = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.pieces[rank] = token
@@ -99,7 +113,7 @@ class Codec:
         for piece in set(found).difference(known):
             if len(known) >= KEPT:
                 known = self.known = {p: known[p] for p in set(found) if p in known}
-            known[piece] = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
+            known[piece] = np.array(merge(piece.encode(), self.ranks, self.follow), "<u4").tobytes()
         return b"".join([known[p] for p in found])
 
     def decode(self, ids: bytes) -> bytes:
