@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DEGENERATE = 1e-8
-MAX_BOUNCES = 8
 
 
 def wrap(value: Column, low: Column, high: Column) -> Column:
@@ -18,7 +17,7 @@ def wrap(value: Column, low: Column, high: Column) -> Column:
 
 
 def reflect(value: Column, velocity: Column, low: Column, high: Column) -> tuple[Column, Column]:
-    """Position and velocity after mirroring at the walls, at most eight times, then clamped.
+    """Position and velocity after mirroring at the walls as often as needed.
 
     Every bounce shortens the overshoot by one box length and alternates the wall, so the number of
     bounces and the final side follow from the overshoot in closed form.
@@ -26,7 +25,7 @@ def reflect(value: Column, velocity: Column, low: Column, high: Column) -> tuple
     extent = F.when(high - low > DEGENERATE, high - low)
     above = value > high
     overshoot = F.when(above, value - high).when(value < low, low - value).otherwise(F.lit(0.0))
-    bounces = F.least(F.lit(MAX_BOUNCES), F.ceil(overshoot / extent)).cast("int")
+    bounces = F.ceil(overshoot / extent)
     odd = bounces % 2 == 1
     # an odd count ends in front of the wall hit first, an even count in front of the opposite one
     left = overshoot - extent * F.when(odd, bounces - 1).otherwise(bounces)

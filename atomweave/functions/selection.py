@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chemistry import NUCLEIC_CLASSES, atomic_number
@@ -168,10 +168,10 @@ def drawn(representation: Column | str, show_water: bool = False, show_hydrogen:
 
 
 def index_lists(selected: DataFrame, chunk: int = 4096) -> DataFrame:
-    """Ascending atom indices of a selection in chunks of bounded length, with their counts.
+    """Ascending atom indices of a selection in chunks of bounded length, with the structure's count.
 
     A structure of any size yields as many rows as it needs; no list grows with the data.
     """
-    return (selected.groupBy("structure_id", F.floor(F.col("atom_idx") / chunk).cast("long").alias("chunk"))
-            .agg(F.sort_array(F.collect_list("atom_idx")).alias("atom_indices"),
-                 F.count(F.lit(1)).alias("num_selected")))
+    chunks = (selected.groupBy("structure_id", F.floor(F.col("atom_idx") / chunk).cast("long").alias("chunk"))
+              .agg(F.sort_array(F.collect_list("atom_idx")).alias("atom_indices")))
+    return chunks.withColumn("num_selected", F.sum(F.size("atom_indices")).over(Window.partitionBy("structure_id")))

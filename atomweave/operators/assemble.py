@@ -68,16 +68,17 @@ def chain_kind(amino: Column, deoxy: Column, ribo: Column, water: Column, other:
 
 
 def chain_sequences(residues: DataFrame, keys: Sequence[str] = KEY, chunk: int = 4096) -> DataFrame:
-    """One-letter sequence of each chain in residue order, in pieces of at most ``chunk`` residues.
+    """One-letter sequence of each chain in residue order.
 
-    Pieces are aligned to the residue number, so the text of a chain is the concatenation by
-    ``piece`` and no aggregate buffer grows with the chain.
+    Letters are joined in pieces of at most ``chunk`` residues first, then the pieces of a chain.
     """
-    return (residues
+    pieces = (residues
             .groupBy(*keys, "chain_idx", F.floor(F.col("residue_idx") / chunk).cast("long").alias("piece"))
             .agg(F.sort_array(F.collect_list(F.struct("residue_idx", "letter"))).alias("_letters"))
-            .withColumn("sequence", F.array_join(F.transform("_letters", lambda e: e["letter"]), ""))
-            .drop("_letters"))
+            .withColumn("_text", F.array_join(F.transform("_letters", lambda e: e["letter"]), "")))
+    joined = F.sort_array(F.collect_list(F.struct("piece", "_text")))
+    return pieces.groupBy(*keys, "chain_idx").agg(
+        F.array_join(F.transform(joined, lambda e: e["_text"]), "").alias("sequence"))
 
 
 def apply_ranges(residues: DataFrame, ranges: DataFrame, keys: Sequence[str] = KEY,

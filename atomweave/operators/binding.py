@@ -100,12 +100,12 @@ def band_population(banded: DataFrame, keys: Sequence[str] = ("structure_id", "t
 
 def limit_full_detail(banded: DataFrame, k: int, keys: Sequence[str] = ("structure_id", "tick"),
                       idx: str = "mol_id") -> DataFrame:
-    """Only the nearest ``k`` (0..64) keep the top band, the overflow moves one band down.
+    """Only the nearest ``k`` keep the top band, the overflow moves one band down.
 
     The nearest are found with a group limit, which cuts each partition to k rows per group before
     the shuffle, and joined back; the full group is never sorted in one place.
     """
-    k = max(0, min(64, int(k)))
+    k = max(0, int(k))
     top = banded.where(F.col("band") == "Full").select(*keys, idx, "d2")
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("d2", idx))
     nearest = top.withColumn("_rank", rank).where(F.col("_rank") <= k).select(*keys, idx, F.lit(True).alias("_near"))

@@ -10,9 +10,7 @@ from pyspark.sql import functions as F
 KEY = ("structure_id",)
 INFLUENCE = 2.5
 LEAST_VOXEL = 0.05
-MAX_VOXELS = 40_000_000
 COARSEN = 1.5
-MAX_COARSENINGS = 64
 
 
 def contributing(atoms: DataFrame, inflation: float = 0.0, show_water: bool = False,
@@ -27,12 +25,12 @@ def contributing(atoms: DataFrame, inflation: float = 0.0, show_water: bool = Fa
             .where(F.col("r") > 0))
 
 
-def voxel_grid(atoms: DataFrame, voxel: float = 0.6, max_voxels: int = MAX_VOXELS,
+def voxel_grid(atoms: DataFrame, voxel: float = 0.6, max_voxels: int | None = None,
                keys: Sequence[str] = KEY) -> DataFrame:
     """Grid of each structure: origin, voxel size, dimensions and reach of the field.
 
-    While a grid has more points than allowed the voxel grows by half; the smallest number of
-    enlargements is found among precomputed sizes.
+    The voxel has the requested size.  Only if ``max_voxels`` is given, a grid with more points gets a
+    voxel that is larger by half, as often as needed; ``coarsened`` counts how often.
     """
     stats = atoms.groupBy(*keys).agg(
         *[F.min(a).alias(f"_min_{a}") for a in "xyz"], *[F.max(a).alias(f"_max_{a}") for a in "xyz"],
@@ -47,14 +45,20 @@ def voxel_grid(atoms: DataFrame, voxel: float = 0.6, max_voxels: int = MAX_VOXEL
     def points(size: Column) -> Column:
         return dim("x", size).cast("double") * dim("y", size) * dim("z", size)
 
-    sizes = F.transform(F.sequence(F.lit(0), F.lit(MAX_COARSENINGS)),
-                        lambda k: F.lit(start) * F.pow(F.lit(COARSEN), k.cast("double")))
-    fitting = F.filter(sizes, lambda size: points(size) <= F.lit(float(max_voxels)))
-    sized = (stats.withColumn("reach", reach)
-             .withColumn("voxel", F.when(points(F.lit(start)) <= max_voxels, F.lit(start))
-                         .otherwise(F.get(fitting, F.lit(0)))))
+    sized = stats.withColumn("reach", reach)
+    if max_voxels is None:
+        sized = sized.withColumns({"voxel": F.lit(start), "coarsened": F.lit(0)})
+    else:
+        if max_voxels < 8:
+            raise ValueError("a grid has 8 points at least")
+        extent = F.greatest(*[F.col(f"_max_{a}") - F.col(f"_min_{a}") + 2 * F.col("reach") for a in "xyz"])
+        enough = F.greatest(F.lit(0), F.ceil(F.log(extent / start) / F.log(F.lit(COARSEN)))).cast("int")  # two points an axis
+        times = F.filter(F.sequence(F.lit(0), enough), lambda k: points(
+            F.lit(start) * F.pow(F.lit(COARSEN), k.cast("double"))) <= F.lit(float(max_voxels)))
+        sized = (sized.withColumn("coarsened", F.get(times, F.lit(0)))
+                 .withColumn("voxel", F.lit(start) * F.pow(F.lit(COARSEN), F.col("coarsened").cast("double"))))
     return sized.select(
-        *keys, "reach", "voxel", *[(F.col(f"_min_{a}") - F.col("reach")).alias(f"origin_{a}") for a in "xyz"],
+        *keys, "reach", "voxel", "coarsened", *[(F.col(f"_min_{a}") - F.col("reach")).alias(f"origin_{a}") for a in "xyz"],
         *[dim(a, F.col("voxel")).cast("int").alias(f"n{a}") for a in "xyz"])
 
 

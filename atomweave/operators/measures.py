@@ -162,3 +162,10 @@ def reconcile(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEY, idx: str =
     status = (F.when(F.col("_in_b").isNull(), "only_a").when(F.col("_in_a").isNull(), "only_b")
               .when(~close, "moved").when(~same, "differs").otherwise("equal"))
     return left.join(right, [*keys, idx], "full_outer").select(*keys, idx, status.alias("status"))
+
+
+def reconcile_strict(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows of either side that the other has not, counted as often as they differ in number; none if equal."""
+    left, right = a.select(*columns), b.select(*columns)
+    return (left.exceptAll(right).withColumn("status", F.lit("only_a"))
+            .unionByName(right.exceptAll(left).withColumn("status", F.lit("only_b"))))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tables import MAX_COVALENT_RADIUS
+from ..session import stage
 from . import grid
 
 KEY = ("structure_id",)
@@ -66,6 +67,14 @@ def within(atoms: DataFrame, seeds: DataFrame, distance: float, keys: Sequence[s
                            condition=grid.distance2() <= F.lit(float(distance) ** 2))
 
 
+def with_within(atoms: DataFrame, seeds: DataFrame, distance: float, name: str = "within", keys: Sequence[str] = KEY,
+                idx: str = "atom_idx") -> DataFrame:
+    """Atoms with a flag for :func:`within`, to be combined with other conditions by and, or and not."""
+    near = within(atoms.select(*keys, idx, "x", "y", "z"), seeds, distance, keys).select(*keys, idx).distinct()
+    flagged = atoms.join(near.withColumn("_near", F.lit(True)), [*keys, idx], "left")
+    return flagged.withColumn(name, F.coalesce("_near", F.lit(False))).drop("_near")
+
+
 def shortest_distance(left: DataFrame, right: DataFrame, usual: float = 6.0,
                       keys: Sequence[str] = KEY) -> DataFrame:
     """Shortest distance between two selections of each structure.
@@ -136,10 +145,12 @@ def contacts(molecules: DataFrame, cell_size: float, keys: Sequence[str] = ("str
 
 def nearest_attribute(points: DataFrame, atoms: DataFrame, attribute: str, cell_size: float,
                       keys: Sequence[str] = KEY, point_id: str = "point_id") -> DataFrame:
-    """Give each point the attribute of its nearest atom (ties to the smallest atom index).
+    """Give each point the attribute of its nearest atom: fewest cells away, then least distance, then
+    smallest atom index.
 
-    Neighbour cells are searched first.  Only points without any atom there are searched again two
-    and three cells out; what is still empty then keeps a null attribute.
+    Neighbour cells are searched first.  Points without any atom there are searched again with cells of
+    twice the size, and so on; a find counts once its ring of original cells was covered in full.  Only
+    points of keys without any atom keep a null attribute.
     """
     sources = (atoms.groupBy(*keys, "x", "y", "z")
                .agg(F.min(F.struct("atom_idx", attribute)).alias("_a"))
@@ -147,19 +158,24 @@ def nearest_attribute(points: DataFrame, atoms: DataFrame, attribute: str, cell_
                        F.col(f"_a.{attribute}").alias(attribute)))
     identity = [*keys, point_id]
     slim = points.select(*identity, "x", "y", "z")
+    steps = [F.abs(F.floor(F.col(a) / cell_size) - F.floor(F.col(f"{a}_r") / cell_size)) for a in "xyz"]
 
-    def best(pairs: DataFrame, rank) -> DataFrame:
-        return (pairs.groupBy(*identity)
-                .agg(F.min(F.struct(rank.alias("ring"), F.col("d2").alias("d2"),
+    def best(wanted: DataFrame, times: int) -> DataFrame:
+        """Best atom among cells ``times`` as large; all rings below ``times`` are covered."""
+        ring = F.greatest(F.lit(1), *steps)
+        return (grid.candidates(wanted, sources, keys, cell_size * times).where(ring <= max(1, times - 1))
+                .groupBy(*identity)
+                .agg(F.min(F.struct(ring.alias("ring"), F.col("d2").alias("d2"),
                                     F.col("atom_idx_r").alias("atom_idx"),
                                     F.col(f"{attribute}_r").alias(attribute))).alias("_best"))
                 .select(*identity, F.col("_best.d2").alias("d2"), F.col("_best.atom_idx").alias("atom_idx"),
                         F.col(f"_best.{attribute}").alias(attribute)))
 
-    close = best(grid.candidates(slim, sources, keys, cell_size), F.lit(1))
-    missing = slim.join(close.select(*identity), identity, "left_anti")
-    wide = grid.candidates(missing, sources, keys, cell_size, rings=3, per_tile=4)
-    steps = [F.abs(F.floor(F.col(a) / cell_size) - F.floor(F.col(f"{a}_r") / cell_size)) for a in "xyz"]
-    far = best(wide, F.greatest(F.lit(2), F.greatest(*steps)))
-    found = close.unionByName(far)
+    found, times = best(slim, 1), 4
+    answerable = slim.join(sources.select(*keys).distinct(), list(keys), "left_semi")
+    missing = stage(answerable.join(found.select(*identity), identity, "left_anti"), "far-points")
+    while not missing.isEmpty():
+        more = stage(best(missing, times), "far-finds")
+        found, times = found.unionByName(more), 2 * times
+        missing = stage(missing.join(more.select(*identity), identity, "left_anti"), "far-points")
     return points.select(*identity).join(found, identity, "left")

@@ -116,14 +116,9 @@ def frame_series(frames: DataFrame, reference_frame: int = 0) -> DataFrame:
     reference = frames.where(F.col("frame") == reference_frame).select(
         "traj_id", "atom_idx", *[F.col(a).alias(f"{a}_r") for a in "xyz"])
     delta = v.sub(v.columns(), v.columns(suffix="_r"))
-    sums = (frames.join(reference, ["traj_id", "atom_idx"])
-            .groupBy("traj_id", "frame").agg(
-                F.avg(v.dot(delta, delta)).alias("_d2"),
-                F.avg(v.dot(v.columns(), v.columns())).alias("_q"),
-                *[F.avg(a).alias(f"_m{a}") for a in "xyz"]))
-    centre2 = F.col("_mx") * F.col("_mx") + F.col("_my") * F.col("_my") + F.col("_mz") * F.col("_mz")
-    return sums.select("traj_id", "frame", F.sqrt("_d2").alias("rmsd"),
-                       F.sqrt(F.greatest(F.lit(0.0), F.col("_q") - centre2)).alias("gyration"))
+    spread = [F.var_pop(a) for a in "xyz"]  # merged centred moments: exact far from the origin as well
+    return (frames.join(reference, ["traj_id", "atom_idx"]).groupBy("traj_id", "frame")
+            .agg(F.sqrt(F.avg(v.dot(delta, delta))).alias("rmsd"), F.sqrt(sum(spread[1:], spread[0])).alias("gyration")))
 
 
 def compatibility(structures: DataFrame, trajectories: DataFrame) -> DataFrame:

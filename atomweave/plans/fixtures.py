@@ -67,10 +67,15 @@ def frame_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "num_atoms", F.lit(20).cast("long"))
 
 
+def structures(spark: SparkSession, sf_dir: str) -> int:
+    """Number of structures; their ids are 1 to this number."""
+    return table(spark, sf_dir, "supplier").count()
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frame times asked for, some of them outside the series."""
     return table(spark, sf_dir, "orders").selectExpr(
-        "o_custkey % 100 AS traj_id", "o_orderkey AS request_id", "(o_orderkey % 400) / 8.0D - 2.0D AS t")
+        f"o_custkey % {structures(spark, sf_dir)} + 1 AS traj_id", "o_orderkey AS request_id", "(o_orderkey % 400) / 8.0D - 2.0D AS t")
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +130,7 @@ def bond_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File ranges of secondary structure from ``orders``."""
     return table(spark, sf_dir, "orders").selectExpr(
-        "o_custkey % 100 AS structure_id", "chr(65 + CAST(o_orderkey % 4 AS INT)) AS chain_id",
+        f"o_custkey % {structures(spark, sf_dir)} + 1 AS structure_id", "chr(65 + CAST(o_orderkey % 4 AS INT)) AS chain_id",
         "CAST(o_orderkey % 150 AS INT) AS first_seq", "CAST(o_orderkey % 150 AS INT) + 10 AS last_seq",
         "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'Helix' WHEN '2' THEN 'Sheet' WHEN '3' THEN 'Turn' "
         "WHEN '4' THEN 'Helix' ELSE 'Sheet' END AS kind", "o_orderkey AS ordinal")
@@ -134,7 +139,7 @@ def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points from the first three components of ``embeddings``, spread over structures."""
     return table(spark, sf_dir, "embeddings").selectExpr(
-        "vec_id % 100 AS structure_id", "vec_id AS point_id",
+        f"vec_id % {structures(spark, sf_dir)} + 1 AS structure_id", "vec_id AS point_id",
         "20 + round(CAST(embedding[0] AS DOUBLE) * 64) AS x", "20 + round(CAST(embedding[1] AS DOUBLE) * 64) AS y",
         "20 + round(CAST(embedding[2] AS DOUBLE) * 64) AS z", "label")
 
@@ -309,7 +314,7 @@ SQL = {
         SELECT f.* FROM frames f SEMI JOIN (SELECT traj_id, frame FROM frames GROUP BY ALL HAVING count(*) = 20) c
         ON f.traj_id = c.traj_id AND f.frame = c.frame""",
     "requests": """
-        SELECT o_custkey % 100 AS traj_id, o_orderkey AS request_id, (o_orderkey % 400) / 8.0::DOUBLE - 2.0::DOUBLE AS t
+        SELECT o_custkey % (SELECT count(*) FROM supplier) + 1 AS traj_id, o_orderkey AS request_id, (o_orderkey % 400) / 8.0::DOUBLE - 2.0::DOUBLE AS t
         FROM orders""",
     "snapshots": """
         SELECT structure_id, CAST(floor(atom_idx / 20) AS BIGINT) AS tick, CAST(atom_idx % 20 AS BIGINT) AS mol_id,
@@ -335,12 +340,12 @@ SQL = {
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY structure_id, nh ORDER BY energy, co) AS rank
         FROM bond_edges) WHERE rank <= 2""",
     "ranges": """
-        SELECT o_custkey % 100 AS structure_id, chr(65 + CAST(o_orderkey % 4 AS INTEGER)) AS chain_id,
+        SELECT o_custkey % (SELECT count(*) FROM supplier) + 1 AS structure_id, chr(65 + CAST(o_orderkey % 4 AS INTEGER)) AS chain_id,
           CAST(o_orderkey % 150 AS INTEGER) AS first_seq, CAST(o_orderkey % 150 AS INTEGER) + 10 AS last_seq,
           CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'Helix' WHEN '2' THEN 'Sheet' WHEN '3' THEN 'Turn'
                WHEN '4' THEN 'Helix' ELSE 'Sheet' END AS kind, o_orderkey AS ordinal FROM orders""",
     "points": """
-        SELECT vec_id % 100 AS structure_id, vec_id AS point_id,
+        SELECT vec_id % (SELECT count(*) FROM supplier) + 1 AS structure_id, vec_id AS point_id,
           20 + round(CAST(embedding[1] AS DOUBLE) * 64) AS x, 20 + round(CAST(embedding[2] AS DOUBLE) * 64) AS y,
           20 + round(CAST(embedding[3] AS DOUBLE) * 64) AS z, label FROM embeddings""",
     "series": """
@@ -381,7 +386,10 @@ DEPENDS = {
 
 
 def with_views(query: str, *names: str, extra: dict[str, str] | None = None) -> str:
-    """SQL text with the named views (and what they build on) as common table expressions."""
+    """SQL text with the named views (and what they build on) as common table expressions.
+
+    A text of ``extra`` that begins with MATERIALIZED is computed once, though several views read it.
+    """
     order: list[str] = []
 
     def visit(name: str) -> None:
@@ -393,5 +401,7 @@ def with_views(query: str, *names: str, extra: dict[str, str] | None = None) ->
     for name in names:
         visit(name)
     parts = [f"{name} AS ({SQL[name]})" for name in order]
-    parts += [f"{name} AS ({text})" for name, text in (extra or {}).items()]
+    for name, text in (extra or {}).items():
+        kept = "MATERIALIZED " if text.startswith("MATERIALIZED ") else ""
+        parts.append(f"{name} AS {kept}({text.removeprefix(kept)})")
     return f"WITH RECURSIVE {', '.join(parts)} {query}" if parts else query

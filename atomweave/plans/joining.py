@@ -26,8 +26,9 @@ BONDS = """
 BOND_VIEWS = {"bondable": BONDABLE, "bonds": BONDS}
 
 
-def bonds(spark: SparkSession, sf: str) -> DataFrame:
-    return neighbours.bonds(neighbours.without_lone_ions(fx.numbered(spark, sf)))
+def bonds(spark: SparkSession, sf: str, atoms: DataFrame | None = None) -> DataFrame:
+    """Bonds of the numbered atoms, which are staged once where the caller needs them too."""
+    return neighbours.bonds(neighbours.without_lone_ions(fx.numbered(spark, sf) if atoms is None else atoms))
 
 
 @query("d1_bonds", "SELECT * FROM bonds", "numbered", "res_rows", extra=BOND_VIEWS)
@@ -168,7 +169,7 @@ def _ring(a: str) -> str:
       SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY ring, d2, atom_idx) AS n FROM (
         SELECT p.point_id, t.atom_idx, t.element, greatest(1, {_ring('x')}, {_ring('y')}, {_ring('z')}) AS ring,
           (p.x-t.x)*(p.x-t.x) + (p.y-t.y)*(p.y-t.y) + (p.z-t.z)*(p.z-t.z) AS d2
-        FROM points p JOIN atoms t ON p.structure_id = t.structure_id) WHERE ring <= 3) f ON f.point_id = p.point_id AND f.n = 1""",
+        FROM points p JOIN atoms t ON p.structure_id = t.structure_id)) f ON f.point_id = p.point_id AND f.n = 1""",
        "points", "atoms")
 def nearest_attribute(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.nearest_attribute(fx.points(spark, sf), fx.atoms(spark, sf), "element", J6_CELL)
@@ -179,7 +180,8 @@ def nearest_attribute(spark: SparkSession, sf: str) -> DataFrame:
     JOIN numbered n ON n.structure_id = b.structure_id AND n.atom_idx = atom_b AND n.element <> 1""",
        "numbered", "res_rows", extra=BOND_VIEWS)
 def selected_bonds(spark: SparkSession, sf: str) -> DataFrame:
-    return exports.bonds_of(bonds(spark, sf), fx.numbered(spark, sf).where(~sel.element("H")))
+    atoms = fx.numbered(spark, sf)
+    return exports.bonds_of(bonds(spark, sf, atoms), atoms.where(~sel.element("H")))
 
 
 @query("j8_work_list", """
@@ -237,8 +239,9 @@ def _d(a: str, b: str) -> str:
 
 
 MEASURED = {
-    "tuples": """SELECT structure_id, atom_idx AS tuple_id, atom_idx AS a, (atom_idx * 7 + 1) % 650 AS b,
-                 (atom_idx * 13 + 2) % 650 AS c, (atom_idx * 29 + 3) % 650 AS d FROM atoms""",
+    "tuples": """SELECT structure_id, atom_idx AS tuple_id, atom_idx AS a, (atom_idx * 7 + 1) % n AS b,
+                 (atom_idx * 13 + 2) % n AS c, (atom_idx * 29 + 3) % n AS d
+                 FROM atoms JOIN (SELECT structure_id, max(atom_idx) + 2 AS n FROM atoms GROUP BY 1) USING (structure_id)""",
     "placed": """
         SELECT t.*, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS "by", b.z AS bz, c.x AS cx, c.y AS cy, c.z AS cz,
           d.x AS dx, d.y AS dy, d.z AS dz, b.x - a.x AS ux, b.y - a.y AS uy, b.z - a.z AS uz,
@@ -263,8 +266,10 @@ TORSION = """CASE WHEN greatest(abs(mx), abs(my), abs(mz)) <= 1e-4 OR greatest(a
     FROM normals""", "atoms", extra=MEASURED)
 def measure_tuples(spark: SparkSession, sf: str) -> DataFrame:
     atoms = fx.atoms(spark, sf)
-    tuples = atoms.selectExpr("structure_id", "atom_idx AS tuple_id", "atom_idx AS a", "(atom_idx * 7 + 1) % 650 AS b",
-                              "(atom_idx * 13 + 2) % 650 AS c", "(atom_idx * 29 + 3) % 650 AS d")
+    sizes = atoms.groupBy("structure_id").agg((F.max("atom_idx") + 2).alias("n"))
+    tuples = atoms.join(sizes, "structure_id").selectExpr(
+        "structure_id", "atom_idx AS tuple_id", "atom_idx AS a", "(atom_idx * 7 + 1) % n AS b",
+        "(atom_idx * 13 + 2) % n AS c", "(atom_idx * 29 + 3) % n AS d")
     found = measures.measure_tuples(tuples, atoms)
     return found.select("structure_id", "tuple_id", *rr(["distance", "angle", "dihedral"], 4))
 
@@ -369,8 +374,7 @@ def chain_kind(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("e10_chain_sequence", """
-    SELECT structure_id, chain_idx, CAST(floor(residue_idx / 4096) AS BIGINT) AS piece,
-      string_agg(letter, '' ORDER BY residue_idx) AS sequence FROM res_rows GROUP BY 1, 2, 3""", "res_rows")
+    SELECT structure_id, chain_idx, string_agg(letter, '' ORDER BY residue_idx) AS sequence FROM res_rows GROUP BY 1, 2""", "res_rows")
 def chain_sequence(spark: SparkSession, sf: str) -> DataFrame:
     return assemble.chain_sequences(assemble.residue_table(fx.numbered(spark, sf)))
 
@@ -381,7 +385,8 @@ def chain_sequence(spark: SparkSession, sf: str) -> DataFrame:
     FROM numbered LEFT JOIN (SELECT structure_id, count(*) AS n FROM bonds GROUP BY 1) USING (structure_id) GROUP BY 1""",
        "numbered", "res_rows", extra=BOND_VIEWS)
 def structure_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return assemble.structure_summary(fx.numbered(spark, sf), bonds(spark, sf))
+    atoms = fx.numbered(spark, sf)
+    return assemble.structure_summary(atoms, bonds(spark, sf, atoms))
 
 
 @query("e12_span_rollup", """
@@ -404,19 +409,16 @@ def secondary_composition(spark: SparkSession, sf: str) -> DataFrame:
 
 
 VOXEL = 2.5
-VOXEL_CAP = 9000
 FIELD = {
     "used": "SELECT *, vdw_radius AS r FROM enriched WHERE NOT is_water AND element <> 1",
     "extent": """
         SELECT structure_id, max(r) * 2.5 AS reach, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1,
           min(z) AS z0, max(z) AS z1 FROM used GROUP BY 1""",
-    "sizes": f"""
-        SELECT *, CAST(ceil((x1 - x0 + 2 * reach) / voxel) + 1 AS INTEGER) AS nx, CAST(ceil((y1 - y0 + 2 * reach) / voxel) + 1 AS INTEGER) AS ny,
+    "lattice": f"""MATERIALIZED 
+        SELECT structure_id, reach, voxel, x0 - reach AS ox, y0 - reach AS oy, z0 - reach AS oz,
+          CAST(ceil((x1 - x0 + 2 * reach) / voxel) + 1 AS INTEGER) AS nx, CAST(ceil((y1 - y0 + 2 * reach) / voxel) + 1 AS INTEGER) AS ny,
           CAST(ceil((z1 - z0 + 2 * reach) / voxel) + 1 AS INTEGER) AS nz
-        FROM extent CROSS JOIN (VALUES ({VOXEL}::DOUBLE), ({VOXEL * 1.5}::DOUBLE), ({VOXEL * 2.25}::DOUBLE), ({VOXEL * 3.375}::DOUBLE)) AS v(voxel)""",
-    "lattice": f"""
-        SELECT structure_id, reach, voxel, x0 - reach AS ox, y0 - reach AS oy, z0 - reach AS oz, nx, ny, nz
-        FROM sizes WHERE nx * ny * nz <= {VOXEL_CAP} QUALIFY row_number() OVER (PARTITION BY structure_id ORDER BY voxel) = 1""",
+        FROM (SELECT *, {VOXEL}::DOUBLE AS voxel FROM extent)""",
     "spread": """
         SELECT u.structure_id, ix, iy, iz, reach, r,
           (ox + ix * voxel - x) * (ox + ix * voxel - x) + (oy + iy * voxel - y) * (oy + iy * voxel - y)
@@ -425,7 +427,7 @@ FIELD = {
           unnest(generate_series(greatest(0, CAST(ceil((x - reach - ox) / voxel) AS INTEGER)), least(nx - 1, CAST(floor((x + reach - ox) / voxel) AS INTEGER)))) AS gx(ix),
           unnest(generate_series(greatest(0, CAST(ceil((y - reach - oy) / voxel) AS INTEGER)), least(ny - 1, CAST(floor((y + reach - oy) / voxel) AS INTEGER)))) AS gy(iy),
           unnest(generate_series(greatest(0, CAST(ceil((z - reach - oz) / voxel) AS INTEGER)), least(nz - 1, CAST(floor((z + reach - oz) / voxel) AS INTEGER)))) AS gz(iz)""",
-    "field": """
+    "field": """MATERIALIZED 
         SELECT structure_id, ix, iy, iz, sum(exp(-2.3 * (d2 / (r * r) - 1))) AS density
         FROM spread WHERE d2 <= reach * reach GROUP BY 1, 2, 3, 4""",
 }
@@ -433,7 +435,7 @@ FIELD = {
 
 def field(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     atoms = density.contributing(fx.enriched(spark, sf))
-    lattice = density.voxel_grid(atoms, VOXEL, VOXEL_CAP)
+    lattice = density.voxel_grid(atoms, VOXEL)
     return density.density_field(atoms, lattice), lattice
 
 
@@ -458,15 +460,19 @@ def inside_volume(spark: SparkSession, sf: str) -> DataFrame:
     SELECT structure_id, ax, ay, az, dx, dy, dz, {q('t', 4)} AS t, {q('ox + voxel * (ax + t * dx)', 4)} AS x,
       {q('oy + voxel * (ay + t * dy)', 4)} AS y, {q('oz + voxel * (az + t * dz)', 4)} AS z
     FROM (SELECT *, (0.5 - lo) / (hi - lo) AS t FROM (
-      SELECT a.structure_id, a.ix AS ax, a.iy AS ay, a.iz AS az, dx, dy, dz, a.density AS lo, coalesce(b.density, 0) AS hi
-      FROM every_voxel a CROSS JOIN (VALUES (1,0,0), (0,1,0), (0,0,1), (1,1,0), (1,0,1), (0,1,1), (1,1,1)) AS v(dx, dy, dz)
-      JOIN every_voxel b ON b.structure_id = a.structure_id AND b.ix = a.ix + dx AND b.iy = a.iy + dy AND b.iz = a.iz + dz)
-      WHERE (lo >= 0.5) <> (hi >= 0.5)) JOIN lattice USING (structure_id)""", "enriched",
-       extra={**FIELD, "every_voxel": """
-        SELECT l.structure_id, ix, iy, iz, coalesce(density, 0) AS density FROM
-          (SELECT structure_id, ix, iy, iz FROM lattice, unnest(generate_series(0, nx - 1)) AS gx(ix),
-             unnest(generate_series(0, ny - 1)) AS gy(iy), unnest(generate_series(0, nz - 1)) AS gz(iz)) l
-        LEFT JOIN field f USING (structure_id, ix, iy, iz)"""})
+      SELECT structure_id, least(ix, jx) AS ax, least(iy, jy) AS ay, least(iz, jz) AS az, dx, dy, dz,
+        CASE WHEN up THEN density ELSE other END AS lo, CASE WHEN up THEN other ELSE density END AS hi
+      FROM (SELECT l.*, coalesce(f.density, 0) AS other FROM looks l LEFT JOIN field f ON f.structure_id = l.structure_id
+              AND f.ix = jx AND f.iy = jy AND f.iz = jz) WHERE other < 0.5)) JOIN lattice USING (structure_id)""", "enriched",
+       extra={**FIELD, "looks": """
+        SELECT i.structure_id, i.ix, i.iy, i.iz, i.density, dx, dy, dz, up,
+          CASE WHEN up THEN i.ix + dx ELSE i.ix - dx END AS jx, CASE WHEN up THEN i.iy + dy ELSE i.iy - dy END AS jy,
+          CASE WHEN up THEN i.iz + dz ELSE i.iz - dz END AS jz
+        FROM field i JOIN lattice l ON l.structure_id = i.structure_id,
+          (VALUES (1,0,0), (0,1,0), (0,0,1), (1,1,0), (1,0,1), (0,1,1), (1,1,1)) AS v(dx, dy, dz), (VALUES (true), (false)) AS w(up)
+        WHERE i.density >= 0.5
+          AND CASE WHEN up THEN i.ix + dx < nx AND i.iy + dy < ny AND i.iz + dz < nz
+                   ELSE i.ix - dx >= 0 AND i.iy - dy >= 0 AND i.iz - dz >= 0 END"""})
 def iso_crossings(spark: SparkSession, sf: str) -> DataFrame:
     voxels, lattice = field(spark, sf)
     found = density.iso_crossings(voxels, lattice)
@@ -497,7 +503,10 @@ def quality_report(spark: SparkSession, sf: str) -> DataFrame:
     expected = fx.table(spark, sf, "supplier").selectExpr(
         "s_suppkey AS structure_id", "300 + s_nationkey AS min_atoms", "480 + s_nationkey AS max_atoms",
         "s_nationkey * 8 AS file_helix", "s_nationkey * 6 AS file_sheet")
-    return measures.quality_report(structure_summary(spark, sf), secondary_composition(spark, sf), expected)
+    atoms = fx.numbered(spark, sf)
+    summary = assemble.structure_summary(atoms, bonds(spark, sf, atoms))
+    states = assemble.apply_ranges(assemble.residue_table(atoms), fx.ranges(spark, sf))
+    return measures.quality_report(summary, measures.secondary_composition(states), expected)
 
 
 @query("e18_attribution_report", f"""

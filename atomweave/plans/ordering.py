@@ -331,8 +331,8 @@ def point_export(spark: SparkSession, sf: str) -> DataFrame:
       JOIN numbered n ON n.structure_id = b.structure_id AND n.atom_idx = atom_b) CROSS JOIN (VALUES (1), (2)) AS h(half)""",
        "numbered", "res_rows", extra=BOND_VIEWS)
 def bond_export(spark: SparkSession, sf: str) -> DataFrame:
-    atoms = fx.numbered(spark, sf).withColumn("colour", F.col("element"))
-    return exports.bond_table(bonds(spark, sf), atoms, 10.0)
+    atoms = fx.numbered(spark, sf)
+    return exports.bond_table(bonds(spark, sf, atoms), atoms.withColumn("colour", F.col("element")), 10.0)
 
 
 @query("h1_selection_algebra", """
@@ -435,13 +435,15 @@ def box_lengths(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("s1_binding_stream", "SELECT structure_id, mol_id, tick, bound, bound_to FROM walk", "snapshots", extra=EVENTS)
 def binding_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """Contact rows land in files of later and later ticks and are processed as a stream."""
+    """Contact rows land in spans of later and later ticks; each span is processed when it has landed."""
     rows = decided(spark, sf).select(
         "structure_id", "mol_id", "tick", "partner_id", "bind", "unbind")
     landed, target = fresh_path(spark, "contact-stream"), fresh_path(spark, "binding-states")
+    checkpoint = fresh_path(spark, "binding-checkpoint")
     for low, high in ((None, 10), (10, 20), (20, None)):
         part = rows if low is None else rows.where(F.col("tick") >= low)
         part = part if high is None else part.where(F.col("tick") < high)
-        part.coalesce(4).write.mode("append").parquet(landed)
-    stream.run_available(spark, landed, rows.schema, target, fresh_path(spark, "binding-checkpoint"), files_per_batch=4)
-    return spark.read.schema(stream.OUTPUT).parquet(target)
+        part.write.mode("append").parquet(landed)
+        stream.run_available(spark, landed, rows.schema, target, checkpoint)
+    states = spark.read.schema(stream.OUTPUT).parquet(target)
+    return states.select("structure_id", "mol_id", "tick", "bound", "bound_to")

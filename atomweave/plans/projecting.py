@@ -199,7 +199,7 @@ def periodic_wrap(spark: SparkSession, sf: str) -> DataFrame:
 
 def _bounces() -> str:
     text = "SELECT *, x AS v, y - 15 AS s FROM atoms"
-    for _ in range(dynamics.MAX_BOUNCES):
+    for _ in range(16):  # x is at most 40, so no more than 11 bounces between 10 and 12.5
         text = (f"SELECT * EXCLUDE (v, s), CASE WHEN v < 10 THEN 20 - v WHEN v > 12.5 THEN 25 - v ELSE v END AS v, "
                 f"CASE WHEN v < 10 THEN abs(s) WHEN v > 12.5 THEN -abs(s) ELSE s END AS s FROM ({text})")
     return text
@@ -323,8 +323,9 @@ def secondary_selection(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("c13_index_lists", """
-    SELECT structure_id, CAST(floor(atom_idx / 4096) AS BIGINT) AS chunk, string_agg(atom_idx, ',' ORDER BY atom_idx) AS atoms,
-      count(*) AS num_selected FROM enriched WHERE element = 8 GROUP BY ALL""", "enriched")
+    SELECT * EXCLUDE (n), CAST(sum(n) OVER (PARTITION BY structure_id) AS BIGINT) AS num_selected FROM (
+      SELECT structure_id, CAST(floor(atom_idx / 4096) AS BIGINT) AS chunk, string_agg(atom_idx, ',' ORDER BY atom_idx) AS atoms,
+        count(*) AS n FROM enriched WHERE element = 8 GROUP BY ALL)""", "enriched")
 def index_lists(spark: SparkSession, sf: str) -> DataFrame:
     lists = sel.index_lists(fx.enriched(spark, sf).where(sel.element("O")))
     return lists.select("structure_id", "chunk", F.concat_ws(",", F.transform(

@@ -165,7 +165,7 @@ ROUTED = """
         WHEN contains(head, chr(10) || 'atom  ') OR starts_with(head, 'atom  ') OR contains(head, chr(10) || 'hetatm')
           OR starts_with(head, 'hetatm') OR starts_with(head, 'header') THEN 'pdb' ELSE 'unknown' END AS format
     FROM (SELECT doc_id, CASE WHEN doc_id % 7 < 5 THEN lower(string_split(path, '.')[-1]) ELSE '' END AS ext,
-                 lower(substr(content, 1, 4096)) AS head FROM routed)""", extra={"routed": ROUTED})
+                 lower(content) AS head FROM routed)""", extra={"routed": ROUTED})
 def format_routing(spark: SparkSession, sf: str) -> DataFrame:
     files = fx.table(spark, sf, "documents").selectExpr(
         "doc_id",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -24,21 +26,45 @@ def local_session(cores: str | int = 8, app: str = "atomweave") -> SparkSession:
     )
 
 
+_LOCAL: list[str] = []  # the folder of this process, where no shared one is set
+_STAGED: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a laptop) is a fresh local folder used.
+    Only in a local session without the setting (tests, a laptop) is a fresh local folder used.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    local = context.master.startswith("local[") or context.master == "local"
+    if folder:
+        default = context._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+        if not local and "://" not in folder and not folder.startswith("file:") and default.startswith("file:"):
+            raise ValueError(f"spark.checkpoint.dir is {folder}: on a cluster it needs a scheme that names a shared store")
+        return folder
+    if not local:
+        raise ValueError("on a cluster spark.checkpoint.dir has to name a folder that all executors share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+    return _LOCAL[0]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new, so far unused path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new, so far unused path below the shared folder; :func:`drop_staged` removes it."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    return path
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete all that this process has staged so far; results that still read it must be done with."""
+    jvm, conf, count = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        count += bool(path.getFileSystem(conf).delete(path, True))
+    return count
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -131,7 +131,8 @@ def with_breaks(lines: DataFrame, keys: Sequence[str] = KEY, model: int = 1) ->
 def headers(lines: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Identifier, title, method, resolution, prediction flag and model count of each file.
 
-    Only header records enter the aggregate.  Title parts are joined in line order.
+    Only header records enter the aggregate.  Title parts are joined in line order.  A file without
+    header records has empty texts, no resolution and one model.
     """
     rec = record()
     kinds = ("HEADER", "TITLE ", "EXPDTA", "REMARK", "MODEL ")
@@ -157,7 +158,10 @@ def headers(lines: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
         latest("REMARK", resolution, F.coalesce(resolved, F.lit(False))).alias("resolution"),
         F.bool_or(is_("REMARK") & F.upper("line").contains("ALPHAFOLD")).alias("_remark"),
         F.greatest(F.lit(1), F.coalesce(F.max(F.when(is_("MODEL "), model)), F.lit(1))).alias("num_models"))
-    return (found.withColumn("is_prediction", F.col("_remark") | F.upper("title").contains("ALPHAFOLD"))
+    predicted = F.coalesce(F.col("_remark") | F.upper("title").contains("ALPHAFOLD"), F.lit(False))
+    named = lines.select(*keys).distinct().join(found, list(keys), "left")
+    return (named.withColumn("is_prediction", predicted)
+            .withColumns({"title": F.coalesce("title", F.lit("")), "num_models": F.coalesce("num_models", F.lit(1))})
             .drop("_remark"))
 
 

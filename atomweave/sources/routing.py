@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 MMCIF_EXTENSIONS = ("cif", "mmcif", "bcif")
 PDB_EXTENSIONS = ("pdb", "ent")
-HEAD = 4096
 
 
 def format_from_content(content: Column) -> Column:
-    """Format by marks in the first 4096 characters, upper and lower case alike."""
-    head = F.lower(F.substring(content, 1, HEAD))
+    """Format by marks anywhere in the text, upper and lower case alike."""
+    head = F.lower(content)
     cif = head.contains("_atom_site.") | head.contains("loop_") | head.startswith("data_")
     pdb = (head.contains("\natom  ") | head.startswith("atom  ") | head.contains("\nhetatm")
            | head.startswith("hetatm") | head.startswith("header"))

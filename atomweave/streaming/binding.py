@@ -16,14 +16,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-OUTPUT = "structure_id bigint, mol_id bigint, tick bigint, bound boolean, bound_to bigint"
+OUTPUT = "structure_id bigint, mol_id bigint, tick bigint, bound boolean, bound_to bigint, late boolean"
 STATE = "bound_to bigint, last_tick bigint"
 NOBODY = -1
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class BindingProcessor(StatefulProcessor):
-    """Value state per molecule: whom it is bound to and the last tick seen."""
+    """Value state per molecule: whom it is bound to and the last tick seen.
+
+    Rows of one batch are put in order.  A row that comes in a later batch than a row of a later tick
+    cannot be decided any more: it is returned with ``late`` set and no state, so no row is lost.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("binding", STATE)
@@ -34,6 +38,7 @@ class BindingProcessor(StatefulProcessor):
         out = []
         for row in batch.itertuples(index=False):
             if row.tick <= last_tick:
+                out.append((int(key[0]), int(key[1]), int(row.tick), None, None, True))
                 continue
             if partner != NOBODY:
                 partner = NOBODY if row.unbind else partner
@@ -41,9 +46,10 @@ class BindingProcessor(StatefulProcessor):
                 partner = int(row.partner_id)
             last_tick = int(row.tick)
             out.append((int(key[0]), int(key[1]), last_tick, partner != NOBODY,
-                        partner if partner != NOBODY else None))
+                        partner if partner != NOBODY else None, False))
         self.state.update((partner, last_tick))
-        frame = pd.DataFrame(out, columns=["structure_id", "mol_id", "tick", "bound", "bound_to"])
+        frame = pd.DataFrame(out, columns=["structure_id", "mol_id", "tick", "bound", "bound_to", "late"])
+        frame["bound"] = frame["bound"].astype("boolean")
         frame["bound_to"] = frame["bound_to"].astype("Int64")
         yield frame
 
@@ -61,17 +67,28 @@ def bind_stream(decisions: DataFrame) -> DataFrame:
                                         outputMode="append", timeMode="none"))
 
 
+def late_counts(states: DataFrame) -> DataFrame:
+    """Rows per structure that came too late to be decided."""
+    return states.where("late").groupBy("structure_id").agg(F.count(F.lit(1)).alias("num_late"))
+
+
 def run_available(spark: SparkSession, source: str, schema, target: str, checkpoint: str,
-                  files_per_batch: int = 64) -> None:
-    """Process all landed contact files in order and append the states to ``target``."""
+                  files_per_batch: int | None = None) -> int:
+    """Process the contact files that have landed since the last call; returns the number of batches.
+
+    Without ``files_per_batch`` all new files are one batch, so a call after each span of ticks keeps
+    the order; with it, the files of one span have to fit into one batch.
+    """
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     try:
-        stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source))
+        reader = spark.readStream.schema(schema)
+        stream = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(source)
         query = (bind_stream(stream).writeStream.format("parquet").outputMode("append")
                  .option("path", target).option("checkpointLocation", checkpoint)
                  .trigger(availableNow=True).start())
         query.awaitTermination()
+        return len({p["batchId"] for p in query.recentProgress if p["numInputRows"]})
     finally:
         if before is None:
             spark.conf.unset("spark.sql.streaming.stateStore.providerClass")

@@ -115,7 +115,7 @@ def test_boundaries_and_bands(spark):
 
     def bounced(v):
         v, s = float(v), 1.0
-        for _ in range(8):
+        for _ in range(100):
             if v < -1:
                 v, s = -2 - v, abs(s)
             elif v > 1:

@@ -92,9 +92,11 @@ def test_stream_equals_batch_and_survives_restart(spark):
     rows = [(1, m, t, int(rng.integers(0, 9)), bool(rng.random() < 0.4), bool(rng.random() < 0.3)) for m in range(5) for t in range(30)]
     events = spark.createDataFrame(rows, "structure_id bigint, mol_id bigint, tick bigint, partner_id bigint, bind boolean, unbind boolean")
     landed, target, checkpoint = (fresh_path(spark, n) for n in ("landed", "target", "checkpoint"))
-    for low, high in ((0, 12), (12, 30)):
-        events.where(f"tick >= {low} AND tick < {high}").coalesce(1).write.mode("append").parquet(landed)
-        stream.run_available(spark, landed, events.schema, target, checkpoint, files_per_batch=1)
+    batches = []
+    for low, high in ((0, 12), (12, 20), (20, 30)):
+        events.where(f"tick >= {low} AND tick < {high}").repartition(3).write.mode("append").parquet(landed)
+        batches.append(stream.run_available(spark, landed, events.schema, target, checkpoint))
+    assert batches == [1, 1, 1]
     got = {(r.mol_id, r.tick): r.bound for r in spark.read.schema(stream.OUTPUT).parquet(target).collect()}
     batch = {(r.mol_id, r.tick): r.bound for r in binding.binding_states(events).collect()}
     assert got == batch
@@ -103,3 +105,22 @@ def test_stream_equals_batch_and_survives_restart(spark):
         for _, _, t, _, bind, unbind in (r for r in rows if r[1] == m):
             bound = (not unbind) if bound else bind
             assert got[(m, t)] == bound
+
+
+def test_stream_loses_no_late_row(spark):
+    rows = [(1, 1, t, 5, True, False) for t in range(7)]
+    events = spark.createDataFrame(rows, "structure_id bigint, mol_id bigint, tick bigint, partner_id bigint, bind boolean, unbind boolean")
+    landed, target, checkpoint = (fresh_path(spark, n) for n in ("landed", "target", "checkpoint"))
+    for ticks in ((0, 1, 5), (2, 3, 4, 6)):
+        events.where(events.tick.isin(*ticks)).write.mode("append").parquet(landed)
+        stream.run_available(spark, landed, events.schema, target, checkpoint)
+    states = spark.read.schema(stream.OUTPUT).parquet(target)
+    assert sorted(r.tick for r in states.collect()) == list(range(7))
+    assert sorted(r.tick for r in states.where("late").collect()) == [2, 3, 4]
+    assert stream.late_counts(states).first().num_late == 3
+
+
+def test_frame_spread_far_from_the_origin(spark):
+    rows = [(1, f, a, 1e7 + a % 2, -1e7, 1e7) for f in range(2) for a in range(4)]
+    frames = spark.createDataFrame(rows, "traj_id int, frame int, atom_idx int, x double, y double, z double")
+    assert [r.gyration for r in trajectory.frame_series(frames).collect()] == pytest.approx([0.5, 0.5], rel=1e-9)

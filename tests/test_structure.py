@@ -8,8 +8,9 @@ import pytest
 import samples
 from pyspark.sql import functions as F
 
+from atomweave import session
 from atomweave.functions import chemistry
-from atomweave.operators import backbone, binding, density, grid, neighbours, scans, secondary
+from atomweave.operators import backbone, binding, density, grid, measures, neighbours, scans, secondary
 
 
 def states(spark, rows):
@@ -172,3 +173,35 @@ def test_grid_join_negative_coordinates(spark):
     df = spark.createDataFrame(rows, "structure_id int, i int, x double, y double, z double")
     got = grid.candidates(df, df, ["structure_id"], 6.0, condition=grid.distance2() <= 36.0).count()
     assert got == sum(math.dist(p[2:], q[2:]) <= 6 for p in rows for q in rows)
+
+
+def test_nearest_attribute_is_found_at_any_distance(spark):
+    atoms = spark.createDataFrame([(1, 0, 0.0, 0.0, 0.0, "a"), (1, 1, 500.0, 0.0, 0.0, "b")],
+                                  "structure_id int, atom_idx int, x double, y double, z double, kind string")
+    points = spark.createDataFrame([(1, 1, 1.0, 0.0, 0.0), (1, 2, 200.0, 90.0, 0.0), (1, 3, -9000.0, 1.0, 1.0), (2, 4, 0.0, 0.0, 0.0)],
+                                   "structure_id int, point_id int, x double, y double, z double")
+    got = {r.point_id: r.kind for r in neighbours.nearest_attribute(points, atoms, "kind", 2.0).collect()}
+    assert got == {1: "a", 2: "a", 3: "a", 4: None}
+
+
+def test_within_flag_and_strict_comparison(spark):
+    atoms = spark.createDataFrame([(1, i, float(3 * i), 0.0, 0.0) for i in range(5)],
+                                  "structure_id int, atom_idx int, x double, y double, z double")
+    flagged = neighbours.with_within(atoms, atoms.where("atom_idx = 0"), 4.0)
+    assert [r.atom_idx for r in flagged.where("NOT within OR atom_idx = 1").orderBy("atom_idx").collect()] == [1, 2, 3, 4]
+    other = atoms.where("atom_idx < 4").union(atoms.where("atom_idx = 0"))
+    got = sorted((r.atom_idx, r.status) for r in measures.reconcile_strict(atoms, other, atoms.columns).collect())
+    assert got == [(0, "only_b"), (4, "only_a")]
+    assert measures.reconcile_strict(atoms, atoms, atoms.columns).count() == 0
+
+
+def test_staging_folder(spark):
+    path = session.fresh_path(spark, "probe")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3 and path.startswith(session.shared_folder(spark))
+    before = list(session._STAGED)
+    session._STAGED[:] = [path]
+    assert session.drop_staged(spark) == 1
+    session._STAGED[:] = [p for p in before if p != path]
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
