@@ -1,10 +1,9 @@
 """WARC archives: write captures, read records back, and assemble transactions.
 
 Archives are written and read by Spark's text source, so they can lie in any store Spark knows, a lost
-task is repeated by the commit protocol, and large archives are read in parts.  Every WARC record ends
-with two line ends; the reader cuts at the two line ends that stand before a version line.  Where a block
-itself holds such a cut, the record is shorter than its declared length: files with such records, and only
-those, are put together again in order of their cuts, one record in memory at a time.
+task is repeated by the commit protocol, and large archives are read in parts.  The reader cuts at version
+lines.  Where a block itself holds one, the piece is shorter than its record's declared length: files with
+such records, and only those, are put together again in order of their cuts, one record in memory at a time.
 
 A capture is a request, a response (or a revisit of an equal one) and a metadata record; request and
 metadata name the response in ``WARC-Concurrent-To``.
@@ -23,7 +22,7 @@ from .common import query, table
 
 VERSION = "WARC/1.1"
 END = "\r\n\r\n"
-CUT = END + VERSION + "\r\n"
+CUT = VERSION + "\r\n"  # no prefix of it occurs in it again, which a line reader's buffers could trip over
 #: Payloads of at least so many bytes are stored once.
 LEAST_REVISIT = 1000
 
@@ -125,36 +124,39 @@ def _glue(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """All records: ``record_id``, ``type``, ``target``, ``concurrent_to``, ``payload_digest``, ``length``,
-    ``headers`` (the header lines) and ``block`` (exactly ``length`` bytes, as text)."""
+    ``headers`` (the header lines), ``block`` (bytes, as many as declared) and ``complete`` (whether the
+    archive has all of them)."""
     pieces = (spark.read.option("lineSep", CUT).text(folder)
               .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"),
-                      F.monotonically_increasing_id().alias("place"),
-                      F.regexp_replace("value", "^" + VERSION + "\r\n", "").alias("record")))
-    parsed = _parsed(pieces)
-    broken = stage(parsed.where(F.octet_length("block") < F.col("length")).select("file").distinct(), "cut-archives")
-    if not broken.isEmpty():
-        again = (pieces.join(broken, "file", "left_semi").repartition("file")
-                 .sortWithinPartitions("file", "part", "place")
-                 .select("file", "record").mapInArrow(_glue, "record string"))
-        parsed = _parsed(pieces.join(broken, "file", "left_anti").select("record").union(again))
-    return parsed.where(F.col("type").isNotNull()).drop("record", "file", "part", "place")
+                      F.monotonically_increasing_id().alias("place"), F.col("value").alias("record"))
+              .where("record != ''"))
+    head = F.substring_index("record", END, 1)
+    has = F.octet_length("record") - F.octet_length(head) - len(END)
+    broken = stage(pieces.where(has < _field(head, "Content-Length").cast("long")).select("file").distinct(), "cut-archives")
+    if broken.isEmpty():
+        return _parsed(pieces)
+    again = (pieces.join(broken, "file", "left_semi").repartition("file").sortWithinPartitions("file", "part", "place")
+             .select("file", "record").mapInArrow(_glue, "record string"))
+    return _parsed(pieces.join(broken, "file", "left_anti").select("record").union(again))
 
 
-def _parsed(pieces: DataFrame) -> DataFrame:
-    at = F.locate(END, F.col("record"))
-    headers = F.when(at > 0, F.substring_index("record", END, 1)).otherwise(F.col("record"))
+def _field(headers: Column, name: str) -> Column:
+    """A header field's value, whatever the case of its name; null if it is not there."""
+    found = F.regexp_extract(headers, rf"(?im)^{name}:[ \t]*(.*?)\r?$", 1)
+    return F.when(found != "", found)
 
-    def field(name: str) -> Column:
-        found = F.regexp_extract(headers, rf"(?im)^{name}:[ \t]*(.*?)\r?$", 1)
-        return F.when(found != "", found)
 
-    block = F.when(at > 0, F.col("record").substr(at + len(END), F.length("record"))).otherwise("")
-    length = F.coalesce(field("Content-Length").cast("long"), F.lit(0))
-    return pieces.withColumns({
-        "record_id": field("WARC-Record-ID"), "type": field("WARC-Type"), "target": field("WARC-Target-URI"),
-        "concurrent_to": field("WARC-Concurrent-To"), "payload_digest": field("WARC-Payload-Digest"), "length": length,
-        "headers": headers,
-        "block": F.when(F.octet_length(block) > length, F.decode(F.substring(F.encode(block, "UTF-8"), F.lit(1), length.cast("int")), "UTF-8")).otherwise(block)})
+def _parsed(pieces: DataFrame) -> DataFrame:
+    head = F.col("headers")
+    cut = pieces.withColumn("headers", F.substring_index("record", END, 1))
+    length = F.coalesce(_field(head, "Content-Length").cast("int"), F.lit(0))
+    block = F.substring(F.col("record").cast("binary"), F.octet_length(head) + len(END) + 1, length)
+    return (cut.select(
+        _field(head, "WARC-Record-ID").alias("record_id"), _field(head, "WARC-Type").alias("type"),
+        _field(head, "WARC-Target-URI").alias("target"), _field(head, "WARC-Concurrent-To").alias("concurrent_to"),
+        _field(head, "WARC-Payload-Digest").alias("payload_digest"), length.cast("long").alias("length"), head, block.alias("block"),
+        (F.octet_length("record") - F.octet_length(head) - len(END) >= length).alias("complete"))
+        .where("type IS NOT NULL"))
 
 
 def transactions(records: DataFrame) -> DataFrame:
@@ -168,12 +170,12 @@ def transactions(records: DataFrame) -> DataFrame:
     captures = records.where(F.col("type").isin("response", "revisit")).select(
         "record_id", F.struct(*kept).alias("capture"))
 
-    def partner(kind: str) -> DataFrame:
-        return (records.where(F.col("type") == kind).groupBy(F.col("concurrent_to").alias("record_id"))
-                .agg(F.min(F.struct(*kept)).alias(kind)))
+    def least(kind: str) -> Column:
+        return F.min(F.when(F.col("type") == kind, F.struct(*kept))).alias(kind)
 
-    return (captures.join(partner("request"), "record_id", "left").join(partner("metadata"), "record_id", "left")
-            .select("capture", "request", "metadata"))
+    partners = (records.where(F.col("type").isin("request", "metadata")).groupBy(F.col("concurrent_to").alias("record_id"))
+                .agg(least("request"), least("metadata")))
+    return captures.join(partners, "record_id", "left").select("capture", "request", "metadata")
 
 
 WARC_SQL = f"""
@@ -192,16 +194,18 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "archives")
     write(with_roles(table(spark, sf_dir, "pages"), F.col("page_id"), F.col("url"), F.col("html")), folder)
     found = transactions(read(spark, folder))
-    payload = F.substring_index(F.col("capture.block"), END, 1)
-    body = F.expr("substring(capture.block, locate('\\r\\n\\r\\n', capture.block) + 4)")
-    head_length = F.regexp_extract(payload, r"(?im)^Content-Length:[ \t]*(\d+)", 1).cast("long")
+    block = F.col("capture.block")
+    at = F.locate(END, block.cast("string"))  # in characters, which are bytes in an HTTP head
+    head = F.decode(F.substring(block, F.lit(1), at), "UTF-8")
+    body = F.substring(block, at + len(END), F.octet_length(block))
     response = F.col("capture.type") == "response"
 
     def about(name: str) -> Column:
-        return F.try_element_at(F.str_to_map("metadata.block", F.lit("\r\n"), F.lit(": ")), F.lit(name)).cast("long")
+        fields = F.str_to_map(F.decode("metadata.block", "UTF-8"), F.lit("\r\n"), F.lit(": "))
+        return F.try_element_at(fields, F.lit(name)).cast("long")
 
     return found.select(
         about("page-id").alias("page_id"),
-        F.when(response, F.octet_length(body).cast("long")).otherwise(head_length).alias("payload_bytes"),
+        F.when(response, F.octet_length(body)).otherwise(_field(head, "Content-Length")).cast("long").alias("payload_bytes"),
         F.when(response, F.sha1(body)).otherwise(F.substring_index("capture.payload_digest", ":", -1)).alias("payload_digest"),
         F.col("capture.type").alias("record_type"), about("refers-to-page-id").alias("refers_to"))
