@@ -126,8 +126,11 @@ def read_texts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 
 def category_rows(texts: DataFrame, keys: Sequence[str] = KEY, text: str = "value",
-                  categories: Sequence[str] | None = CATEGORIES) -> DataFrame:
-    """Category rows of many files: keys, ``ordinal`` (order in the file), ``category``, ``row``, ``items``."""
+                  categories: Sequence[str] | None = None) -> DataFrame:
+    """Category rows of many files: keys, ``ordinal`` (order in the file), ``category``, ``row``, ``items``.
+
+    All categories, or only the named ones; ``CATEGORIES`` are those the functions here read.
+    """
     names = list(keys)
     source = texts.select(*names, F.col(text).alias("_text"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema if f.name in names)

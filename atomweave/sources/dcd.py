@@ -32,6 +32,8 @@ HEADER_BLOCK = 84
 CELL_BLOCK = 48
 MAGIC = b"CORD"
 MAX_ATOMS = 50_000_000
+#: Wanted frames that many bytes apart are read one by one.
+FAR_APART = 1 << 20
 
 SCHEMAS = {
     "frames": "path string, frame bigint, atom_idx bigint, x double, y double, z double",
@@ -175,8 +177,23 @@ class TrajectoryReader(DataSourceReader):
         files = sorted((f.path, f.size) for f in found if f.is_file and f.path.lower().endswith(".dcd"))
         if self.table == "report":
             return pack([Slice(path, size, 0, size) for path, size in files], self.split_bytes)
-        return pack([Slice(path, size, start, min(size, start + self.split_bytes))
-                     for path, size in files for start in range(0, max(size, 1), self.split_bytes)], self.split_bytes)
+        return pack([Slice(path, size, start, min(size, start + self.split_bytes)) for path, size in files
+                     for start in range(0, max(self._wanted_bytes(path, size), 1), self.split_bytes)], self.split_bytes)
+
+    def _wanted_bytes(self, path: str, size: int) -> int:
+        """Bytes up to the last wanted frame; a header is only read where that can save slices."""
+        if self.max_frames <= 0 or size <= self.split_bytes:
+            return size
+        with self._open(path) as handle:
+            try:
+                layout = load_layout(handle)
+            except BadTrajectory:
+                return min(size, self.split_bytes)  # the one slice that reports it
+        return min(size, layout.first_frame + self._last_wanted(layout.whole_frames(size)) * layout.frame_size)
+
+    def _last_wanted(self, whole: int) -> int:
+        """Frames up to and with the last one that stride and limit leave."""
+        return min(whole, (self.max_frames - 1) * self.stride + 1) if self.max_frames > 0 else whole
 
     def _open(self, path: str):
         if "://" in self.location or self.location.startswith("file:"):
@@ -203,7 +220,8 @@ class TrajectoryReader(DataSourceReader):
             # a frame belongs to the slice in which it starts
             skip = layout.first_frame
             first = max(0, -(-(partition.start - skip) // layout.frame_size))
-            last = min(layout.whole_frames(partition.size), max(0, -(-(partition.stop - skip) // layout.frame_size)))
+            last = min(self._last_wanted(layout.whole_frames(partition.size)),
+                       max(0, -(-(partition.stop - skip) // layout.frame_size)))
             step = max(1, (4 << 20) // layout.frame_size)
             for at in range(first, last, step):
                 yield from self._frames(handle, layout, partition.path, at, min(last, at + step))
@@ -213,11 +231,19 @@ class TrajectoryReader(DataSourceReader):
                   and (self.max_frames <= 0 or f // self.stride < self.max_frames)]
         if not wanted or (self.table == "cells" and not layout.has_cell):
             return
-        handle.seek(layout.first_frame + wanted[0] * layout.frame_size)
-        data = handle.read((wanted[-1] - wanted[0] + 1) * layout.frame_size)
-        block = np.frombuffer(data, dtype=layout.frame_dtype())
-        layout.check_marks(block, wanted[0])
-        chosen = block[[f - wanted[0] for f in wanted]]
+        if self.stride * layout.frame_size >= FAR_APART:
+            parts = []
+            for frame in wanted:
+                handle.seek(layout.first_frame + frame * layout.frame_size)
+                parts.append(np.frombuffer(handle.read(layout.frame_size), dtype=layout.frame_dtype()))
+                layout.check_marks(parts[-1], frame)
+            chosen = np.concatenate(parts)
+        else:
+            handle.seek(layout.first_frame + wanted[0] * layout.frame_size)
+            data = handle.read((wanted[-1] - wanted[0] + 1) * layout.frame_size)
+            block = np.frombuffer(data, dtype=layout.frame_dtype())
+            layout.check_marks(block, wanted[0])
+            chosen = block[[f - wanted[0] for f in wanted]]
         numbers = np.asarray(wanted, dtype=np.int64)
         if self.table == "cells":
             # box values are stored as A, gamma, B, beta, alpha, C
@@ -240,7 +266,7 @@ class TrajectoryReader(DataSourceReader):
         try:
             layout = load_layout(handle)
             atoms, step, declared = layout.num_atoms, layout.time_step, layout.declared_frames
-            whole = layout.whole_frames(partition.size)
+            whole = self._last_wanted(layout.whole_frames(partition.size))
             chunk = max(1, (4 << 20) // layout.frame_size)
             for at in range(0, whole, chunk):
                 count = min(whole, at + chunk) - at
@@ -250,6 +276,10 @@ class TrajectoryReader(DataSourceReader):
             loaded = len([1 for f in range(0, whole, self.stride)][:self.max_frames or None])
             if loaded == 0:
                 raise BadTrajectory("no complete frame")
+            rest = partition.size - layout.first_frame - whole * layout.frame_size
+            more = self.max_frames <= 0 or -(-(whole + 1) // self.stride) <= self.max_frames
+            if more and layout.has_cell and 0 < rest < CELL_BLOCK + 8:
+                raise BadTrajectory(f"frame {whole}: file ends in the box block")
         except BadTrajectory as problem:
             status, error, loaded = "error", str(problem), 0
         values = [[partition.path], [status], [error], [atoms], [step], [declared], [loaded]]

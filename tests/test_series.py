@@ -124,3 +124,18 @@ def test_frame_spread_far_from_the_origin(spark):
     rows = [(1, f, a, 1e7 + a % 2, -1e7, 1e7) for f in range(2) for a in range(4)]
     frames = spark.createDataFrame(rows, "traj_id int, frame int, atom_idx int, x double, y double, z double")
     assert [r.gyration for r in trajectory.frame_series(frames).collect()] == pytest.approx([0.5, 0.5], rel=1e-9)
+
+
+def test_report_of_a_cut_box_and_planned_slices(spark, tmp_path):
+    size = 3 * (16 + 8) + 56
+    write(tmp_path / "box.dcd", frames=4, cell=True, cut=size - 20)
+    dcd.register(spark)
+    report = spark.read.format("dcd").option("table", "report")
+    bad = report.load(str(tmp_path)).first()
+    assert bad.status == "error" and "box" in bad.error
+    assert report.option("maxFrames", 3).load(str(tmp_path)).first().status == "ok"
+    write(tmp_path / "box.dcd", frames=60, cell=True)
+    def reader(**limits):
+        options = {"path": str(tmp_path), "splitBytes": "1000"} | limits
+        return dcd.TrajectoryReader(options, "frames")
+    assert len(reader().partitions()) > 7 and len(reader(maxFrames="3", stride="2").partitions()) == 1
