@@ -10,7 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from atomweave.plans import catalogue  # noqa: E402
-from atomweave.session import local_session  # noqa: E402
+from atomweave.session import drop_staged, local_session  # noqa: E402
 
 HEADLINE = [
     "d1_bonds", "d2_within", "f1_run_numbering", "e14_density_field", "e11_structure_summary", "f8_secondary_states",
@@ -31,6 +31,7 @@ def main() -> None:
         times[name] = round(time.time() - start, 3)
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
+    drop_staged(spark)
     spark.stop()
 
 

@@ -6,7 +6,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from atomweave.session import local_session  # noqa: E402
+from atomweave.session import drop_staged, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -14,4 +14,5 @@ def spark():
     session = local_session(8, "tests")
     session.sparkContext.setLogLevel("OFF")
     yield session
+    drop_staged(session)
     session.stop()
