@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import query, table
+from .common import bounded_batches, query, table
 
 #: Encoded pieces a worker keeps; when full, it starts anew.
 KEPT = 200_000
@@ -239,6 +239,7 @@ def tokenized(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 @query("op9_bpe")
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded again."""
+    bounded_batches(spark)
     found = digests(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"),
                     public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return found.withColumnRenamed("id", "doc_id")

@@ -32,6 +32,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let this session send Python at most so many rows at once; 10,000 long texts (Spark's default) would
+    take a large part of an executor's memory."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= rows:
+        spark.conf.set(setting, str(rows))
+
+
 def byte_size(text: Column) -> Column:
     """UTF-8 bytes, none for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import query, shuffle_partitions, table
+from .common import bounded_batches, query, shuffle_partitions, table
 from .words import buffers, chunks, mix
 
 SLOTS, FIRST_LEVEL, PIECE = 64, 2, 1 << 18
@@ -208,4 +208,5 @@ def edited_fingerprints(rows: DataFrame, key: Column, text: Column, buckets: int
 @query("op4_fingerprints")
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
+    bounded_batches(spark)
     return edited_fingerprints(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"))

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import query, table
+from .common import bounded_batches, query, table
 from .words import buffers
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 8, 128
@@ -219,6 +219,7 @@ def fit_documents(docs: DataFrame) -> Network:
 @query("op8_langid")
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
+    bounded_batches(spark)
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, fit_documents(docs), F.col("doc_id"), F.col("text"))
     return found.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "lang_pred", "score")

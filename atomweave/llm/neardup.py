@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 from . import words
-from .common import query, table
+from .common import bounded_batches, query, table
 from .graph import components
 
 #: 40 bands of 4 coordinates miss a pair at similarity 0.75 with a chance of 3e-7, closer pairs more rarely.
@@ -43,7 +43,7 @@ PERCENT = 75
 
 def _circle() -> np.ndarray:
     """The second permutation, continued beyond its end, as overlapping slices of one signature each."""
-    values = np.random.RandomState(7).permutation(CIRCLE).astype(np.uint32)
+    values = np.random.RandomState(7).permutation(np.arange(CIRCLE, dtype=np.uint32))
     whole = np.append(values, values[:BANDS * ROWS])
     return np.lib.stride_tricks.sliding_window_view(whole, BANDS * ROWS)
 
@@ -268,5 +268,6 @@ def one_per_group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 @query("op5_neardup", NEAR_SQL)
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document."""
+    bounded_batches(spark)
     found = near_duplicates(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"))
     return found.withColumnRenamed("id", "doc_id")

@@ -8,17 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from atomweave.llm import bpe, langid, mixing, neardup
-from atomweave.llm.common import table
+from atomweave.llm.common import bounded_batches, table
 from atomweave.session import stage
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised, by a network learned from the documents themselves."""
+    bounded_batches(spark)
     return langid.accepted(docs, langid.fit_documents(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    bounded_batches(spark)
     return neardup.one_per_group(docs)
 
 
@@ -29,6 +31,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in place of texts."""
+    bounded_batches(spark)
     return bpe.tokenized(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
