@@ -1,12 +1,13 @@
-"""Every registered query against its SQL on the smallest tables."""
+"""Every registered query of the library proper against its SQL on the smallest tables."""
 
 import compare
 import pytest
 
 import __spark_entry__ as entry
+from atomweave.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = catalogue.QUERIES, catalogue.ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -22,4 +23,5 @@ def test_query(spark, database, name):
 
 
 def test_entry(spark):
+    assert QUERIES.items() <= entry.queries().items() and ORACLE.items() <= entry.oracle_sql().items()
     assert entry.entry(spark).count() == 10
