@@ -122,16 +122,11 @@ class Codec:
         return b"".join([pieces[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
-_CODECS: dict[str, Codec] = {}
-
-
-def _codec(ranks, pattern: str) -> Codec:
-    """The worker's codec for a broadcast rank table and a pattern; it keeps one at a time."""
-    codec = _CODECS.get(pattern)
-    if codec is None or codec.ranks is not ranks.value:
-        _CODECS.clear()
-        codec = _CODECS[pattern] = Codec(ranks.value, pattern)
-    return codec
+def _codec(shared: dict, pattern: str) -> Codec:
+    """The worker's codec for a pattern; it stays in the worker's copy of the broadcast value."""
+    if ("codec", pattern) not in shared:
+        shared["codec", pattern] = Codec(shared["ranks"], pattern)
+    return shared["codec", pattern]
 
 
 def encode(rows: DataFrame, key: Column, text: Column, path: str, pattern: str) -> DataFrame:
@@ -140,10 +135,10 @@ def encode(rows: DataFrame, key: Column, text: Column, path: str, pattern: str)
     The rank table (a file of fixed size, here about 50,000 tokens) is read on the driver and sent to the
     workers.  Special tokens are ordinary text.  Other columns are ignored.
     """
-    ranks = rows.sparkSession.sparkContext.broadcast(read_ranks(path))
+    ranks = rows.sparkSession.sparkContext.broadcast({"ranks": read_ranks(path)})
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(ranks, pattern)
+        codec = _codec(ranks.value, pattern)
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
@@ -157,10 +152,10 @@ def encode(rows: DataFrame, key: Column, text: Column, path: str, pattern: str)
 
 def decode(rows: DataFrame, key: Column, ids: Column, path: str) -> DataFrame:
     """``id`` and ``bytes`` of every row of ids; null ids are empty, an unknown id raises an error."""
-    ranks = rows.sparkSession.sparkContext.broadcast(read_ranks(path))
+    ranks = rows.sparkSession.sparkContext.broadcast({"ranks": read_ranks(path)})
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(ranks, public_tokenizers.PATTERN)
+        codec = _codec(ranks.value, public_tokenizers.PATTERN)
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
@@ -209,10 +204,10 @@ def fold_words(words: DataFrame, word: Column, path: str, buckets: int = 8192) -
 
 def digests(rows: DataFrame, key: Column, text: Column, path: str, pattern: str) -> DataFrame:
     """``id``, ``n_tokens`` and the SHA-256 of the ids and of the bytes decoded from them, in one pass."""
-    ranks = rows.sparkSession.sparkContext.broadcast(read_ranks(path))
+    ranks = rows.sparkSession.sparkContext.broadcast({"ranks": read_ranks(path)})
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(ranks, pattern)
+        codec = _codec(ranks.value, pattern)
         for batch in batches:
             counts, coded, decoded = [], [], []
             for value in batch.column(1):
