@@ -50,14 +50,14 @@ def with_roles(pages: DataFrame, key: Column, url: Column, payload: Column) -> D
 
     Of rows with equal payloads of at least 1000 bytes the one with the largest id is the response; rows
     that repeat that id are responses too, null ids are the smallest.  Only digests that occur more than
-    once are joined back, and only keys and digests are aggregated.
+    once are joined back; they are staged, so that their size is known before payloads would be shuffled.
     """
     text = F.coalesce(payload, F.lit(""))
     rows = pages.select(key.cast("long").alias("id"), url.alias("url"), text.alias("payload"),
                         F.octet_length(text).cast("long").alias("bytes"), F.sha1(text).alias("digest"))
     large = F.col("bytes") >= LEAST_REVISIT
-    repeated = (rows.where(large).groupBy("digest").agg(F.max("id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-                .where("_n > 1").select(F.col("digest").alias("_digest"), "_first"))
+    repeated = stage(rows.where(large).groupBy("digest").agg(F.max("id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+                     .where("_n > 1").select(F.col("digest").alias("_digest"), "_first"), "repeated-payloads")
     joined = rows.join(repeated, large & (F.col("digest") == F.col("_digest")), "left")
     refers = F.when(~F.col("id").eqNullSafe(F.col("_first")), F.col("_first"))
     return joined.withColumn("refers_to", refers).drop("_digest", "_first")
