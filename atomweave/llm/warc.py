@@ -2,8 +2,8 @@
 
 Archives are written and read by Spark's text source, so they can lie in any store Spark knows, a lost
 task is repeated by the commit protocol, and large archives are read in parts.  The reader cuts at version
-lines.  Where a block itself holds one, the piece is shorter than its record's declared length: files with
-such records, and only those, are put together again in order of their cuts, one record in memory at a time.
+lines.  Where a block itself holds one, the piece is shorter than its record's declared length, and where a
+header line ends like one, the piece has no end of headers: files with such records, and only those, are put together again in order of their cuts, one record in memory at a time.
 
 A capture is a request, a response (or a revisit of an equal one) and a metadata record; request and
 metadata name the response in ``WARC-Concurrent-To``.
@@ -11,6 +11,7 @@ metadata name the response in ``WARC-Concurrent-To``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -98,28 +99,40 @@ def write(captures: DataFrame, folder: str, compression: str = "gzip") -> None:
 
 
 def _glue(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Put records together again that were cut inside their blocks; rows come in order."""
-    held, name = "", None
+    """Put records together again that were cut inside their headers or blocks; rows come in order.
 
-    def lacks(record: str) -> bool:
-        head, _, block = record.partition(END)
-        length = next((int(line.split(":", 1)[1]) for line in head.split("\r\n")
-                       if line.lower().startswith("content-length:")), 0)
-        return len(block.encode()) < length
+    Empty pieces count: they stand between two version lines in a row.  Only what lies before a file's first
+    version line is no record's beginning.
+    """
+    held, name, lacking = [], None, 0
+
+    def missing(record: str) -> int:
+        """Bytes that the block lacks; -1 while the headers have not ended."""
+        head, end, block = record.partition(END)
+        if not end:
+            return -1
+        lengths = (line.split(":", 1)[1].strip() for line in head.split("\r\n") if line.lower().startswith("content-length:"))
+        length = next(lengths, "")
+        return max(0, int(length) - len(block.encode())) if re.fullmatch("[0-9]+", length) else 0
 
-    def out(record: str) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([record])], ["record"])
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([CUT.join(held)])], ["record"])
 
     for batch in batches:
         for file, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if name == file and lacks(held):
-                held += CUT + piece
+            if name == file and lacking:
+                held.append(piece)
+                if lacking > 0:
+                    lacking = max(0, lacking - len(CUT) - len(piece.encode()))
+                elif END in CUT + piece:
+                    lacking = missing(CUT.join(held))
                 continue
             if name is not None:
-                yield out(held)
-            held, name = piece, file
+                yield out()
+            lacking = 0 if name != file and END not in piece else missing(piece)
+            held, name = [piece], file
     if name is not None:
-        yield out(held)
+        yield out()
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -128,11 +141,11 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     archive has all of them)."""
     pieces = (spark.read.option("lineSep", CUT).text(folder)
               .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"),
-                      F.monotonically_increasing_id().alias("place"), F.col("value").alias("record"))
-              .where("record != ''"))
+                      F.monotonically_increasing_id().alias("place"), F.col("value").alias("record")))
     head = F.substring_index("record", END, 1)
     has = F.octet_length("record") - F.octet_length(head) - len(END)
-    broken = stage(pieces.where(has < _field(head, "Content-Length").cast("long")).select("file").distinct(), "cut-archives")
+    short = (F.col("record") != "") & (has < _length(head))  # without the end of its headers a piece has less than nothing
+    broken = stage(pieces.where(short).select("file").distinct(), "cut-archives")
     if broken.isEmpty():
         return _parsed(pieces)
     again = (pieces.join(broken, "file", "left_semi").repartition("file").sortWithinPartitions("file", "part", "place")
@@ -146,15 +159,21 @@ def _field(headers: Column, name: str) -> Column:
     return F.when(found != "", found)
 
 
+def _length(headers: Column) -> Column:
+    """The declared length, 0 where it is missing or no number."""
+    return F.coalesce(_field(headers, "Content-Length").try_cast("long"), F.lit(0))
+
+
 def _parsed(pieces: DataFrame) -> DataFrame:
     head = F.col("headers")
     cut = pieces.withColumn("headers", F.substring_index("record", END, 1))
-    length = F.coalesce(_field(head, "Content-Length").cast("int"), F.lit(0))
-    block = F.substring(F.col("record").cast("binary"), F.octet_length(head) + len(END) + 1, length)
+    length = _length(head)
+    block = F.substring(F.col("record").cast("binary"), F.octet_length(head) + len(END) + 1,
+                        F.least(length, F.lit(2**31 - 1)).cast("int"))
     return (cut.select(
         _field(head, "WARC-Record-ID").alias("record_id"), _field(head, "WARC-Type").alias("type"),
         _field(head, "WARC-Target-URI").alias("target"), _field(head, "WARC-Concurrent-To").alias("concurrent_to"),
-        _field(head, "WARC-Payload-Digest").alias("payload_digest"), length.cast("long").alias("length"), head, block.alias("block"),
+        _field(head, "WARC-Payload-Digest").alias("payload_digest"), length.alias("length"), head, block.alias("block"),
         (F.octet_length("record") - F.octet_length(head) - len(END) >= length).alias("complete"))
         .where("type IS NOT NULL"))
 

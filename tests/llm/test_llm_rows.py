@@ -217,6 +217,19 @@ def test_warc(spark, tmp_path):
     assert nested.where("request IS NULL OR metadata IS NULL").count() == 0
 
 
+def warc_rows(spark, folder, pages):
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    return Counter(map(tuple, warc.op2_warc(spark, nasty.save(frame.coalesce(1), folder, "pages")).collect()))
+
+
+def test_warc_version_lines_in_a_row(spark, tmp_path):
+    pages = [(1, "a", "x" * 20 + warc.CUT * 2 + "y"), (2, "b", warc.CUT * 5), (3, "c", warc.CUT + "Content-Length: x" + warc.END),
+             (4, "http://d/" + warc.VERSION, "short"), (5, warc.VERSION, warc.CUT * 3 + warc.VERSION), (6, "f", "plain"),
+             (7, "g", warc.CUT + "Content-Length: 99999999999" + warc.END + warc.CUT * 2), (8, "h", warc.CUT * 30000)]
+    want = Counter((key, len(html), hashlib.sha1(html.encode()).hexdigest(), "response", None) for key, _, html in pages)
+    assert warc_rows(spark, tmp_path, pages) == want
+
+
 def test_chat(spark):
     calls = spark.createDataFrame([
         (1, "a", None, "answer", '{"turn": 1, "text": "x"}', 9), (2, "b", "a", "answer", '{"text":"","turn":1}', 9),
