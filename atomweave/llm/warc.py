@@ -68,7 +68,7 @@ def write(captures: DataFrame, folder: str, compression: str = "gzip") -> None:
     """Write rows of :func:`with_roles` as archives.
 
     Archives compressed by gzip are read as a stream by one task each, uncompressed ones ("none") in parts.
-    Rows that are equal in id, URL and payload have the same record ids.
+    Rows that are equal in id, URL and payload have the same record ids.  A null id is left out of the metadata.
     """
     key = F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.coalesce("url", F.lit("")), "digest")
     response, target = _name("response", key), F.coalesce(F.when(F.col("url") != "", _clean(F.col("url"))),
@@ -80,8 +80,8 @@ def write(captures: DataFrame, folder: str, compression: str = "gzip") -> None:
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
                     F.col("bytes").cast("string"), F.lit(END))
     request = F.concat(F.lit("GET "), target, F.lit(" HTTP/1.1\r\nHost: "), host, F.lit(END))
-    about = F.concat(F.lit("page-id: "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("\r\n"),
-                     F.coalesce(F.concat(F.lit("refers-to-page-id: "), F.col("refers_to").cast("string"), F.lit("\r\n")), F.lit("")))
+    about = F.concat(*[F.coalesce(F.concat(F.lit(f"{field}: "), value.cast("string"), F.lit("\r\n")), F.lit(""))
+                       for field, value in (("page-id", F.col("id")), ("refers-to-page-id", F.col("refers_to")))])
     records = F.array(
         _record(F.lit("request"), _name("request", key),
                 [("WARC-Date", date), ("WARC-Target-URI", target), ("WARC-Concurrent-To", response),
@@ -209,7 +209,11 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'r
 
 @query("op2_warc", WARC_SQL)
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page as a capture, written to archives and read back."""
+    """Every page as a capture, written to archives and read back.
+
+    A page without an id is a response unless an equal page of 1000 bytes or more has one, which it then refers
+    to; the SQL, where a null equals nothing, calls each such page a revisit that refers to nothing.
+    """
     folder = fresh_path(spark, "archives")
     write(with_roles(table(spark, sf_dir, "pages"), F.col("page_id"), F.col("url"), F.col("html")), folder)
     found = transactions(read(spark, folder))
@@ -221,7 +225,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def about(name: str) -> Column:
         fields = F.str_to_map(F.decode("metadata.block", "UTF-8"), F.lit("\r\n"), F.lit(": "))
-        return F.try_element_at(fields, F.lit(name)).cast("long")
+        return F.try_element_at(fields, F.lit(name)).try_cast("long")
 
     return found.select(
         about("page-id").alias("page_id"),

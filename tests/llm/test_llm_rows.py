@@ -230,6 +230,19 @@ def test_warc_version_lines_in_a_row(spark, tmp_path):
     assert warc_rows(spark, tmp_path, pages) == want
 
 
+def test_warc_null_page_ids(spark, tmp_path):
+    large, alone, both = "l" * 2000, "n" * 1500, "b" * 1000
+    pages = [(None, "a", "short"), (None, None, None), (None, "c", large), (3, "c", large), (4, "d", large), (None, "e", alone),
+             (None, "f", both), (None, "f", both), (None, "g", both), (5, "h", "short")]
+    refers = {large: 4}
+    want = Counter()
+    for key, _, html in pages:
+        data, first = (html or "").encode(), refers.get(html, key)
+        want[(key, len(data), hashlib.sha1(data).hexdigest(), "response" if first == key else "revisit",
+              None if first == key else first)] += 1
+    assert warc_rows(spark, tmp_path, pages) == want
+
+
 def test_chat(spark):
     calls = spark.createDataFrame([
         (1, "a", None, "answer", '{"turn": 1, "text": "x"}', 9), (2, "b", "a", "answer", '{"text":"","turn":1}', 9),
