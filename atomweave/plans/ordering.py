@@ -426,9 +426,12 @@ def frame_series(spark: SparkSession, sf: str) -> DataFrame:
     SELECT DISTINCT traj_id, CAST(frame AS BIGINT) AS frame, 60.0::DOUBLE + frame AS a, 70.0::DOUBLE + frame AS b, 80.0::DOUBLE + frame AS c
     FROM whole WHERE traj_id % 10 <> 9 AND frame % 2 = 0 AND frame < 20""", "whole")
 def box_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    """The first ten of every second frame of a trajectory; each of its files is read as far as it can hold them."""
     from .reading import FILE_FRAMES, open_trajectories
-    cells = open_trajectories(spark, sf, "cells", stride=2, maxFrames=10)
-    return cells.select("traj_id", (F.col("part") * FILE_FRAMES + F.col("frame")).alias("frame"), "a", "b", "c")
+    stride, most = 2, 10  # the stride divides FILE_FRAMES, so a file's frames are the trajectory's
+    cells = open_trajectories(spark, sf, "cells", stride=stride, maxFrames=most)
+    frame = F.col("part") * FILE_FRAMES + F.col("frame")
+    return cells.where(frame < stride * most).select("traj_id", frame.alias("frame"), "a", "b", "c")
 
 
 # --------------------------------------------------------------------------- streaming

@@ -1,11 +1,13 @@
 """Both structure formats: exact values of a small fragment, and edge cases of each."""
 
+import compare
 import pytest
 import samples
 from pyspark.sql import functions as F
 
 from atomweave.functions import chemistry, selection as sel
 from atomweave.operators import assemble, measures, neighbours
+from atomweave.plans import catalogue, reading
 from atomweave.sources import cif, manifest, pdb, routing
 
 
@@ -105,3 +107,12 @@ def test_files_on_disk(spark, tmp_path):
     assert manifest.inventory(landed).first().num_fresh == 3
     old = manifest.with_freshness(landed, F.current_timestamp() + F.expr("INTERVAL 40 DAYS"), 30)
     assert old.where("is_fresh").count() == 0
+
+
+def test_box_lengths_of_trajectories_over_several_files(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(reading, "FILE_FRAMES", 8)  # the ten frames wanted of a trajectory lie in three files, more follow
+    name = "t8_box_lengths"
+    assert reading.open_trajectories(spark, sf, "report").agg({"part": "max"}).first()[0] >= 3
+    problem, count, *_ = compare.check(spark, sf, name, catalogue.QUERIES[name], catalogue.ORACLE[name], compare.connect(sf))
+    assert problem is None and count > 0
