@@ -25,6 +25,8 @@ from .words import buffers
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 8, 128
 UNKNOWN = "und"
+#: Scores of so many pairs of a text and a label are in a worker's memory at once.
+SCORES = 400_000
 
 
 @dataclass
@@ -110,7 +112,7 @@ def train(windows: np.ndarray, classes: np.ndarray, labels: list[str], rounds: i
     return net
 
 
-def cut(offsets: np.ndarray, data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def cut(offsets: np.ndarray, data: np.ndarray, portion: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """All windows of all texts in portions: the windows, the text each belongs to, and its used length.
 
     Nothing is left out: the last window of a text is padded with zero bytes.
@@ -120,24 +122,31 @@ def cut(offsets: np.ndarray, data: np.ndarray) -> Iterator[tuple[np.ndarray, np.
     number = np.arange(len(owner)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
     start = offsets[:-1][owner] + number * WINDOW
     used = np.minimum(WINDOW, offsets[1:][owner] - start)
-    for first in range(0, len(owner), 512):
-        at, length = start[first:first + 512], used[first:first + 512]
+    for first in range(0, len(owner), portion):
+        at, length = start[first:first + portion], used[first:first + portion]
         places = at[:, None] + np.arange(WINDOW)
         inside = np.arange(WINDOW) < length[:, None]
         windows = np.where(inside, data[np.minimum(places, len(data) - 1)], 0).astype(np.uint8)
-        yield windows, owner[first:first + 512], length
+        yield windows, owner[first:first + portion], length
 
 
 def predictor(net: Network):
-    """Arrow function from (id, text) to (id, label, probability); a null text is unknown."""
+    """Arrow function from (id, text) to (id, label, probability); a null text is unknown, and so is every text
+    to a network without labels."""
+    rows = max(1, min(1000, SCORES // max(1, len(net.labels))))
+
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = net.pairs()
         for batch in batches:
-            for first in range(0, batch.num_rows, 1000):
-                part = batch.slice(first, 1000)
+            for first in range(0, batch.num_rows, rows):
+                part = batch.slice(first, rows)
+                if not net.labels:
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([UNKNOWN] * part.num_rows, pa.string()),
+                                                      pa.array([0.0] * part.num_rows, pa.float64())], ["id", "label", "share"])
+                    continue
                 offsets, data = buffers(part.column(1))
                 scores = np.zeros((part.num_rows, len(net.labels)))
-                for windows, owner, length in cut(offsets, data):
+                for windows, owner, length in cut(offsets, data, min(512, rows)):
                     hidden = np.maximum(pooled(windows, pairs) + net.bias, 0)
                     np.add.at(scores, owner, (hidden @ net.out + net.out_bias) * length[:, None])
                 share = softmax(scores / np.maximum(np.diff(offsets), 1)[:, None])
@@ -151,13 +160,11 @@ def predictor(net: Network):
     return predict
 
 
-def fit(rows: DataFrame, text: Column, label: Column, order: Column, per_label: int = 1500,
-        most_labels: int = 400) -> Network:
-    """Train on a bounded sample of the labelled ``rows``.
+def sample(rows: DataFrame, text: Column, label: Column, order: Column, per_label: int) -> DataFrame:
+    """``label`` and ``window`` of at most ``per_label`` labelled rows of each label.
 
-    The sample is ``per_label`` rows of each label, those with the smallest ``order`` (a 64-bit hash of the
-    row, so that it is spread evenly), and of each row one window from a place in its text that ``order``
-    picks.  At most ``most_labels`` * ``per_label`` windows reach the driver; more labels raise an error.
+    They are the rows with the smallest ``order`` (a 64-bit hash of the row, so that the sample is spread
+    evenly), and of each row one window from a place in its text that ``order`` picks.
     """
     spread = F.pmod(order, F.greatest(F.octet_length(text) - WINDOW + 1, F.lit(1))).cast("int")
     useful = rows.where(label.isNotNull() & text.rlike(r"\p{L}"))
@@ -169,19 +176,51 @@ def fit(rows: DataFrame, text: Column, label: Column, order: Column, per_label:
     thin = windows.join(counts, F.col("label") == F.col("_label")).where(
         (share * F.col("_count") <= 4.0 * per_label) | (F.col("_order") == F.col("_least")))
     first = F.row_number().over(Window.partitionBy("label").orderBy("_order"))
-    sample = thin.withColumn("_n", first).where(F.col("_n") <= per_label).select("label", "window")
-    got = sample.limit(most_labels * per_label + 1).toPandas().sort_values(["label", "window"])
+    return thin.withColumn("_n", first).where(F.col("_n") <= per_label).select("label", "window")
+
+
+def learn(drawn: DataFrame, most_labels: int | None = None) -> Network:
+    """Train on the rows of :func:`sample`; without rows the network has no labels and knows no language.
+
+    With ``most_labels``, no label or more labels than that raise an error.
+    """
+    got = drawn.toPandas().sort_values(["label", "window"])
     labels = sorted(got["label"].unique())
-    if len(labels) > most_labels or not labels:
+    if most_labels is not None and not 0 < len(labels) <= most_labels:
         raise ValueError(f"{len(labels)} labels to learn; 1 to {most_labels} are allowed")
+    if not labels:
+        return Network([], [np.zeros((w, 256, FILTERS), np.float32) for w in WIDTHS], np.zeros(FILTERS * len(WIDTHS), np.float32),
+                       np.zeros((FILTERS * len(WIDTHS), 0), np.float32), np.zeros(0, np.float32))
     data = np.frombuffer(b"".join(w.ljust(WINDOW, b"\0") for w in got["window"]), np.uint8).reshape(-1, WINDOW)
     return train(data, np.searchsorted(labels, got["label"].to_numpy(str)), labels)
 
 
+def fit(rows: DataFrame, text: Column, label: Column, order: Column, per_label: int = 1500,
+        most_labels: int = 400) -> Network:
+    """Train on a :func:`sample` of the labelled ``rows`` with a fixed number of rows per label.
+
+    At most ``most_labels`` * ``per_label`` windows reach the driver; no label or more labels raise an
+    error.  :func:`fit_any` takes any number of them.
+    """
+    return learn(sample(rows, text, label, order, per_label).limit(most_labels * per_label + 1), most_labels)
+
+
+def fit_any(rows: DataFrame, text: Column, label: Column, order: Column, per_label: int = 1500,
+            windows: int = 600_000) -> Network:
+    """Train on a :func:`sample` of the labelled ``rows``, whatever the number of labels.
+
+    Labels share ``windows`` evenly where ``per_label`` rows of each are more than that, but every label keeps a
+    row, so at most ``windows`` rows, or one a label if that is more, reach the driver.  Without a labelled row
+    every text is ``und`` with score 0.
+    """
+    labels = rows.where(label.isNotNull()).select(label.alias("label")).distinct().count()
+    return learn(sample(rows, text, label, order, max(1, min(per_label, windows // max(1, labels)))))
+
+
 def identify(rows: DataFrame, net: Network, key: Column, text: Column) -> DataFrame:
     """``id``, ``lang_pred``, ``score`` of every row; whole texts are read.
 
-    A null text or one without a letter is ``und`` with score 0.  Other columns are ignored.
+    A null text or one without a letter is ``und`` with score 0, and so is each text if the network has no labels.  Other columns are ignored.
     """
     named = rows.select(key.alias("id"), F.when(text.rlike(r"\p{L}"), text).alias("text"))
     kind = named.schema["id"].dataType.simpleString()
@@ -213,7 +252,7 @@ def held_out(key: Column) -> Column:
 
 def fit_documents(docs: DataFrame) -> Network:
     """The production network: learned from the labelled documents that are not held out."""
-    return fit(docs.where(~held_out(F.col("doc_id"))), F.col("text"), F.col("lang"), F.xxhash64("doc_id", "text"))
+    return fit_any(docs.where(~held_out(F.col("doc_id"))), F.col("text"), F.col("lang"), F.xxhash64("doc_id", "text"))
 
 
 @query("op8_langid")

@@ -126,6 +126,29 @@ def test_langid_limits(spark):
     assert langid.accepted(docs, net).columns == docs.columns
 
 
+def test_langid_without_labels(spark, tmp_path):
+    docs = nasty.documents(spark)
+    blank = docs.withColumn("lang", F.lit(None).cast("string"))
+    for name, rows in (("none", docs.limit(0)), ("unlabelled", blank), ("no-texts", docs.withColumn("text", F.lit(None).cast("string")))):
+        folder = nasty.save(rows, tmp_path / name, "documents")
+        got = langid.op8_langid(spark, folder).collect()
+        assert len(got) == rows.count() and all((r.lang_pred, r.score) == ("und", 0.0) for r in got)
+        assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_langid_of_many_labels(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SCORES", 3000)  # so that scores come in several portions
+    words = ["".join(chr(97 + (i // 26 ** k) % 26) for k in range(3)) for i in range(450)]
+    docs = spark.createDataFrame([(i, f"{w} " * 20 + str(j), w) for i, w in enumerate(words) for j in range(3)], "doc_id long, text string, lang string")
+    order = F.xxhash64("doc_id", "text")
+    drawn = langid.sample(docs, F.col("text"), F.col("lang"), order, 1500)
+    assert drawn.count() == 1350
+    net = langid.fit_any(docs, F.col("text"), F.col("lang"), order, windows=900)
+    assert net.labels == sorted(words)
+    found = langid.identify(docs, net, F.col("doc_id"), F.col("text")).collect()
+    assert len(found) == 1350 and {r.lang_pred for r in found} <= set(words)
+
+
 def test_bpe(spark, tmp_path):
     odd = ["ab" * 2000 + " " * 500, "it's we'll I'D 12 ½Ⅷ²", "\x1c\x1d \x85\xa0　x ​ y", "é नमस्ते ١٢٣",
            "\n\n  \n x  y\t\tz   ", "<|endoftext|> x", "a" * 3000]
