@@ -13,7 +13,7 @@ from collections.abc import Iterator, Mapping
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
@@ -151,26 +151,49 @@ SCHEMAS = {
 }
 
 
+#: Values of ``turn`` that one window orders.
+TURNS = 1024
+
+
+def _asked_before(turns: DataFrame, asking: DataFrame) -> DataFrame:
+    """``turns`` with ``_before``: the latest earlier turn of the conversation that is in ``asking``.
+
+    Conversations are ordered in blocks of turn numbers, so that a long one is no single task.
+    """
+    keys = ["conv_id", "_blk"]
+
+    def tagged(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_blk", F.floor(F.col("turn") / TURNS).cast("long"))
+
+    places = tagged(turns.select("conv_id", "turn").where("conv_id IS NOT NULL AND turn IS NOT NULL").distinct()
+                    .join(asking.withColumn("_ask", F.col("turn")), ["conv_id", "turn"], "left"))
+    lasts = places.groupBy(*keys).agg(F.max("_ask").alias("_last")).select(*keys, F.max("_last").over(
+        Window.partitionBy("conv_id").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    inside = F.max("_ask").over(Window.partitionBy(*keys).orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
+    found = (places.withColumn("_inside", inside).join(lasts, keys)
+             .select("conv_id", "turn", F.coalesce("_inside", "_carry").alias("_before")))
+    return turns.join(stage(found, "calls-before"), ["conv_id", "turn"], "left")
+
+
 def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of conversations: a system turn configures, a user turn asks for an answer and
-    follows the call of the one or two turns before it, an assistant's turn is the result of the turn before."""
+    follows the call before it, an assistant's turn is a result of the latest call before it.
+
+    Turn numbers may have gaps, and a call may have any number of results.
+    """
     def name(turn: Column) -> Column:
         return F.concat(F.lit("call_"), F.col("conv_id").cast("string"), F.lit("_"), turn.cast("string"))
 
     record = F.struct("conv_id", "turn").alias("record")
     assistant = F.coalesce(F.col("role") == "assistant", F.lit(False))
-    asking = turns.where(~assistant)
-    before = asking.select("conv_id", "turn").distinct()
-    one = before.select("conv_id", (F.col("turn") + 1).alias("turn"), F.lit(True).alias("_one"))
-    two = before.select("conv_id", (F.col("turn") + 2).alias("turn"), F.lit(True).alias("_two"))
+    linked = _asked_before(turns, turns.where(~assistant).select("conv_id", "turn").distinct())
     configure = F.coalesce(F.col("role") == "system", F.lit(False))
-    calls = (asking.join(one, ["conv_id", "turn"], "left").join(two, ["conv_id", "turn"], "left").select(
-        record, name(F.col("turn")).alias("id"),
-        F.when(F.col("_one"), name(F.col("turn") - 1)).when(F.col("_two"), name(F.col("turn") - 2)).alias("after"),
+    calls = linked.where(~assistant).select(
+        record, name(F.col("turn")).alias("id"), name(F.col("_before")).alias("after"),
         F.when(configure, "configure").otherwise("answer").alias("name"),
         F.when(configure, F.to_json(F.struct(F.col("text").alias("style"))))
-         .otherwise(F.to_json(F.struct("turn", "text"))).alias("arguments")))
-    results = turns.where(assistant).select(record, name(F.col("turn") - 1).alias("id"), F.col("text").alias("content"))
+         .otherwise(F.to_json(F.struct("turn", "text"))).alias("arguments"))
+    results = linked.where(assistant).select(record, name(F.col("_before")).alias("id"), F.col("text").alias("content"))
     return calls, results
 
 
@@ -197,7 +220,10 @@ FROM m
 
 @query("op6_chat", CHAT_SQL)
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations as linked tool calls and results."""
+    """All conversations as linked tool calls and results.
+
+    The SQL names the call of every assistant's turn after the turn before it, even where no call is there.
+    """
     calls, results = conversation_calls(table(spark, sf_dir, "conversations"))
     return link(calls, results, SCHEMAS).select("record.conv_id", "record.turn", "kind", "call_id", "place", "status",
                                                 "wrong", "message")

@@ -268,6 +268,28 @@ def test_chat(spark):
     assert chat.link(calls.limit(0), results.limit(0), chat.SCHEMAS).count() == 0
 
 
+def test_chat_turns_in_a_row_and_gaps(spark, tmp_path, monkeypatch):
+    roles = {1: "system", 2: "user", 3: "assistant", 4: "assistant", 5: "assistant", 6: "user", 40: "user", 43: "assistant",
+             90: "assistant", 95: "user", 96: "user", 97: "assistant"}
+    turns = [(c, t, r, "x") for c in (7, 8) for t, r in roles.items()]
+    turns += [(9, 3, "assistant", "first"), (9, 9, "user", "x"), (9, 9, "user", "x"), (9, 9, "assistant", "x"), (9, None, "user", "x")]
+    folder = nasty.save(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), tmp_path, "conversations")
+    for width in (4, 1024):
+        monkeypatch.setattr(chat, "TURNS", width)
+        got = Counter((r.conv_id, r.turn, r.kind, r.call_id, r.place, r.status) for r in chat.op6_chat(spark, folder).collect())
+        want, answered = Counter(), {2, 40, 96}
+        for c in (7, 8):
+            call, place = None, -2
+            for t, r in sorted(roles.items()):
+                asks = r != "assistant"
+                call, place = (t, place + 2) if asks else (call, place)
+                status = "linked" if not asks or t in answered else "unanswered"
+                want[(c, t, "call" if asks else "result", f"call_{c}_{call}", place + (not asks), status)] += 1
+        want += Counter({(9, 3, "result", None, None, "orphan"): 1, (9, 9, "call", "call_9_9", 0, "unanswered"): 2,
+                         (9, 9, "result", None, None, "orphan"): 1, (9, None, "call", None, None, "invalid"): 1})  # its arguments lack the turn
+        assert got == want
+
+
 def test_chat_long_chain(spark):
     calls = spark.range(1000).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("after"))
     assert {int(r.id): r.depth for r in chat.depths(calls).collect()} == {i: i for i in range(1000)}
