@@ -3,8 +3,8 @@
 The vectors are put in order of their ids and packed into blocks, each a forward index: the ids and the
 integer components of a range of documents, with the largest and smallest value of every component (the
 terms).  A query's bound for a block is the sum over its components of the largest product the block
-allows.  Per query, blocks are scored in the order of their bounds, until the next bound is below the
-k-th score found.
+allows.  Per query, the blocks of a run (16 blocks) are scored in the order of their bounds, until the next
+bound is below the k-th score found in that run; every run starts anew, so a part of each run is always scored.
 
 Queries and blocks meet by an equi-join on a salt: blocks are dealt over the salts, chunks of queries are
 copied to every salt.  A task streams pairs of a query chunk and a run of blocks; nothing is collected.
@@ -43,7 +43,7 @@ def integer_vectors(rows: DataFrame, key: Column, vector: Column, scale: int) ->
 def _pack(most: int):
     """Arrow function that packs sorted rows (dim, id, vector) into runs of at most ``most`` vectors."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held = 0, []
+        number, held, last = 0, [], None
 
         def packed(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
             ids = np.array([r[1] for r in rows], "<i8")
@@ -55,13 +55,14 @@ def _pack(most: int):
             flat = batch.column(2).flatten().to_numpy()
             at = np.concatenate(([0], np.cumsum(batch.column(0).to_numpy())))
             for i, (dim, key) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                vector = flat[at[i]:at[i + 1]].astype("<i8")
+                if last and last[1] == key and np.array_equal(last[2], vector):
+                    continue  # an equal row, be it the last of the run before
                 if held and (len(held) >= most or held[0][0] != dim):
                     yield packed(held)
                     number, held = number + 1, []
-                vector = flat[at[i]:at[i + 1]].astype("<i8")
-                if held and held[-1][1] == key and np.array_equal(held[-1][2], vector):
-                    continue  # an equal row
-                held.append((dim, key, vector))
+                last = (dim, key, vector)
+                held.append(last)
         if held:
             yield packed(held)
     return work

@@ -186,6 +186,18 @@ def test_topk(spark, tmp_path):
     assert topk.search(none, F.col("id") % 50 == 0, 5).count() == 0
 
 
+def test_topk_repeats_across_borders(spark, monkeypatch):
+    rows = [(i, [i * 7 % 11, i * 5 % 13]) for i in range(12) for _ in range(3)]
+    frame = spark.createDataFrame(rows, "id long, vector array<long>").withColumn("dim", F.lit(2))
+    want = {i: sorted((-sum(a * b for a, b in zip(q, d)), j) for j, d in dict(rows).items() if j != i)[:5] for i, q in dict(rows).items()}
+    for name, value in (("CHUNK", 1), ("BLOCK", 1), ("RUN", 1)):
+        monkeypatch.setattr(topk, name, value)
+    got = defaultdict(list)
+    for r in topk.search(frame, F.col("id") >= 0, 5).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((-r.score, r.vec_id))
+    assert got == want
+
+
 def test_topk_of_large_numbers_is_exact():
     ids, rows = np.arange(40), np.random.RandomState(1).randint(-2 ** 30, 2 ** 30, (40, 4)).astype(np.int64)
     at, found, scores = topk.best((ids[:3], rows[:3]), (ids, rows), 5, block=8)
