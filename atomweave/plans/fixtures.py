@@ -215,12 +215,12 @@ def pdb_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return atom_lines.unionByName(ters).unionByName(models).unionByName(lines)
 
 
-CIF_BLOCK = 256
+CIF_BLOCK, LARGE_BLOCK = 256, 4096
 
 
-def cif_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tag/value texts rendered from atoms, one file per block of at most 256 atoms of a structure."""
-    rendered = enriched(spark, sf_dir).withColumn("block", F.floor(F.col("atom_idx") / CIF_BLOCK)).selectExpr(
+def cif_lines(spark: SparkSession, sf_dir: str, width: int) -> DataFrame:
+    """``structure_id``, ``block`` and the tag/value ``lines`` of at most ``width`` atoms of a structure."""
+    rendered = enriched(spark, sf_dir).withColumn("block", F.floor(F.col("atom_idx") / width)).selectExpr(
         "structure_id", "block", "atom_idx",
         "concat_ws(' ', CASE WHEN is_hetatm THEN 'HETATM' ELSE 'ATOM' END, CAST(atom_idx AS STRING), "
         "CASE WHEN atom_idx % 5 = 0 THEN '?' ELSE element_at(array('C', 'N', 'O', 'S', 'H', 'ZN'), CAST("
@@ -230,11 +230,34 @@ def cif_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "format_string('%.3f', x), format_string('%.3f', y), CASE WHEN atom_idx % 97 = 0 THEN '?' ELSE "
         "format_string('%.3f', z) END, format_string('%.2f', occupancy), format_string('%.2f', b_factor), "
         "CASE WHEN atom_idx % 11 = 0 THEN '2' ELSE '1' END) AS line")
-    header = "\n".join([
-        "loop_", *[f"_atom_site.{i}" for i in CIF_ITEMS]])
     return (rendered.groupBy("structure_id", "block")
             .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("atom_idx", "line"))),
-                                          lambda r: r["line"]), "\n").alias("rows"))
+                                          lambda r: r["line"]), "\n").alias("rows")))
+
+
+def cif_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tag/value file for each structure, in blocks of lines: the first breaks off inside a text field, the second among
+    the tags of the loop of atoms, the others have the atoms, at most 4096 each, and single values follow the last."""
+    tags = [f"_atom_site.{i}" for i in CIF_ITEMS]
+    lines = cif_lines(spark, sf_dir, LARGE_BLOCK)
+    number = F.col("structure_id").cast("string")
+    head = [F.concat(F.lit("data_X\n_entry.id AF-"), number, F.lit("\n_struct.title\n;a title")),
+            F.concat(F.lit("over lines\n;\n_refine.ls_d_res_high "), (F.col("structure_id") % 30).cast("string"),
+                     F.lit(".5\nloop_\n" + "\n".join(tags[:7])))]
+    rows = lines.select("structure_id", (F.col("block") + 2).alias("block"), F.concat(
+        F.when(F.col("block") == 0, F.lit("\n".join(tags[7:]) + "\n")).otherwise(F.lit("")), F.col("rows")).alias("text"))
+    ends = lines.groupBy("structure_id").agg(F.max("block").alias("last"))
+    extra = ends.select("structure_id", F.explode(F.array(
+        *[F.struct(F.lit(i).cast("long").alias("block"), text.alias("text")) for i, text in enumerate(head)],
+        F.struct((F.col("last") + 3).alias("block"), F.lit("#\n_exptl.method\n'X-RAY DIFFRACTION'").alias("text")))).alias("e"))
+    return rows.unionByName(extra.select("structure_id", "e.*"))
+
+
+def cif_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tag/value texts rendered from atoms, one file per block of at most 256 atoms of a structure."""
+    header = "\n".join([
+        "loop_", *[f"_atom_site.{i}" for i in CIF_ITEMS]])
+    return (cif_lines(spark, sf_dir, CIF_BLOCK)
             .select(
                 F.concat_ws("-", "structure_id", "block").alias("file"), "structure_id", "block",
                 F.concat(

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import chemistry, identifiers, tables
 from ..operators import assemble
 from ..functions.selection import load_filter
-from ..session import fresh_path
-from ..sources import cif, dcd, manifest, pdb, routing
+from ..session import fresh_path, stage
+from ..sources import cif, cif_blocks, dcd, manifest, pdb, routing
 from . import fixtures as fx
 from .registry import q, query, r
 
@@ -131,6 +131,32 @@ def cif_atom_site(spark: SparkSession, sf: str) -> DataFrame:
                         "x", "y", "z", r("occupancy", 2).alias("occupancy"), "b_factor", "element")
 
 
+def read_in_blocks(spark: SparkSession, sf: str, categories: list[str]) -> DataFrame:
+    """Category rows of one file a structure, each lexed by as many tasks as it has blocks."""
+    blocks = stage(fx.cif_blocks(spark, sf), "cif-blocks").withColumnRenamed("structure_id", "file")
+    return cif_blocks.category_rows(blocks, FILE, categories)
+
+
+@query("a7_atom_site_in_blocks", f"""
+    SELECT CAST(structure_id AS BIGINT) AS file, CAST(atom_idx AS BIGINT) AS line_no, is_hetatm, {CIF_NAME} AS name, alt_loc, res_name,
+      chain_id, res_seq, ins_code, x, y, z, {q('occupancy', 2)} AS occupancy, b_factor, CAST({CIF_ELEMENT} AS INTEGER) AS element
+    FROM enriched WHERE atom_idx % 97 <> 0 AND atom_idx % 11 <> 0""", "enriched")
+def atom_site_in_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read_in_blocks(spark, sf, ["atom_site"])
+    found = pdb.with_elements(cif.atom_sites(rows, FILE).where("is_valid AND model_no = 1"))
+    return found.select(F.col("file").cast("long").alias("file"), "line_no", "is_hetatm", "name", "alt_loc", "res_name", "chain_id",
+                        "res_seq", "ins_code", "x", "y", "z", r("occupancy", 2).alias("occupancy"), "b_factor", "element")
+
+
+@query("a8_metadata_in_blocks", """
+    SELECT CAST(structure_id AS BIGINT) AS file, 'AF-' || structure_id AS identifier, 'a title' || chr(10) || 'over lines' AS title,
+      'X-RAY DIFFRACTION' AS method, CAST((structure_id % 30) || '.5' AS DOUBLE) AS resolution, TRUE AS is_prediction,
+      CAST(2 AS BIGINT) AS num_models FROM atoms GROUP BY structure_id""", "atoms")
+def metadata_in_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    found = cif.metadata(read_in_blocks(spark, sf, list(cif.CATEGORIES)), FILE)
+    return found.withColumns({"file": F.col("file").cast("long"), "num_models": F.col("num_models").cast("long")})
+
+
 @query("a8_cif_metadata", """
     SELECT file, CASE WHEN block = 1 THEN 'AF-' ELSE 'E' END || structure_id AS identifier,
       'a title' || chr(10) || 'over lines' AS title, 'X-RAY DIFFRACTION' AS method,
@@ -222,9 +248,14 @@ def open_trajectories(spark: SparkSession, sf: str, table: str, good_only: bool
         reader = reader.option(name, value)
     if good_only:
         reader = reader.option("skipBad", "true")
+    return numbered(reader.load(folder))
+
+
+def numbered(files: DataFrame) -> DataFrame:
+    """``traj_id`` and ``part`` in place of ``path``."""
     name = F.regexp_extract("path", r"(\d+)-(\d+)\.dcd$", 1).cast("long")
     part = F.regexp_extract("path", r"(\d+)-(\d+)\.dcd$", 2).cast("long")
-    return reader.load(folder).withColumn("traj_id", name).withColumn("part", part).drop("path")
+    return files.withColumn("traj_id", name).withColumn("part", part).drop("path")
 
 
 @query("a11_dcd_frames", """
@@ -242,8 +273,8 @@ def dcd_frames(spark: SparkSession, sf: str) -> DataFrame:
       CASE WHEN traj_id % 10 = 9 THEN 0 ELSE count(DISTINCT frame) FILTER (WHERE n = 20) END AS frames_loaded
     FROM (SELECT traj_id, frame, count(*) AS n FROM frames GROUP BY ALL) GROUP BY traj_id, part""", "frames")
 def dcd_report(spark: SparkSession, sf: str) -> DataFrame:
-    return open_trajectories(spark, sf, "report", good_only=False).select(
-        "traj_id", "part", "status", "frames_in_file", "frames_loaded")
+    found = dcd.report(spark, landed_trajectories(spark, sf), split_bytes=65536)
+    return numbered(found).select("traj_id", "part", "status", "frames_in_file", "frames_loaded")
 
 
 @query("a13_frame_stride", """
@@ -253,6 +284,24 @@ def frame_stride(spark: SparkSession, sf: str) -> DataFrame:
     return trajectory.thin(fx.frames(spark, sf), stride=3, max_frames=5)
 
 
+@query("a13_stride_in_files", """
+    SELECT traj_id, CAST(frame AS BIGINT) AS frame, CAST(atom_idx AS BIGINT) AS atom_idx, x, y, z
+    FROM whole WHERE frame % 3 = 0 AND frame // 3 < 5 AND traj_id % 10 <> 9""", "whole")
+def stride_in_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Stride and limit in the source; a trajectory's first file holds all its wanted frames."""
+    found = open_trajectories(spark, sf, "frames", stride=3, maxFrames=5, files="*-0.dcd", splitBytes=65536)
+    return found.select("traj_id", "frame", "atom_idx", "x", "y", "z")
+
+
+@query("t4_lookup_in_files", """
+    SELECT traj_id, CAST(frame // 4096 AS BIGINT) AS part, CAST(frame % 4096 AS BIGINT) AS frame, CAST(atom_idx AS BIGINT) AS atom_idx, x, y, z
+    FROM whole WHERE frame % 4096 = 7 AND atom_idx = 3 AND traj_id % 10 <> 9""", "whole")
+def lookup_in_files(spark: SparkSession, sf: str) -> DataFrame:
+    """One atom of one frame of every file, which is one seek a file."""
+    found = open_trajectories(spark, sf, "frames", frames="7", atoms="3", splitBytes=65536)
+    return found.select("traj_id", "part", "frame", "atom_idx", "x", "y", "z")
+
+
 @query("a14_element_table", """
     SELECT structure_id, atom_idx, e.symbol, e.vdw_radius, e.covalent_radius, e.mass, e.red, e.green, e.blue
     FROM (SELECT *, CASE WHEN b_factor > 95 THEN 200 ELSE CAST(b_factor AS INTEGER) END AS number FROM atoms) a

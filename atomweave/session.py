@@ -40,8 +40,10 @@ def shared_folder(spark: SparkSession) -> str:
     local = context.master.startswith("local[") or context.master == "local"
     if folder:
         default = context._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
-        if not local and "://" not in folder and not folder.startswith("file:") and default.startswith("file:"):
-            raise ValueError(f"spark.checkpoint.dir is {folder}: on a cluster it needs a scheme that names a shared store")
+        if not local and "://" not in folder and not folder.startswith("file:"):
+            if default.startswith("file:"):
+                raise ValueError(f"spark.checkpoint.dir is {folder}: on a cluster it needs a scheme that names a shared store")
+            return default.rstrip("/") + "/" + folder.lstrip("/")  # readers that do not ask Hadoop find it too
         return folder
     if not local:
         raise ValueError("on a cluster spark.checkpoint.dir has to name a folder that all executors share")

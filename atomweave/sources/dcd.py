@@ -2,15 +2,23 @@
 
 ``spark.read.format("dcd").load(folder)`` gives frames; options:
 
-``table``      ``frames`` (default), ``cells`` (box lengths per frame) or ``report`` (one row per file)
+``table``      ``frames`` (default), ``cells`` (box lengths per frame), ``checks`` (what is wrong in a range of a
+               file; :func:`report` puts them together) or ``report`` (the same by one task a file)
 ``stride``     every n-th frame, ``maxFrames`` at most so many of them (0 = all): applied to planning
+``frames``     wanted frames, ``atoms`` wanted atoms: a list ``1,30,400`` or a range ``5:9`` (without its end; either
+               side may be missing); ``files`` a pattern for names, ``*-0.dcd``: all three are applied to planning
 ``splitBytes`` size of one partition
 
 The driver only lists paths and sizes.  A partition is a byte range of one file; its task reads the
 short file header, turns the range into whole frames (all frames have one size) and reads just those,
-so a file of any size is spread over many tasks.  Paths go through ``pyarrow.fs``: local folders,
-HDFS and object stores work alike.  A malformed file stops a read, or gives no rows with ``skipBad``; the
-``report`` table tells what is wrong.
+so a file of any size is spread over many tasks.  Where the options leave a bounded range of frames, it is
+dealt out by frames instead: a file has no more partitions than wanted frames, and a task seeks to its own.
+
+Conditions are options, not pushed filters: in Spark 4.1 a Python source that takes filters keeps those of one
+query for later queries of the same DataFrame that have none to push, which then lack rows.
+
+Paths go through ``pyarrow.fs``: local folders, HDFS and object stores work alike; a path without a scheme is local.
+A malformed file stops a read, or gives no rows with ``skipBad``; the report tells what is wrong.
 """
 
 from __future__ import annotations
@@ -19,12 +27,14 @@ import struct
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fnmatch import fnmatchcase
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.cloudpickle import register_pickle_by_value
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # Fixed numbers of the format.
@@ -40,6 +50,8 @@ SCHEMAS = {
     "cells": "path string, frame bigint, a double, b double, c double",
     "report": "path string, status string, error string, num_atoms bigint, time_step double, "
               "frames_in_file bigint, frames_loaded bigint",
+    "checks": "path string, header_error string, num_atoms bigint, time_step double, frames_in_file bigint, "
+              "frames_seen bigint, bad_frame bigint, error string, tail_error string",
 }
 
 
@@ -133,11 +145,38 @@ def load_layout(handle) -> Layout:
 
 @dataclass(frozen=True)
 class Slice:
-    """Byte range of one file."""
+    """Range of one file: of bytes, or of frames."""
     path: str
     size: int
     start: int
     stop: int
+    frames: bool = False
+    weight: int = 0
+
+
+@dataclass
+class Wanted:
+    """Numbers that an option leaves: a range without its end, and a list if it is one."""
+    first: int = 0
+    stop: int | None = None
+    listed: tuple[int, ...] | None = None
+
+    @classmethod
+    def parse(cls, text: str) -> Wanted:
+        if ":" in text:
+            first, stop = (part.strip() for part in text.split(":"))
+            return cls(max(0, int(first or 0)), max(0, int(stop)) if stop else None)
+        if not text.strip():
+            return cls()
+        listed = tuple(sorted({int(part) for part in text.split(",") if int(part) >= 0}))
+        return cls(min(listed, default=0), max(listed, default=-1) + 1, listed)
+
+    def within(self, stop: int) -> range:
+        return range(min(self.first, stop), stop if self.stop is None else max(min(self.first, stop), min(stop, self.stop)))
+
+    def __contains__(self, number: int) -> bool:
+        return (number >= self.first and (self.stop is None or number < self.stop)
+                and (self.listed is None or number in self.listed))
 
 
 class Pack(InputPartition):
@@ -151,7 +190,7 @@ class Pack(InputPartition):
 def pack(slices: list[Slice], limit: int) -> list[Pack]:
     packs, filled = [], 0
     for one in slices:
-        size = one.stop - one.start
+        size = one.weight
         if not packs or filled + size > limit:
             packs.append([])
             filled = 0
@@ -168,28 +207,38 @@ class TrajectoryReader(DataSourceReader):
         self.stride = max(1, int(options.get("stride", 1)))
         self.max_frames = int(options.get("maxframes", options.get("maxFrames", 0)))
         self.split_bytes = max(1, int(options.get("splitbytes", options.get("splitBytes", 64 << 20))))
+        self.frames, self.atoms = (Wanted.parse(str(options.get(name, ""))) for name in ("frames", "atoms"))
+        self.files = options.get("files", "*")
+
+    def _frame_range(self) -> range | None:
+        """Wanted frames as far as options bound them; None if none does."""
+        last = None if self.max_frames <= 0 else (self.max_frames - 1) * self.stride + 1
+        if last is None and self.frames.stop is None:
+            return None
+        return self.frames.within(last if last is not None else self.frames.stop)
 
     def partitions(self) -> list[Pack]:
         system, base = pafs.FileSystem.from_uri(self.location) if "://" in self.location or self.location.startswith(
             "file:") else (pafs.LocalFileSystem(), self.location)
         found = system.get_file_info(pafs.FileSelector(base, recursive=True)) \
             if system.get_file_info(base).type == pafs.FileType.Directory else [system.get_file_info(base)]
-        files = sorted((f.path, f.size) for f in found if f.is_file and f.path.lower().endswith(".dcd"))
+        files = sorted((f.path, f.size) for f in found if f.is_file and f.path.lower().endswith(".dcd")
+                       and fnmatchcase(f.path.rsplit("/", 1)[-1], self.files))
         if self.table == "report":
             return pack([Slice(path, size, 0, size) for path, size in files], self.split_bytes)
-        return pack([Slice(path, size, start, min(size, start + self.split_bytes)) for path, size in files
-                     for start in range(0, max(self._wanted_bytes(path, size), 1), self.split_bytes)], self.split_bytes)
-
-    def _wanted_bytes(self, path: str, size: int) -> int:
-        """Bytes up to the last wanted frame; a header is only read where that can save slices."""
-        if self.max_frames <= 0 or size <= self.split_bytes:
-            return size
-        with self._open(path) as handle:
-            try:
-                layout = load_layout(handle)
-            except BadTrajectory:
-                return min(size, self.split_bytes)  # the one slice that reports it
-        return min(size, layout.first_frame + self._last_wanted(layout.whole_frames(size)) * layout.frame_size)
+        frames = self._frame_range() if self.table in ("frames", "cells") else None
+        slices = []
+        for path, size in files:
+            many = max(1, -(-size // self.split_bytes))
+            if frames is None:
+                cuts = [*range(0, max(size, 1), self.split_bytes), size]
+                slices += [Slice(path, size, a, b, False, b - a) for a, b in zip(cuts, cuts[1:])]
+            elif frames:  # fewer frames than byte ranges are taken for as small a share of the file
+                count = min(many, len(frames))
+                weight = min(size, self.split_bytes if len(frames) >= many else self.split_bytes // many)
+                cuts = [frames.start + len(frames) * i // count for i in range(count + 1)]
+                slices += [Slice(path, size, a, b, True, weight) for a, b in zip(cuts, cuts[1:])]
+        return pack(slices, self.split_bytes)
 
     def _last_wanted(self, whole: int) -> int:
         """Frames up to and with the last one that stride and limit leave."""
@@ -208,8 +257,8 @@ class TrajectoryReader(DataSourceReader):
 
     def _read_slice(self, partition: Slice) -> Iterator[pa.RecordBatch]:
         with self._open(partition.path) as handle:
-            if self.table == "report":
-                yield self._report(handle, partition)
+            if self.table in ("report", "checks"):
+                yield self._report(handle, partition) if self.table == "report" else self._check(handle, partition)
                 return
             try:
                 layout = load_layout(handle)
@@ -217,17 +266,24 @@ class TrajectoryReader(DataSourceReader):
                 if self.skip_bad:
                     return
                 raise
-            # a frame belongs to the slice in which it starts
-            skip = layout.first_frame
-            first = max(0, -(-(partition.start - skip) // layout.frame_size))
-            last = min(self._last_wanted(layout.whole_frames(partition.size)),
-                       max(0, -(-(partition.stop - skip) // layout.frame_size)))
+            first, last = self._own_frames(layout, partition)
+            own = self.frames.within(last)
+            first, last = max(first, own.start), min(last, own.stop)
             step = max(1, (4 << 20) // layout.frame_size)
             for at in range(first, last, step):
                 yield from self._frames(handle, layout, partition.path, at, min(last, at + step))
 
+    def _own_frames(self, layout: Layout, one: Slice) -> tuple[int, int]:
+        """First and last frame (not with it) of a slice; a frame belongs to the byte range in which it starts."""
+        most = self._last_wanted(layout.whole_frames(one.size))
+        if one.frames:
+            return min(one.start, most), min(one.stop, most)
+        skip = layout.first_frame
+        return (max(0, -(-(one.start - skip) // layout.frame_size)),
+                min(most, max(0, -(-(one.stop - skip) // layout.frame_size))))
+
     def _frames(self, handle, layout: Layout, path: str, first: int, last: int) -> Iterator[pa.RecordBatch]:
-        wanted = [f for f in range(first, last) if f % self.stride == 0
+        wanted = [f for f in range(first, last) if f % self.stride == 0 and f in self.frames
                   and (self.max_frames <= 0 or f // self.stride < self.max_frames)]
         if not wanted or (self.table == "cells" and not layout.has_cell):
             return
@@ -250,9 +306,12 @@ class TrajectoryReader(DataSourceReader):
             columns = [chosen["cell"][:, i].astype(np.float64) for i in (0, 2, 5)]
             yield self._batch(path, [numbers, *columns], "cells")
             return
-        atoms = np.arange(layout.num_atoms, dtype=np.int64)
-        columns = [np.repeat(numbers, layout.num_atoms), np.tile(atoms, len(wanted))]
-        columns += [chosen[axis].astype(np.float64).ravel() for axis in "xyz"]
+        near = self.atoms.within(layout.num_atoms)
+        atoms = np.arange(near.start, near.stop, dtype=np.int64)
+        if self.atoms.listed is not None:
+            atoms = atoms[np.isin(atoms, self.atoms.listed)]
+        columns = [np.repeat(numbers, len(atoms)), np.tile(atoms, len(wanted))]
+        columns += [chosen[axis][:, atoms].astype(np.float64).ravel() for axis in "xyz"]
         yield self._batch(path, columns, "frames")
 
     def _batch(self, path: str, columns: list[np.ndarray], table: str) -> pa.RecordBatch:
@@ -261,6 +320,43 @@ class TrajectoryReader(DataSourceReader):
         paths = pa.array([path]).take(pa.array(np.zeros(rows, dtype=np.int32)))
         return pa.RecordBatch.from_arrays([paths, *[pa.array(c) for c in columns]], names=names)
 
+    def _check(self, handle, one: Slice) -> pa.RecordBatch:
+        """Verdict on one byte range: the header, the first bad frame that starts in the range, and the file's tail if it
+        ends here.  Verdicts of a file's ranges can be merged in any order."""
+        header = bad = tail = atoms = step = declared = place = None
+        seen = 0
+        try:
+            layout = load_layout(handle)
+        except BadTrajectory as problem:
+            header = str(problem)
+        else:
+            atoms, step, declared = layout.num_atoms, layout.time_step, layout.declared_frames
+            first, last = self._own_frames(layout, one)
+            chunk = max(1, (4 << 20) // layout.frame_size)
+            for at in range(first, last, chunk):
+                count = min(last, at + chunk) - at
+                handle.seek(layout.first_frame + at * layout.frame_size)
+                block = np.frombuffer(handle.read(count * layout.frame_size), dtype=layout.frame_dtype())
+                try:
+                    layout.check_marks(block, at)
+                except BadTrajectory as problem:
+                    bad, place = str(problem), at
+                    break
+            seen = len([f for f in range(first, last) if f % self.stride == 0])
+            if one.stop >= one.size:
+                tail = self._tail(layout, one.size)
+        values = [one.path, header, atoms, step, declared, seen, place, bad, tail]
+        types = [pa.string(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        names = [part.split()[0] for part in SCHEMAS["checks"].split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array([v], type=t) for v, t in zip(values, types)], names=names)
+
+    def _tail(self, layout: Layout, size: int) -> str | None:
+        """What is wrong behind the last whole frame, unless the limit ends before it."""
+        whole = self._last_wanted(layout.whole_frames(size))
+        rest = size - layout.first_frame - whole * layout.frame_size
+        more = self.max_frames <= 0 or -(-(whole + 1) // self.stride) <= self.max_frames
+        return f"frame {whole}: file ends in the box block" if more and layout.has_cell and 0 < rest < CELL_BLOCK + 8 else None
+
     def _report(self, handle, partition: Slice) -> pa.RecordBatch:
         status, error, atoms, step, declared, loaded = "ok", "", None, None, None, 0
         try:
@@ -276,10 +372,8 @@ class TrajectoryReader(DataSourceReader):
             loaded = len([1 for f in range(0, whole, self.stride)][:self.max_frames or None])
             if loaded == 0:
                 raise BadTrajectory("no complete frame")
-            rest = partition.size - layout.first_frame - whole * layout.frame_size
-            more = self.max_frames <= 0 or -(-(whole + 1) // self.stride) <= self.max_frames
-            if more and layout.has_cell and 0 < rest < CELL_BLOCK + 8:
-                raise BadTrajectory(f"frame {whole}: file ends in the box block")
+            if problem := self._tail(layout, partition.size):
+                raise BadTrajectory(problem)
         except BadTrajectory as problem:
             status, error, loaded = "error", str(problem), 0
         values = [[partition.path], [status], [error], [atoms], [step], [declared], [loaded]]
@@ -309,9 +403,30 @@ class TrajectorySource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the source known to a session."""
     spark.dataSource.register(TrajectorySource)
 
 
+def report(spark: SparkSession, folder: str, stride: int = 1, max_frames: int = 0, split_bytes: int = 64 << 20) -> DataFrame:
+    """One row per file, ``status``, ``error``, ``num_atoms``, ``time_step``, ``frames_in_file`` and ``frames_loaded``, from checks
+    of all its ranges: a file of any size is checked by many tasks.
+
+    The first of these is the error: a bad header, the bad frame with the smallest number, no complete frame, a tail
+    that breaks off in a box.  A file with an error has no loaded frames.
+    """
+    register(spark)
+    checks = (spark.read.format("dcd").option("table", "checks").option("stride", stride).option("maxFrames", max_frames)
+              .option("splitBytes", split_bytes).load(folder))
+    merged = checks.groupBy("path").agg(
+        F.max("header_error").alias("header_error"), F.min(F.when(F.col("error").isNotNull(), F.struct("bad_frame", "error")))["error"].alias("bad"),
+        F.max("tail_error").alias("tail_error"), F.sum("frames_seen").alias("seen"),
+        *[F.max(c).alias(c) for c in ("num_atoms", "time_step", "frames_in_file")])
+    error = F.coalesce("header_error", "bad", F.when(F.col("seen") == 0, "no complete frame"), "tail_error")
+    return merged.select(
+        "path", F.when(error.isNull(), "ok").otherwise("error").alias("status"), F.coalesce(error, F.lit("")).alias("error"),
+        "num_atoms", "time_step", "frames_in_file", F.when(error.isNull(), F.col("seen")).otherwise(0).alias("frames_loaded"))
+
+
 def encode_header(num_atoms: int, num_frames: int, time_step: float = 0.002, has_cell: bool = False,
                   order: str = "<", title: bytes = b"") -> bytes:
     """Header, one title line and atom count of a trajectory file."""

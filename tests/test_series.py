@@ -139,3 +139,59 @@ def test_report_of_a_cut_box_and_planned_slices(spark, tmp_path):
         options = {"path": str(tmp_path), "splitBytes": "1000"} | limits
         return dcd.TrajectoryReader(options, "frames")
     assert len(reader().partitions()) > 7 and len(reader(maxFrames="3", stride="2").partitions()) == 1
+
+
+def test_options_become_byte_offsets(spark, tmp_path):
+    write(tmp_path / "a.dcd", frames=40, cell=True)
+    write(tmp_path / "b.dcd", frames=9)
+    dcd.register(spark)
+
+    def rows(**options):
+        frames = spark.read.format("dcd").options(**({"splitBytes": 1000} | options)).load(str(tmp_path))
+        return sorted((r.path, r.frame, r.atom_idx, r.x) for r in frames.collect())
+
+    everything = rows()
+    for options, keep in [
+            ({"frames": "7"}, lambda r: r[1] == 7), ({"frames": "7", "atoms": "2"}, lambda r: r[1] == 7 and r[2] == 2),
+            ({"frames": "6:9"}, lambda r: 6 <= r[1] < 9), ({"frames": "37:"}, lambda r: r[1] >= 37), ({"frames": ":0"}, lambda r: False),
+            ({"frames": "1, 30,400", "atoms": ":2"}, lambda r: r[1] in (1, 30) and r[2] < 2), ({"atoms": "0,9"}, lambda r: r[2] == 0),
+            ({"frames": ":20", "stride": 3, "maxFrames": 4}, lambda r: r[1] in (0, 3, 6, 9)), ({"frames": "5:", "stride": 4}, lambda r: r[1] >= 5 and r[1] % 4 == 0),
+            ({"files": "b*", "atoms": "3:"}, lambda r: r[0].endswith("b.dcd") and r[2] >= 3), ({"frames": "-4"}, lambda r: False)]:
+        assert rows(**options) == [r for r in everything if keep(r)], options
+
+
+def test_planned_slices(tmp_path):
+    write(tmp_path / "a.dcd", frames=400, cell=True)
+    write(tmp_path / "b.dcd", frames=9)
+    (tmp_path / "c.dcd").write_bytes(b"no trajectory")
+
+    def planned(**options):
+        reader = dcd.TrajectoryReader({"path": str(tmp_path), "splitBytes": "1000"} | options, "frames")
+        slices = [s for p in reader.partitions() for s in p.slices]
+        return [(s.start, s.stop) for s in slices if s.path.endswith("a.dcd")], len({s.path for s in slices})
+
+    assert len(planned()[0]) > 50 and len(planned(frames="4:")[0]) > 50
+    assert planned(frames="7") == ([(7, 8)], 3)
+    assert planned(frames=":4")[0] == planned(maxFrames="2", stride="3")[0] == [(i, i + 1) for i in range(4)]
+    assert planned(frames="3,5")[0] == [(3, 4), (4, 5), (5, 6)] and planned(frames="-1")[1] == 0 and planned(files="b.dcd")[1] == 1
+
+
+def test_report_by_ranges_equals_report_by_files(spark, tmp_path):
+    write(tmp_path / "good.dcd", frames=60, cell=True)
+    write(tmp_path / "short.dcd", frames=4, cut=10)
+    write(tmp_path / "velocity.dcd", magic=b"VELD")
+    write(tmp_path / "box.dcd", frames=40, cell=True, cut=3 * (16 + 8) + 56 - 20)
+    (tmp_path / "empty.dcd").write_bytes(b"")
+    (tmp_path / "nothing.dcd").write_bytes(dcd.encode_header(4, 2))
+    damaged = bytearray(dcd.encode_header(4, 50) + dcd.encode_frames(frames_of(50, 4)))
+    for frame in (49, 23, 31):
+        damaged[len(dcd.encode_header(4, 50)) + frame * 3 * 24 + 72 - 4] = 9
+    (tmp_path / "damaged.dcd").write_bytes(bytes(damaged))
+    dcd.register(spark)
+    by_file = spark.read.format("dcd").option("table", "report")
+    for options in ({}, {"stride": 3, "maxFrames": 5}):
+        want = {tuple(r) for r in by_file.options(**options).load(str(tmp_path)).collect()}
+        got = {tuple(r) for r in dcd.report(spark, str(tmp_path), options.get("stride", 1), options.get("maxFrames", 0), split_bytes=500).collect()}
+        assert got == want and len(got) == 7
+    checks = spark.read.format("dcd").option("table", "checks").option("splitBytes", 900).load(str(tmp_path))
+    assert checks.where("path LIKE '%good.dcd'").groupBy(F.spark_partition_id()).count().count() >= 9
