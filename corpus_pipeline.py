@@ -30,7 +30,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in place of texts."""
+    """Token ids in place of texts, and the digest of the bytes decoded from them."""
     bounded_batches(spark)
     return bpe.tokenized(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -39,7 +39,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("language ID", identify_language),
     ("MinHash near-dedup", drop_near_duplicates),
     ("mixing sources to target weights", mix_sources),
-    ("byte-level BPE encoding", tokenize),
+    ("byte-level BPE encoding and decoding", tokenize),
 ]
 
 #: SQL cannot express the language classifier nor the tokenizer; tests hold the stages against brute force.
