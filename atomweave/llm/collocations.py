@@ -30,9 +30,12 @@ BREAKS = np.zeros(256, dtype=bool)
 BREAKS[[*b".,;:!?", 10, 11, 12, 13]] = True
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text that are counted at a time, and counts that a worker holds before it sends them on.
-PORTION, HELD = 1 << 21, 3_000_000
+PORTION, HELD = 1 << 20, 1_500_000
 #: Bytes of text for each hash partition; 2 ** LEAST_BITS to 2 ** MOST_BITS partitions.
 PART_BYTES, LEAST_BITS, MOST_BITS = 1 << 22, 6, 24
+#: A summary has so many times the capacity that its mass divided by the threshold asks for: the more, the fewer
+#: n-grams below the threshold survive.
+ROOM = 8
 #: The bit table of survivors has 2 ** TABLE_BITS bits (32 MB) at any size of the input.
 TABLE_BITS = 28
 #: Keys of a list that is sent on; counters stop there, far above any threshold.
@@ -155,7 +158,7 @@ KEYS = "part long, list int, mass long, keys binary, many binary, counts binary"
 class Summary:
     """Misra-Gries summary of one hash partition: at most ``capacity`` counters, each too low by ``lost`` at most.
 
-    ``lost`` is less than mass / capacity: lowering all counters by s, until ``capacity`` are left, takes away
+    ``lost`` stays below mass / capacity: lowering all counters by s, until ``capacity`` are left, takes away
     s * (capacity + 1) of the mass at least.
     """
 
@@ -212,7 +215,7 @@ def marks(bits: int, threshold: int):
                 if row[1] == 0:  # the mass of all lists comes before the lists
                     mass += row[2]
                     continue
-                summary = summary or Summary(mass // threshold + 1)
+                summary = summary or Summary(ROOM * mass // threshold + 1)
                 counts = np.ones(len(row[3]) // 4, np.uint32)
                 counts[np.frombuffer(row[4], np.uint16)] = np.frombuffer(row[5], np.uint32)
                 summary.add(np.frombuffer(row[3], np.uint32), counts)
