@@ -31,6 +31,8 @@ BREAKS[[*b".,;:!?", 10, 11, 12, 13]] = True
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text that are counted at a time, and counts that a worker holds before it sends them on.
 PORTION, HELD = 1 << 20, 1_500_000
+#: Different phrases that a worker holds in pass two; twice as many counts are folded at a time.
+PHRASES = 800_000
 #: Bytes of text for each hash partition; 2 ** LEAST_BITS to 2 ** MOST_BITS partitions.
 PART_BYTES, LEAST_BITS, MOST_BITS = 1 << 22, 6, 24
 #: A summary has so many times the capacity that its mass divided by the threshold asks for: the more, the fewer
@@ -258,9 +260,9 @@ def exact_counts(table_of_bits):
                 allowed = (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
                 chosen = np.flatnonzero(allowed)
                 held.append(pa.table({"lang": langs.take(pa.array(grams.lang[grams.at[chosen]])), "phrase": grams.phrases(chosen), "n": grams.count[chosen]}))
-            if sum(len(t) for t in held) > HELD // 3:
+            if sum(len(t) for t in held) > 2 * PHRASES:
                 held = [folded(held)]
-                if len(held[0]) > HELD // 6:
+                if len(held[0]) > PHRASES:
                     yield from held.pop().to_batches(max_chunksize=10_000)
         if held:
             yield from folded(held).to_batches(max_chunksize=10_000)
