@@ -20,11 +20,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .common import bounded_batches, query, table
 from .words import buffers
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 8, 128
 UNKNOWN = "und"
+#: Counts of so many labels at most are sent to all tasks.
+SENT = 10_000
 #: Scores of so many pairs of a text and a label are in a worker's memory at once.
 SCORES = 400_000
 
@@ -160,20 +163,27 @@ def predictor(net: Network):
     return predict
 
 
-def sample(rows: DataFrame, text: Column, label: Column, order: Column, per_label: int) -> DataFrame:
+def label_counts(rows: DataFrame, text: Column, label: Column, order: Column) -> DataFrame:
+    """``_label``, number of labelled rows with a letter, and their smallest ``order``."""
+    useful = rows.where(label.isNotNull() & text.rlike(r"\p{L}"))
+    return useful.groupBy(label.alias("_label")).agg(F.count(F.lit(1)).alias("_count"), F.min(order).alias("_least"))
+
+
+def sample(rows: DataFrame, text: Column, label: Column, order: Column, per_label: int, counts: DataFrame | None = None) -> DataFrame:
     """``label`` and ``window`` of at most ``per_label`` labelled rows of each label.
 
     They are the rows with the smallest ``order`` (a 64-bit hash of the row, so that the sample is spread
-    evenly), and of each row one window from a place in its text that ``order`` picks.
+    evenly), and of each row one window from a place in its text that ``order`` picks.  With ``counts``, the rows of
+    :func:`label_counts` for at most :data:`SENT` labels, they go to all tasks, and rows are thinned to some 4 x ``per_label``
+    of a label where they are read; rows of labels that are not in it are left out.  Without, each task sends
+    on its first ``per_label`` rows of every label.
     """
     spread = F.pmod(order, F.greatest(F.octet_length(text) - WINDOW + 1, F.lit(1))).cast("int")
     useful = rows.where(label.isNotNull() & text.rlike(r"\p{L}"))
-    counts = (useful.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("_count"), F.min(order).alias("_least"))
-              .withColumnRenamed("label", "_label"))
     windows = useful.select(
         label.alias("label"), order.alias("_order"), F.substring(F.encode(text, "UTF-8"), spread + 1, F.lit(WINDOW)).alias("window"))
     share = F.col("_order") / float(2 ** 64) + 0.5  # so that no more than some 4 x per_label rows of a label are ordered
-    thin = windows.join(counts, F.col("label") == F.col("_label")).where(
+    thin = windows if counts is None else windows.join(F.broadcast(counts), F.col("label") == F.col("_label")).where(
         (share * F.col("_count") <= 4.0 * per_label) | (F.col("_order") == F.col("_least")))
     first = F.row_number().over(Window.partitionBy("label").orderBy("_order"))
     return thin.withColumn("_n", first).where(F.col("_n") <= per_label).select("label", "window")
@@ -209,12 +219,20 @@ def fit_any(rows: DataFrame, text: Column, label: Column, order: Column, per_lab
             windows: int = 600_000) -> Network:
     """Train on a :func:`sample` of the labelled ``rows``, whatever the number of labels.
 
-    Labels share ``windows`` evenly where ``per_label`` rows of each are more than that, but every label keeps a
-    row, so at most ``windows`` rows, or one a label if that is more, reach the driver.  Without a labelled row
-    every text is ``und`` with score 0.
+    Labels share ``windows`` evenly where ``per_label`` rows of each are more than that; of more labels than
+    ``windows`` the ``windows`` most frequent are learned, so no more rows than that reach the driver.  Without
+    a labelled row every text is ``und`` with score 0.
     """
-    labels = rows.where(label.isNotNull()).select(label.alias("label")).distinct().count()
-    return learn(sample(rows, text, label, order, max(1, min(per_label, windows // max(1, labels)))))
+    counts = stage(label_counts(rows, text, label, order), "labels")
+    labels = counts.count()
+    share = max(1, min(per_label, windows // max(1, labels)))
+    if labels <= SENT:
+        return learn(sample(rows, text, label, order, share, counts))
+    drawn = sample(rows, text, label, order, share)
+    if labels > windows:
+        most = counts.orderBy(F.desc("_count"), "_label").limit(windows).select(F.col("_label").alias("label"))
+        drawn = drawn.join(most, "label", "left_semi")
+    return learn(drawn)
 
 
 def identify(rows: DataFrame, net: Network, key: Column, text: Column) -> DataFrame:
