@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
+from ..session import stage
 
 KEY = ("structure_id",)
 NO_MASS = 1e-8
@@ -53,23 +54,33 @@ def centre_of_mass(atoms: DataFrame, where: Column | None = None, keys: Sequence
 
 
 def radius_of_gyration(atoms: DataFrame, where: Column | None = None, keys: Sequence[str] = KEY) -> DataFrame:
-    """Mass-weighted spread around the centre of mass, in one aggregation.
+    """Mass-weighted spread around the centre of mass; zero when nothing is selected.
 
-    sum(w |p - c|^2) = sum(w |p|^2) - 2 c . sum(w p) + |c|^2 sum(w), so neither a second pass over
-    the atoms nor a join with the centres is needed.
+    Atoms of one mass are summed up as count, mean and variance (moments around the mean, which Spark merges as such), then the
+    few masses of a structure as groups with a weight each: no large squares are subtracted, so the origin may be far away.
     """
-    weight = F.greatest(F.col("mass"), F.lit(LEAST_MASS))
-    square = F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")
-    sums = atoms.groupBy(*keys).agg(
-        *[c.alias(f"_c{a}") for c, a in zip(_mass_centre(where), "xyz")],
-        F.sum(_masked(where, weight)).alias("_w"),
-        F.sum(_masked(where, weight * square)).alias("_q"),
-        *[F.sum(_masked(where, weight * F.col(a))).alias(f"_w{a}") for a in "xyz"])
-    inner = (F.col("_cx") * F.col("_wx") + F.col("_cy") * F.col("_wy") + F.col("_cz") * F.col("_wz"))
-    norm = (F.col("_cx") * F.col("_cx") + F.col("_cy") * F.col("_cy") + F.col("_cz") * F.col("_cz"))
-    spread = F.greatest(F.lit(0.0), F.col("_q") - 2 * inner + norm * F.col("_w"))
-    return sums.select(*keys, F.when(F.col("_w") > NO_MASS, F.sqrt(spread / F.col("_w")))
-                       .otherwise(F.lit(0.0)).alias("radius_of_gyration"))
+    chosen = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    by_mass = atoms.groupBy(*keys, F.when(chosen, F.coalesce("mass", F.lit(0.0))).alias("_m")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(a).alias(a) for a in "xyz"], *[F.var_pop(a).alias(f"v{a}") for a in "xyz"])
+    groups = by_mass.groupBy(*keys).agg(F.collect_list(F.when(F.col("_m").isNotNull(), F.struct(  # one for each mass: 119 at most
+        F.col("_m").alias("m"), "n", *[c for a in "xyz" for c in (a, f"v{a}")]))).alias("_g"))
+
+    def total(value) -> Column:
+        return F.aggregate("_g", F.lit(0.0), lambda so_far, g: so_far + value(g))
+
+    heavy = total(lambda g: g["m"] * g["n"]) > NO_MASS
+    share = groups.withColumns({"_heavy": heavy, "_all": total(lambda g: F.when(heavy, g["m"]).otherwise(1.0) * g["n"])})
+    share = share.withColumns({f"_c{a}": F.try_divide(total(
+        lambda g, a=a: F.when(F.col("_heavy"), g["m"]).otherwise(1.0) * g["n"] * g[a]), F.col("_all")) for a in "xyz"})
+
+    def weight(g: Column) -> Column:
+        return F.greatest(g["m"], F.lit(LEAST_MASS)) * g["n"]
+
+    def spread(g: Column) -> Column:
+        parts = [g[f"v{a}"] + (g[a] - F.col(f"_c{a}")) * (g[a] - F.col(f"_c{a}")) for a in "xyz"]
+        return weight(g) * (parts[0] + parts[1] + parts[2])
+
+    return share.select(*keys, F.when(F.size("_g") > 0, F.sqrt(F.try_divide(total(spread), total(weight)))).otherwise(F.lit(0.0)).alias("radius_of_gyration"))
 
 
 def rmsd(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEY, idx: str = "atom_idx",
@@ -131,10 +142,11 @@ def quality_report(summary: DataFrame, composition: DataFrame, expectations: Dat
     """Plausibility checks per structure.
 
     ``expectations`` has ``min_atoms``, ``max_atoms``, ``file_helix``, ``file_sheet`` (residues the
-    file states).  Derived shares only have to reach the order of magnitude of the stated ones.
+    file states).  Derived shares only have to reach the order of magnitude of the stated ones.  Every structure of
+    ``summary`` has a row; a verdict is null where what it needs is missing.
     """
     total = F.col("num_residues")
-    return (summary.join(composition, list(keys)).join(expectations, list(keys))
+    return (summary.join(composition, list(keys), "left").join(expectations, list(keys), "left")
             .select(*keys,
                     F.col("num_atoms").between(F.col("min_atoms"), F.col("max_atoms")).alias("atoms_ok"),
                     (F.col("num_bonds") > F.col("num_atoms") * 0.8).alias("bonds_ok"),
@@ -169,3 +181,22 @@ def reconcile_strict(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> Data
     left, right = a.select(*columns), b.select(*columns)
     return (left.exceptAll(right).withColumn("status", F.lit("only_a"))
             .unionByName(right.exceptAll(left).withColumn("status", F.lit("only_b"))))
+
+
+def digests(rows: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEY) -> DataFrame:
+    """Number of rows and two sums of row hashes of each structure: equal for equal multisets of rows, in any order."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[
+        F.sum(F.xxhash64(F.lit(seed), *columns).cast("decimal(38,0)")).alias(f"h{seed}") for seed in (1, 2)])
+
+
+def reconcile_by_digest(a: DataFrame, b: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEY) -> DataFrame:
+    """:func:`reconcile_strict` within each structure; rows are only compared in structures whose digests differ.
+
+    Equal structures cost one partial aggregate a side instead of shuffling all their rows.
+    """
+    one = digests(a, columns, keys)
+    two = digests(b, columns, keys).withColumnsRenamed({c: f"{c}_b" for c in ("n", "h1", "h2")})
+    same = F.col("n").eqNullSafe(F.col("n_b")) & F.col("h1").eqNullSafe(F.col("h1_b")) & F.col("h2").eqNullSafe(F.col("h2_b"))
+    differ = stage(one.join(two, list(keys), "full_outer").where(~same).select(*keys), "differing-structures")
+    names = [*keys, *[c for c in columns if c not in keys]]
+    return reconcile_strict(a.join(differ, list(keys), "left_semi"), b.join(differ, list(keys), "left_semi"), names)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tables import MAX_COVALENT_RADIUS
 from ..session import stage
-from . import grid
+from . import grid, pyramid
 
 KEY = ("structure_id",)
 
@@ -80,28 +80,14 @@ def shortest_distance(left: DataFrame, right: DataFrame, usual: float = 6.0,
     """Shortest distance between two selections of each structure.
 
     Most selections that are compared lie close together and are settled on a grid with cells of
-    ``usual`` Å.  For the structures that have no pair there, the distance from one place on each
-    side to the nearest place on the other is an upper bound of the answer, and serves as their own
-    cell edge in a second grid join, which is therefore exact.
+    ``usual`` Å.  The structures that have no pair there are settled by bounds on boxes of occupied cells
+    (:mod:`pyramid`), which joins points of few pairs of cells only, however many points and however far apart.
     """
-    a = left.select(*keys, "x", "y", "z").dropDuplicates()
-    b = right.select(*keys, "x", "y", "z").dropDuplicates()
-
-    def shortest(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy(*keys).agg(F.min("d2").alias("d2"))
-
-    near = shortest(grid.candidates(a, b, keys, float(usual),
-                                    condition=grid.distance2() <= F.lit(float(usual) ** 2)))
+    a, b = (stage(side.select(*keys, "x", "y", "z").dropDuplicates(), "selection") for side in (left, right))
+    near = stage(grid.candidates(a, b, keys, float(usual), condition=grid.distance2() <= F.lit(float(usual) ** 2))
+                 .groupBy(*keys).agg(F.min("d2").alias("d2")), "near-distances")
     far_a, far_b = (side.join(near, list(keys), "left_anti") for side in (a, b))
-
-    def bound(one: DataFrame, many: DataFrame) -> DataFrame:
-        pick = one.groupBy(*keys).agg(F.min(F.struct("x", "y", "z")).alias("_p")).select(
-            *keys, *[F.col(f"_p.{c}").alias(f"{c}_r") for c in "xyz"])
-        return many.join(pick, list(keys)).groupBy(*keys).agg(F.min(grid.distance2()).alias("_d2"))
-
-    edges = (bound(far_a, far_b).unionByName(bound(far_b, far_a)).groupBy(*keys)
-             .agg(F.sqrt(F.min("_d2")).alias("_edge")))
-    far = shortest(grid.candidates(far_a.join(edges, list(keys)), far_b.join(edges, list(keys)), keys, "_edge"))
+    far = pyramid.closest(far_a, far_b, keys)
     return near.unionByName(far).select(*keys, F.sqrt("d2").alias("distance"))
 
 

@@ -45,6 +45,19 @@ def within(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.within(atoms, atoms.where(sel.element("Zn")), 4.0).select(*ID)
 
 
+@query("c12_within_combination", """
+    SELECT a.structure_id, a.atom_idx FROM atoms a LEFT JOIN (
+      SELECT DISTINCT a.structure_id, a.atom_idx FROM atoms a JOIN atoms s ON a.structure_id = s.structure_id AND s.element = 30
+      WHERE (a.x-s.x)*(a.x-s.x) + (a.y-s.y)*(a.y-s.y) + (a.z-s.z)*(a.z-s.z) <= 36) n USING (structure_id, atom_idx)
+    WHERE (n.atom_idx IS NOT NULL AND a.element <> 30 AND a.chain_id = 'A') OR NOT (n.atom_idx IS NOT NULL OR a.b_factor > 20)""", "atoms")
+def within_combination(spark: SparkSession, sf: str) -> DataFrame:
+    """Near a metal and in chain A, or neither near a metal nor mobile."""
+    atoms = fx.atoms(spark, sf)
+    flagged = neighbours.with_within(atoms, atoms.where(sel.element("Zn")), 6.0, "near")
+    near = F.col("near")
+    return flagged.where((near & ~sel.element("Zn") & sel.chain("A")) | ~(near | sel.b_above(20))).select(*ID)
+
+
 @query("j1_enrich", """
     SELECT structure_id, atom_idx, vdw_radius, covalent_radius, mass, residue_class, letter FROM enriched""", "enriched")
 def enrich(spark: SparkSession, sf: str) -> DataFrame:
@@ -223,6 +236,24 @@ def reconcile(spark: SparkSession, sf: str) -> DataFrame:
     return measures.reconcile(first, second)
 
 
+@query("j10_reconcile_strict", """
+    SELECT structure_id, atom_idx, x, name, status FROM (
+      SELECT structure_id, atom_idx, x, name, 'only_a' AS status FROM atoms WHERE structure_id % 3 = 0 AND (atom_idx % 41 = 5 OR atom_idx % 43 = 6)
+        AND NOT (structure_id % 9 = 3 AND atom_idx % 50 = 8)
+      UNION ALL SELECT structure_id, atom_idx, CASE WHEN atom_idx % 41 = 5 THEN x + 0.5 ELSE x END, CASE WHEN atom_idx % 43 = 6 THEN '??' ELSE name END, 'only_b'
+      FROM atoms WHERE structure_id % 3 = 0 AND (atom_idx % 41 = 5 OR atom_idx % 43 = 6 OR (structure_id % 9 = 3 AND atom_idx % 50 = 8))
+      UNION ALL SELECT structure_id, atom_idx, x, name, 'only_b' FROM atoms WHERE structure_id % 9 = 6 AND atom_idx = 3)""", "atoms")
+def reconcile_strict(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that only one of two tables of an entry has, a row given twice included."""
+    atoms = fx.atoms(spark, sf).select("structure_id", "atom_idx", "x", "name")
+    changed, third = F.col("structure_id") % 3 == 0, F.col("structure_id")
+    first = atoms.where("NOT (structure_id % 9 = 3 AND atom_idx % 50 = 8)")
+    second = (atoms.withColumn("x", F.when(changed & (F.col("atom_idx") % 41 == 5), F.col("x") + 0.5).otherwise(F.col("x")))
+              .withColumn("name", F.when(changed & (F.col("atom_idx") % 43 == 6), "??").otherwise(F.col("name"))))
+    second = second.unionByName(atoms.where((third % 9 == 6) & (F.col("atom_idx") == 3)))
+    return measures.reconcile_by_digest(first, second, ["atom_idx", "x", "name"])
+
+
 @query("j11_shortest_distance", f"""
     SELECT a.structure_id, {q('sqrt(min((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)))')} AS distance
     FROM atoms a JOIN atoms b ON a.structure_id = b.structure_id

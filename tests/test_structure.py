@@ -205,3 +205,117 @@ def test_staging_folder(spark):
     session._STAGED[:] = [p for p in before if p != path]
     with pytest.raises(Exception):
         spark.read.parquet(path).count()
+
+
+def stepped(directions, start):
+    """Side vectors without carbonyl, one after the other."""
+    out, spare = [], []
+    for w in directions:
+        rest = start - w * (w @ start)
+        spare.append(rest @ rest < 1e-4)
+        if spare[-1]:
+            axis = np.array([0.0, 0.0, 1.0]) if abs(w[2]) < 0.9 else np.array([1.0, 0.0, 0.0])
+            rest = axis - w * (w @ axis)
+            rest = -rest if rest @ start < 0 else rest
+        start = rest / np.linalg.norm(rest)
+        out.append(start)
+    return np.array(out), np.array(spare)
+
+
+def ways_with_breaks(rng, n, breaks):
+    """Random directions; at some rows the direction is nearly that of the side vector before it, so the rule needs an axis."""
+    ways, start = rng.normal(size=(n, 3)), np.array([0.0, 0.0, 1.0])
+    ways /= np.linalg.norm(ways, axis=1, keepdims=True)
+    for i in range(n):
+        if i in breaks:
+            ways[i] = start + [0.004, -0.003, 0.002]
+            ways[i] /= np.linalg.norm(ways[i])
+        start = stepped(ways[i:i + 1], start)[0][0]
+    return ways
+
+
+def test_carried_vectors_are_products_of_projections():
+    rng = np.random.default_rng(3)
+    sizes = [1, 2, 700, 3, 1, 50, 64]
+    ways = [ways_with_breaks(rng, n, set(rng.integers(0, n, k).tolist())) for n, k in zip(sizes, (0, 1, 9, 0, 1, 40, 64))]
+    want = [stepped(w, np.array([0.0, 0.0, 1.0])) for w in ways]
+    place = np.concatenate([np.arange(n) for n in sizes])
+    right, spare = backbone.carried(np.concatenate(ways), place, np.tile([0.0, 0.0, 1.0], (len(place), 1)))
+    assert np.allclose(right, np.concatenate([w[0] for w in want]), atol=1e-9) and (spare == np.concatenate([w[1] for w in want])).all()
+
+
+@pytest.mark.parametrize("breaks", [(), (3, 11, 12, 40, 41, 77)])
+def test_long_chain_without_carbonyls(spark, breaks):
+    """Stretches over many blocks, also with rows that need an axis, and with batches that end within a block."""
+    rng = np.random.default_rng(9)
+    n, has = 130, {60, 100}
+    ways = ways_with_breaks(rng, n, breaks)
+    positions = np.concatenate(([np.zeros(3)], np.cumsum(ways, axis=0)))[:n]
+    rows = [(k, 0, 0, i, *map(float, positions[i]), (0.3, -0.7, 0.2) if i in has and k == 1 else None) for k in (1, 2) for i in range(n)]
+    guides = spark.createDataFrame(rows, "structure_id int, chain_idx int, segment int, seq int, x double, y double, z double, "
+                                         "carbonyl struct<x:double,y:double,z:double>").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        got = {(r.structure_id, r.seq): tuple(r.right) for r in backbone.orient(guides, width=8).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k in (1, 2):
+        last = None
+        for i in range(n):
+            walk = positions[i + 1] - positions[i] if i < n - 1 else positions[i] - positions[i - 1]
+            walk = walk / np.linalg.norm(walk)
+            if i in has and k == 1:
+                right = np.cross(walk, (0.3, -0.7, 0.2))
+                right = right / np.linalg.norm(right)
+            else:
+                right = stepped(walk[None], np.array([0.0, 0.0, 1.0]) if last is None else last)[0][0]
+            right = -right if last is not None and right @ last < 0 else right
+            assert np.allclose(got[k, i], right, atol=1e-7), (k, i)
+            last = right
+
+
+def test_closest_pairs_by_bounds(spark):
+    """Clouds of many shapes against all pairs, ties and single points included; far clouds without a full product."""
+    from atomweave.operators import pyramid
+    rng = np.random.default_rng(12)
+    clouds = {1: (rng.normal(size=(300, 3)), rng.normal(size=(200, 3)) + 40), 2: (np.zeros((1, 3)), np.full((1, 3), 7.0)),
+              3: (np.tile(np.arange(20.0)[:, None], (1, 3)), np.tile(np.arange(20.0)[:, None], (1, 3)) + [0.0, 9.0, 0.0]),
+              4: (rng.normal(size=(50, 3)) * [1000, 1, 1e-3], rng.normal(size=(50, 3)) * [1, 1000, 1e-3] + 1e6), 5: (np.ones((4, 3)), np.ones((3, 3))),
+              6: (rng.random((400, 3)) * [50, 50, 0], rng.random((400, 3)) * [50, 50, 0] + [0, 0, 200])}
+    sides = [spark.createDataFrame([(k, *map(float, p)) for k, c in clouds.items() for p in c[s]] + [(90 + s, 0.0, 0.0, 0.0), (1, float("nan"), 0.0, 0.0)],
+                                   "structure_id int, x double, y double, z double") for s in (0, 1)]
+    counts = []
+    got = {r.structure_id: r.d2 for r in pyramid.closest(*sides, ["structure_id"], counts).collect()}
+    assert got == {k: pytest.approx(((a[:, None] - b[None]) ** 2).sum(axis=2).min()) for k, (a, b) in clouds.items()}
+    two = [side.where("structure_id IN (1, 6)") for side in sides]
+    counts.clear()
+    pyramid.closest(*two, ["structure_id"], counts)
+    assert sum(counts) < 0.1 * (300 * 200 + 400 * 400)
+    distances = {r.structure_id: r.distance for r in neighbours.shortest_distance(*sides).collect()}
+    assert distances == {k: pytest.approx(math.sqrt(d)) for k, d in got.items()}
+
+
+def test_gyration_far_from_the_origin(spark):
+    rows = [(1, i, 1e8 + i % 2, 1e8, -1e8, 12.0 if i % 3 else 1.0) for i in range(12)] + [(2, 0, 1.0, 2.0, 3.0, None), (2, 1, 3.0, 2.0, 3.0, 0.0), (3, 0, 0.0, 0.0, 0.0, 5.0)]
+    atoms = spark.createDataFrame(rows, "structure_id int, atom_idx int, x double, y double, z double, mass double")
+    got = {r.structure_id: r.radius_of_gyration for r in measures.radius_of_gyration(atoms, F.col("structure_id") < 3).collect()}
+    weights = np.array([12.0 if i % 3 else 1.0 for i in range(12)])
+    xs = np.array([i % 2 for i in range(12)], float)
+    want = math.sqrt((weights * (xs - (weights * xs).sum() / weights.sum()) ** 2).sum() / weights.sum())
+    assert got == {1: pytest.approx(want, rel=1e-6), 2: pytest.approx(1.0), 3: 0.0}
+
+
+def test_quality_report_keeps_structures_without_an_expectation(spark):
+    summary = spark.createDataFrame([(1, 10, 9, 3), (2, 10, 9, 3)], "structure_id int, num_atoms int, num_bonds int, num_residues int")
+    composition = spark.createDataFrame([(2, 1, 1)], "structure_id int, num_helix int, num_sheet int")
+    expectations = spark.createDataFrame([(2, 1, 20, 0, 0)], "structure_id int, min_atoms int, max_atoms int, file_helix int, file_sheet int")
+    got = {r.structure_id: tuple(r)[1:] for r in measures.quality_report(summary, composition, expectations).collect()}
+    assert got == {1: (None, True, None, None), 2: (True, True, True, True)}
+
+
+def test_strict_reconciliation_by_digests(spark):
+    a = spark.createDataFrame([(1, 1, "x"), (1, 1, "x"), (1, 2, None), (2, 1, "y"), (3, 1, "z")], "structure_id int, atom_idx int, name string")
+    b = spark.createDataFrame([(1, 2, None), (1, 1, "x"), (2, 1, "y"), (4, 1, "z")], "structure_id int, atom_idx int, name string")
+    got = sorted(map(tuple, measures.reconcile_by_digest(a, b, ["atom_idx", "name"]).collect()))
+    assert got == [(1, 1, "x", "only_a"), (3, 1, "z", "only_a"), (4, 1, "z", "only_b")]
+    assert measures.reconcile_by_digest(a, a.repartition(5), ["atom_idx", "name"]).count() == 0
