@@ -24,6 +24,8 @@ from .common import query, table
 VERSION = "WARC/1.1"
 END = "\r\n\r\n"
 CUT = VERSION + "\r\n"  # no prefix of it occurs in it again, which a line reader's buffers could trip over
+#: Characters that could end a header line or field.
+UNSAFE = r"[\x00-\x20\x7F-\x9F\u2028\u2029]"
 #: Payloads of at least so many bytes are stored once.
 LEAST_REVISIT = 1000
 
@@ -42,8 +44,10 @@ def _name(kind: str, key: Column) -> Column:
 
 
 def _clean(value: Column) -> Column:
-    """Header-safe text: control characters and spaces are percent-encoded as far as they can break a line."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "\r", "%0D"), "\n", "%0A"), " ", "%20")
+    """Header-safe text: blanks, control characters and line separators (also U+0085, U+2028, U+2029) are percent-encoded."""
+    coded = F.transform(F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0)), lambda c: F.when(
+        c.rlike(UNSAFE), F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")).otherwise(c))
+    return F.when(value.rlike(UNSAFE), F.array_join(coded, "")).otherwise(value)
 
 
 def with_roles(pages: DataFrame, key: Column, url: Column, payload: Column) -> DataFrame:
@@ -154,8 +158,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _field(headers: Column, name: str) -> Column:
-    """A header field's value, whatever the case of its name; null if it is not there."""
-    found = F.regexp_extract(headers, rf"(?im)^{name}:[ \t]*(.*?)\r?$", 1)
+    """A header field's value, whatever the case of its name; null if it is not there.  Only a line feed ends a line."""
+    found = F.regexp_extract(headers, rf"(?imd)^{name}:[ \t]*(.*?)\r?$", 1)
     return F.when(found != "", found)
 
 
@@ -198,12 +202,15 @@ def transactions(records: DataFrame) -> DataFrame:
 
 
 WARC_SQL = f"""
-WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,
+WITH p AS (SELECT page_id, url, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,
                   sha1(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT *, CASE WHEN payload_bytes >= {LEAST_REVISIT}
-                     THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+                     THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first,
+             md5('request|' || coalesce(page_id::VARCHAR, 'null') || '|' || coalesce(url, '') || '|' || payload_digest) AS name FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN first <> page_id THEN first END AS refers_to FROM f
+       CASE WHEN first <> page_id THEN first END AS refers_to,
+       '<urn:uuid:' || name[1:8] || '-' || name[9:12] || '-' || name[13:16] || '-' || name[17:20] || '-' || name[21:32] || '>' AS request_id
+FROM f
 """
 
 
@@ -213,6 +220,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A page without an id is a response unless an equal page of 1000 bytes or more has one, which it then refers
     to; the SQL, where a null equals nothing, calls each such page a revisit that refers to nothing.
+    ``request_id`` is the record id of the request that was joined to the capture.
     """
     folder = fresh_path(spark, "archives")
     write(with_roles(table(spark, sf_dir, "pages"), F.col("page_id"), F.col("url"), F.col("html")), folder)
@@ -231,4 +239,5 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         about("page-id").alias("page_id"),
         F.when(response, F.octet_length(body)).otherwise(_field(head, "Content-Length")).cast("long").alias("payload_bytes"),
         F.when(response, F.sha1(body)).otherwise(F.substring_index("capture.payload_digest", ":", -1)).alias("payload_digest"),
-        F.col("capture.type").alias("record_type"), about("refers-to-page-id").alias("refers_to"))
+        F.col("capture.type").alias("record_type"), about("refers-to-page-id").alias("refers_to"),
+        F.col("request.record_id").alias("request_id"))
