@@ -4,7 +4,8 @@ The vectors are put in order of their ids and packed into blocks, each a forward
 integer components of a range of documents, with the largest and smallest value of every component (the
 terms).  A query's bound for a block is the sum over its components of the largest product the block
 allows.  Per query, the blocks of a run (16 blocks) are scored in the order of their bounds, until the next
-bound is below the k-th score found in that run; every run starts anew, so a part of each run is always scored.
+bound is below the k-th score found so far: a task keeps the best lists of the query chunks it has met, so the
+threshold is carried from run to run, and a chunk's list leaves the task once for all its runs.
 
 Queries and blocks meet by an equi-join on a salt: blocks are dealt over the salts, chunks of queries are
 copied to every salt.  A task streams pairs of a query chunk and a run of blocks; nothing is collected.
@@ -12,6 +13,7 @@ copied to every salt.  A task streams pairs of a query chunk and a run of blocks
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,13 @@ from .common import query, shuffle_partitions, table
 
 #: Vectors of a block, blocks that travel together, queries of a chunk.
 BLOCK, RUN, CHUNK = 256, 16, 512
+#: Query chunks whose best lists a task keeps; beyond that the longest unused goes out and may start anew.
+KEPT_CHUNKS = 1024
+#: A score or a bound that may reach this raises an error.
+LONG = 2.0 ** 63
 PACKED = "dim int, part long, ids binary, vectors binary"
+#: Id and score of an empty place.
+NOBODY, NOTHING = np.iinfo(np.int64).max, -np.iinfo(np.int64).max
 
 
 def integer_vectors(rows: DataFrame, key: Column, vector: Column, scale: int) -> DataFrame:
@@ -78,24 +86,43 @@ def _matrix(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarra
     return np.frombuffer(ids, "<i8"), np.frombuffer(vectors, "<i8").reshape(-1, dim)
 
 
+def no_scores(n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores of n queries that have met no row yet."""
+    return np.full((n, k), NOBODY, np.int64), np.full((n, k), NOTHING, np.int64)
+
+
 def best(queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.ndarray], k: int,
          block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best rows of one run for every query: places of queries, ids, scores.
+    """The k best rows of one run for every query: places of queries, ids, scores."""
+    found, scores = improved(queries, rows, no_scores(len(queries[0]), k), block)
+    at = np.nonzero(scores != NOTHING)
+    return at[0], found[at], scores[at]
+
 
-    Exact: products are made in doubles where they stay below 2**53, else in 64-bit integers.
+def improved(queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.ndarray],
+             so_far: tuple[np.ndarray, np.ndarray], block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """The best rows for every query, ids and scores, of those ``so_far`` and one run.
+
+    Exact: products are made in doubles where they stay below 2**53, else in 64-bit integers; where the sum of
+    a product's absolute parts may reach 2**63, an error is raised.
     """
     query_ids, q = queries
     ids, d = rows
-    safe = float(np.abs(q).max(initial=0)) * float(np.abs(d).max(initial=0)) * q.shape[1] < 2 ** 53
+    (found, known), k = so_far, so_far[0].shape[1]
+    sizes = np.abs(q.astype(np.float64)), np.abs(d.astype(np.float64))
+    safe = sizes[0].max(initial=0) * sizes[1].max(initial=0) * q.shape[1] < 2 ** 53
+    safe = safe and np.abs(known[known != NOTHING].astype(np.float64)).max(initial=0) < 2 ** 53
+    if not safe and (sizes[0] @ sizes[1].max(axis=0, initial=0)).max(initial=0) >= LONG * (1 - 1e-12):
+        raise ValueError("an inner product of these vectors may be beyond the range of a long")
     kind = np.float64 if safe else np.int64
     q, d = q.astype(kind), d.astype(kind)
     starts = np.arange(0, len(d), block)
     high, low = np.maximum.reduceat(d, starts), np.minimum.reduceat(d, starts)
     bounds = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
     order = np.argsort(-bounds, axis=1, kind="stable")
-    least = -np.inf if safe else -np.iinfo(np.int64).max  # negated in sorts
-    scores = np.full((len(q), k), least, kind)
-    found = np.full((len(q), k), np.iinfo(np.int64).max, np.int64)
+    least = -np.inf if safe else NOTHING
+    scores = np.where(known == NOTHING, least, known).astype(kind)
+    found = found.copy()
     lines = np.arange(len(q))
     for turn in range(len(starts)):
         next_block = order[:, turn]
@@ -115,24 +142,34 @@ def best(queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.ndar
             else:
                 own_ids = np.broadcast_to(own, product.shape)
             all_scores = np.concatenate((scores[who], product), axis=1)
-            all_ids = np.concatenate((found[who], np.where(product == least, np.iinfo(np.int64).max, own_ids)), axis=1)
+            all_ids = np.concatenate((found[who], np.where(product == least, NOBODY, own_ids)), axis=1)
             rank = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
             scores[who] = np.take_along_axis(all_scores, rank, axis=1)
             found[who] = np.take_along_axis(all_ids, rank, axis=1)
-    real = scores != least
-    at = np.nonzero(real)
-    return at[0], found[at], scores[at].astype(np.int64)
+    return found, np.where(scores == least, NOTHING, np.where(scores == least, 0, scores).astype(np.int64))
 
 
 def _score(k: int):
+    """Arrow function from pairs of a query chunk and a run to the best rows; a chunk's list goes out at the end."""
+    def out(asked: np.ndarray, found: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+        at = np.nonzero(scores != NOTHING)
+        return pa.RecordBatch.from_arrays([pa.array(asked[at[0]]), pa.array(found[at]), pa.array(scores[at])],
+                                          ["query_id", "vec_id", "score"])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: OrderedDict[tuple, tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]] = OrderedDict()
         for batch in batches:
             for i in range(batch.num_rows):
-                dim, q_ids, q, d_ids, d = (batch.column(c)[i].as_py() for c in range(5))
+                dim, q_ids, q, d_ids, d, number = (batch.column(c)[i].as_py() for c in range(6))
                 asked = _matrix(q_ids, q, dim)
-                at, ids, scores = best(asked, _matrix(d_ids, d, dim), k)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(asked[0][at]), pa.array(ids), pa.array(scores)], ["query_id", "vec_id", "score"])
+                key = (dim, number, q_ids)
+                so_far = held.pop(key)[1] if key in held else no_scores(len(asked[0]), k)
+                held[key] = asked[0], improved(asked, _matrix(d_ids, d, dim), so_far)
+                if len(held) > KEPT_CHUNKS:
+                    old, lists = held.popitem(last=False)[1]
+                    yield out(old, *lists)
+        for old, lists in held.values():
+            yield out(old, *lists)
     return work
 
 
@@ -149,9 +186,9 @@ def search(vectors: DataFrame, asked: Column, k: int) -> DataFrame:
     ready = stage(vectors, "integer-vectors")
     runs = stage(pack(ready, BLOCK * RUN), "vector-runs").withColumn("_salt", F.pmod(F.xxhash64("ids", "part"), salts))
     chunks = stage(pack(ready.where(asked), CHUNK), "query-chunks").select(
-        "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q"),
+        "dim", F.col("part").alias("number"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q"),
         F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")).alias("_salt"))
-    pairs = chunks.join(runs, ["dim", "_salt"]).select("dim", "q_ids", "q", "ids", "vectors")
+    pairs = chunks.join(runs, ["dim", "_salt"]).select("dim", "q_ids", "q", "ids", "vectors", "number")
     scored = pairs.mapInArrow(_score(k), "query_id long, vec_id long, score long")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return (scored.withColumn("rank", place).where(F.col("rank") <= k)
