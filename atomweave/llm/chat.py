@@ -79,12 +79,19 @@ def _message(kind: str, call: str | None, name: str | None, content: str | None,
         value = parse(content)
         arguments = canonical(value)
         wrong = problem(value, schemas[name]) if name in schemas else "$: unknown tool"
+        if any("\ud800" <= c <= "\udfff" for c in arguments):  # half a character, which only escapes can write
+            wrong, arguments = "$: lone surrogate", content
     except (ValueError, RecursionError):
         wrong = "$: not JSON"
     return wrong, canonical({"content": None, "role": "assistant", "tool_calls": [
         {"function": {"arguments": arguments, "name": name}, "id": call, "type": "function"}]})
 
 
+def _spread(key: str, row: Column) -> Column:
+    """A join key whose nulls are many different strings no identifier is like, so that they do not meet in one task."""
+    return F.coalesce(F.col(key), F.concat(F.lit("\0null "), F.xxhash64(row).cast("string")))
+
+
 def depths(calls: DataFrame) -> DataFrame:
     """Depth of every call (``id``, ``after``) in the order "after"; null for calls on or behind a cycle.
 
@@ -92,8 +99,8 @@ def depths(calls: DataFrame) -> DataFrame:
     smallest of its predecessors.
     """
     once = calls.where("id IS NOT NULL").groupBy("id").agg(F.min("after").alias("after"))
-    there = once.select(F.col("id").alias("after"), F.lit(1).alias("_one"))
-    state = stage(once.join(there, "after", "left").select(
+    there = once.select(F.col("id").alias("_key"), F.lit(1).alias("_one"))
+    state = stage(once.join(there, _spread("after", F.col("id")) == F.col("_key"), "left").select(
         "id", F.when(F.col("_one") == 1, F.col("after")).alias("after"),
         F.when(F.col("_one") == 1, 1).otherwise(0).cast("long").alias("depth")), "call-order")
     total, reach = state.count(), 1
@@ -115,14 +122,15 @@ def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping[str
     call.  ``status`` of a call is ``invalid`` if its arguments are, else ``linked`` or ``unanswered``; of a
     result ``linked`` or ``orphan``.  Null ids match nothing.  Repeated records are kept, each as a row.
     """
-    order = depths(calls)
-    answered = results.select("id").distinct().withColumn("_linked", F.lit(True))
+    order = depths(calls).withColumnRenamed("id", "_key")
+    answered = results.where("id IS NOT NULL").select(F.col("id").alias("_of")).distinct().withColumn("_linked", F.lit(True))
+    own = _spread("id", F.col("record"))
     asked = (calls.select("record", F.lit("call").alias("kind"), "id", "name", F.col("arguments").alias("content"))
-             .join(order, "id", "left").join(answered, "id", "left")
+             .join(order, own == F.col("_key"), "left").join(answered, own == F.col("_of"), "left")
              .withColumn("place", 2 * F.col("depth")))
     known = order.withColumn("_linked", F.lit(True))
     replies = (results.select("record", F.lit("result").alias("kind"), "id", F.lit(None).cast("string").alias("name"),
-                              "content").join(known, "id", "left").withColumn("place", 2 * F.col("depth") + 1))
+                              "content").join(known, own == F.col("_key"), "left").withColumn("place", 2 * F.col("depth") + 1))
     columns = ["record", "kind", "id", "name", "content", "place", "_linked"]
     rows = asked.select(*columns).union(replies.select(*columns))
 
