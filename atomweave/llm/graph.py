@@ -13,16 +13,18 @@ def components(links: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn: every node is linked to the smallest node it knows, until
     nothing changes.  The steps only join and aggregate on nodes; each result is written and read again,
-    so the lineage stays short.  Links of a node with itself make it a component of its own.
+    so the lineage stays short, and both sides of a join are dealt out anew: adaptive execution can split a
+    hub with many links.  A step's folder is dropped once the next is written.  Links of a node with
+    itself make it a component of its own.
     """
     state, edges = None, stage(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
                                .distinct(), "links")
     while True:
         both = edges.union(edges.select("v", "u")).distinct()
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = stage(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least-neighbours")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stage(large.where("u > v").distinct(), "large-star")
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        lowest = stage(large.groupBy("u").agg(F.min("v").alias("m")), "least-parents")
         small = (large.join(lowest, "u")
                  .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")),
                                            F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
