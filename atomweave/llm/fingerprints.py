@@ -37,26 +37,19 @@ def _toss_table(labels: int) -> np.ndarray:
     return (2 * bit + ((own >> bit) & 1)).astype(np.uint8)
 
 
-_BYTES, _WORDS, _SMALL, _LEAST = _toss_table(256), _toss_table(128), _toss_table(16), _toss_table(8)
+_WORDS, _SMALL, _LEAST = _toss_table(128), _toss_table(16), _toss_table(8)
 
 
 def _labels(symbols: np.ndarray, fresh: np.ndarray) -> np.ndarray:
     """Labels below 8 for symbols that differ from their left neighbours; ``fresh`` marks texts' first symbols."""
-    if symbols.dtype == np.uint8:
-        left = np.empty_like(symbols)
-        left[1:], left[:1] = symbols[:-1], 0
-        left[fresh] = symbols[fresh] ^ 1
-        label, tables = _BYTES[symbols, left], (_SMALL, _LEAST)
-    else:
-        left = np.empty_like(symbols)
-        left[1:], left[:1] = symbols[:-1], 0
-        left[fresh] = symbols[fresh] ^ np.uint64(1)
-        left ^= symbols
-        left &= -left
-        bit = np.bitwise_count(left - np.uint64(1))
-        label = 2 * bit + ((symbols >> bit.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)
-        tables = (_WORDS, _SMALL, _LEAST)
-    for toss in tables:
+    left = np.empty_like(symbols)
+    left[1:], left[:1] = symbols[:-1], 0
+    left[fresh] = symbols[fresh] ^ np.uint64(1)
+    left ^= symbols
+    left &= -left
+    bit = np.bitwise_count(left - np.uint64(1))
+    label = 2 * bit + ((symbols >> bit.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)
+    for toss in (_WORDS, _SMALL, _LEAST):
         before = np.empty_like(label)
         before[1:], before[:1] = label[:-1], 0
         before[fresh] = label[fresh] ^ 1
@@ -72,9 +65,10 @@ def _level(symbols: np.ndarray, owner: np.ndarray, level: int) -> tuple[np.ndarr
     differs = np.not_equal(symbols[1:], symbols[:-1])
     differs |= change[1:]
     starts = np.flatnonzero(np.append(True, differs))
+    symbols = symbols.astype(np.uint64, copy=False)  # whatever the batch holds: equal texts get equal names
     if len(starts) < len(symbols):
         length = np.diff(np.append(starts, len(symbols)))
-        symbols, owner, change = symbols[starts].astype(np.uint64), owner[starts], change[starts]
+        symbols, owner, change = symbols[starts], owner[starts], change[starts]
         run = length > 1
         symbols[run] = mix(symbols[run] ^ mix(length[run].astype(np.uint64) + np.uint64(0xA5A5)))
     fresh = np.flatnonzero(change)
