@@ -225,10 +225,27 @@ def digests(rows: DataFrame, key: Column, text: Column, path: str, pattern: str)
 
 
 def tokenized(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """The rows of ``docs`` with ``n_tokens`` and ``ids`` (see :func:`encode`) in place of ``text``."""
-    others = [c for c in docs.columns if c not in ("text", "n_tokens", "ids")]
-    coded = encode(docs, F.struct(*others), F.col("text"), path, pattern)
-    return coded.select("id.*", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    """The rows of ``docs`` with ``n_tokens``, ``ids`` (see :func:`encode`) and ``decoded_sha256`` in place of ``text``.
+
+    The digest is that of the bytes decoded from the ids.  Columns of ``docs`` that have one of these names stay as
+    ``input_<name>``.
+    """
+    names = ("n_tokens", "ids", "decoded_sha256")
+    others = [F.col(f"`{c}`").alias(f"input_{c}" if c in names else c) for c in docs.columns if c != "text"]
+    ranks = docs.sparkSession.sparkContext.broadcast({"ranks": read_ranks(path)})
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(ranks.value, pattern)
+        for batch in batches:
+            coded = [codec.encode(value.as_py() or "") for value in batch.column(1)]
+            decoded = [hashlib.sha256(codec.decode(ids)).hexdigest() for ids in coded]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(ids) // 4 for ids in coded], pa.int64()), pa.array(coded, pa.binary()),
+                 pa.array(decoded, pa.string())], ["id", *names])
+
+    named = docs.select(F.struct(*others).alias("id"), "text")
+    found = named.mapInArrow(work, f"id {named.schema['id'].dataType.simpleString()}, n_tokens long, ids binary, decoded_sha256 string")
+    return found.select("id.*", *names)
 
 
 @query("op9_bpe")
