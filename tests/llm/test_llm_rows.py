@@ -219,7 +219,7 @@ def test_warc(spark, tmp_path):
         same = max(k for k, _, h in pages if (h or "").encode() == data)
         late = len(data) >= 1000 and same != key
         want[(key, len(data), hashlib.sha1(data).hexdigest(), "revisit" if late else "response", same if late else None)] += 1
-    assert Counter(map(tuple, got)) == want
+    assert Counter(tuple(r)[:5] for r in got) == want and all(r.request_id for r in got)
     folder = str(tmp_path / "plain")
     warc.write(warc.with_roles(frame, F.col("page_id"), F.col("url"), F.col("html")), folder, "none")
     records = warc.read(spark, folder)
@@ -231,7 +231,7 @@ def test_warc(spark, tmp_path):
 
 def warc_rows(spark, folder, pages):
     frame = spark.createDataFrame(pages, "page_id long, url string, html string")
-    return Counter(map(tuple, warc.op2_warc(spark, nasty.save(frame.coalesce(1), folder, "pages")).collect()))
+    return Counter(tuple(r)[:5] for r in warc.op2_warc(spark, nasty.save(frame.coalesce(1), folder, "pages")).collect())
 
 
 def test_warc_version_lines_in_a_row(spark, tmp_path):
