@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 KEY = ("structure_id",)
 INFLUENCE = 2.5
 LEAST_VOXEL = 0.05
@@ -106,19 +108,30 @@ def iso_crossings(field: DataFrame, grid: DataFrame, iso: float = 0.5, keys: Seq
 
     The directions are those of the six-tetrahedra split of a cube: axes, face diagonals and the body
     diagonal.  Every crossing edge has exactly one inside end, so only inside voxels look at their
-    fourteen neighbours; a voxel without a row has density zero.
+    fourteen neighbours; a voxel without a row has density zero.  The field, read as both, is staged; a look
+    goes by one packed voxel number, and looks beyond the lattice are left out before they become rows.
     """
+    field = stage(field.join(grid, list(keys)).select(
+        *keys, "density", *[f"{p}{a}" for a in "xyz" for p in "in"], *[f"origin_{a}" for a in "xyz"], "voxel"), "field")
     forward = [(1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 0), (1, 0, 1), (0, 1, 1), (1, 1, 1)]
     steps = F.array(*[F.struct(F.lit(s * dx).alias("dx"), F.lit(s * dy).alias("dy"), F.lit(s * dz).alias("dz"),
                                F.lit(s > 0).alias("up"))
                       for s in (1, -1) for dx, dy, dz in forward])
-    inside = field.where(F.col("density") >= iso).join(grid, list(keys))
-    looks = inside.withColumn("_s", F.explode(steps))
-    for a in "xyz":
-        looks = looks.withColumn(f"j{a}", F.col(f"i{a}") + F.col(f"_s.d{a}"))
-        looks = looks.where((F.col(f"j{a}") >= 0) & (F.col(f"j{a}") < F.col(f"n{a}")))
-    other = field.select(*keys, *[F.col(f"i{a}").alias(f"j{a}") for a in "xyz"], F.col("density").alias("_other"))
-    edges = (looks.join(other, [*keys, "jx", "jy", "jz"], "left")
+    def within(step: Column) -> Column:
+        there = F.lit(True)
+        for a in "xyz":
+            there = there & (F.col(f"i{a}") + step[f"d{a}"]).between(F.lit(0), F.col(f"n{a}") - 1)
+        return there
+
+    def number(x: Column, y: Column, z: Column) -> Column:
+        return (x.cast("long") * F.col("ny") + y) * F.col("nz") + z
+
+    inside = field.where(F.col("density") >= iso)
+    looks = inside.withColumn("_s", F.explode(F.filter(steps, within)))
+    looks = looks.withColumns({f"j{a}": F.col(f"i{a}") + F.col(f"_s.d{a}") for a in "xyz"})
+    looks = looks.withColumn("_at", number(F.col("jx"), F.col("jy"), F.col("jz")))
+    other = field.select(*keys, number(F.col("ix"), F.col("iy"), F.col("iz")).alias("_at"), F.col("density").alias("_other"))
+    edges = (looks.join(other, [*keys, "_at"], "left")
              .withColumn("_other", F.coalesce("_other", F.lit(0.0))).where(F.col("_other") < iso))
     up = F.col("_s.up")
     low = F.when(up, F.col("density")).otherwise(F.col("_other"))

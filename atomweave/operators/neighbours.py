@@ -91,6 +91,30 @@ def shortest_distance(left: DataFrame, right: DataFrame, usual: float = 6.0,
     return near.unionByName(far).select(*keys, F.sqrt("d2").alias("distance"))
 
 
+def _partners(molecules: DataFrame, cell_size: float, keys: Sequence[str], idx: str, carried: Sequence[str] = ()) -> DataFrame:
+    """``keys`` and, of every molecule, ``own`` (its id and the ``carried`` columns), ``partner`` (the same of the nearest other one,
+    null without one near) and ``d2``.
+
+    What is wanted of a partner travels with it, so nothing is looked up afterwards.
+    """
+    place = [*keys, "x", "y", "z"]
+    slim = molecules.select(*place, F.struct(F.col(idx).alias("id"), *carried).alias("own"))
+    # the two smallest ids per place; the group limit cuts copies before the shuffle
+    rank = F.row_number().over(Window.partitionBy(*place).orderBy("own.id"))
+    sites = slim.withColumn("_rank", rank).where(F.col("_rank") <= 2).groupBy(*place).agg(
+        F.max(F.when(F.col("_rank") == 1, F.col("own"))).alias("own"), F.max(F.when(F.col("_rank") == 2, F.col("own"))).alias("_second"))
+    crowded = sites.where(F.col("_second").isNotNull()).withColumnRenamed("own", "_first")
+    together = slim.join(crowded, place).select(
+        *keys, "own", F.when(F.col("own.id") == F.col("_first.id"), F.col("_second")).otherwise(F.col("_first")).alias("partner"), F.lit(0.0).alias("d2"))
+    alone = sites.where(F.col("_second").isNull()).drop("_second")
+    met = grid.candidates(alone, sites.drop("_second"), keys, cell_size, condition=F.col("own.id") != F.col("own_r.id"))
+    seen = met.select(*keys, "own", F.struct(F.col("d2").alias("d2"), F.col("own_r").alias("partner")).alias("_met"))
+    nobody = alone.select(*keys, "own", F.lit(None).cast(seen.schema["_met"].dataType).alias("_met"))
+    apart = (seen.unionByName(nobody).groupBy(*keys, F.col("own.id").alias("_id")).agg(F.first("own").alias("own"), F.min("_met").alias("_best"))
+             .select(*keys, "own", F.col("_best.partner").alias("partner"), F.col("_best.d2").alias("d2")))
+    return together.unionByName(apart)
+
+
 def nearest_partner(molecules: DataFrame, cell_size: float, keys: Sequence[str] = ("structure_id", "tick"),
                     idx: str = "mol_id") -> DataFrame:
     """Nearest other molecule of each molecule among its neighbour cells, ties to the smallest id.
@@ -98,35 +122,17 @@ def nearest_partner(molecules: DataFrame, cell_size: float, keys: Sequence[str]
     Molecules at exactly one place are each other's nearest partners at distance zero and are
     answered by the smallest two ids of the place; only places are paired with places.
     """
-    place = [*keys, "x", "y", "z"]
-    # the two smallest ids per place; the group limit cuts copies before the shuffle
-    rank = F.row_number().over(Window.partitionBy(*place).orderBy(idx))
-    smallest = molecules.select(*place, idx).withColumn("_rank", rank).where(F.col("_rank") <= 2)
-    sites = smallest.groupBy(*place).agg(
-        F.min(idx).alias("_id"), F.max(F.when(F.col("_rank") == 2, F.col(idx))).alias("_second"))
-    crowded = sites.where(F.col("_second").isNotNull()).select(*place, "_id", "_second")
-    together = (molecules.join(crowded, place)
-                .select(*keys, idx, F.when(F.col(idx) == F.col("_id"), F.col("_second"))
-                        .otherwise(F.col("_id")).alias("partner_id"), F.lit(0.0).alias("d2")))
-    alone = sites.where(F.col("_second").isNull()).select(*place, F.col("_id").alias(idx))
-    others = sites.select(*place, F.col("_id").alias(idx))
-    apart = (grid.candidates(alone, others, keys, cell_size, condition=F.col(idx) != F.col(f"{idx}_r"))
-             .groupBy(*keys, idx)
-             .agg(F.min(F.struct(F.col("d2").alias("d2"), F.col(f"{idx}_r").alias("partner"))).alias("_best"))
-             .select(*keys, idx, F.col("_best.partner").alias("partner_id"), F.col("_best.d2").alias("d2")))
-    return together.unionByName(apart)
+    found = _partners(molecules, cell_size, keys, idx).where(F.col("partner").isNotNull())
+    return found.select(*keys, F.col("own.id").alias(idx), F.col("partner.id").alias("partner_id"), "d2")
 
 
 def contacts(molecules: DataFrame, cell_size: float, keys: Sequence[str] = ("structure_id", "tick"),
              idx: str = "mol_id") -> DataFrame:
     """Nearest partner with the sum of contact radii and whether the two touch."""
-    nearest = nearest_partner(molecules, cell_size, keys, idx)
-    own = molecules.select(*keys, idx, F.col("radius").alias("_own"), "roll")
-    other = molecules.select(*keys, F.col(idx).alias("partner_id"), F.col("radius").alias("_other"))
-    radius_sum = F.col("_own") + F.col("_other")
-    return (own.join(nearest, [*keys, idx], "left").join(other, [*keys, "partner_id"], "left")
-            .select(*keys, idx, "partner_id", "d2", radius_sum.alias("radius_sum"), "roll",
-                    F.coalesce(F.col("d2") <= radius_sum * radius_sum, F.lit(False)).alias("in_contact")))
+    radius_sum = F.col("own.radius") + F.col("partner.radius")
+    return (_partners(molecules, cell_size, keys, idx, ("radius", "roll"))
+            .select(*keys, F.col("own.id").alias(idx), F.col("partner.id").alias("partner_id"), "d2", radius_sum.alias("radius_sum"),
+                    F.col("own.roll").alias("roll"), F.coalesce(F.col("d2") <= radius_sum * radius_sum, F.lit(False)).alias("in_contact")))
 
 
 def nearest_attribute(points: DataFrame, atoms: DataFrame, attribute: str, cell_size: float,
