@@ -226,49 +226,96 @@ def marks(bits: int, threshold: int):
     return merge
 
 
-def survivor_table(rows: DataFrame, threshold: int) -> np.ndarray:
-    """Pass one over (text, lang): the bit table of n-grams that may occur ``threshold`` times."""
+def part_bits(rows: DataFrame) -> int:
+    """Leading bits of a hash that name its partition, from the bytes of all texts."""
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    bits = min(MOST_BITS, max(LEAST_BITS, int(-(-size // PART_BYTES)).bit_length()))
-    lists = rows.mapInArrow(key_lists(bits), KEYS)
-    dealt = lists.repartition(min(1 << bits, max(shuffle_partitions(rows.sparkSession), 1)), "part").sortWithinPartitions("part", "list")
+    return min(MOST_BITS, max(LEAST_BITS, int(-(-size // PART_BYTES)).bit_length()))
+
+
+def dealt(lists: DataFrame, bits: int, *order: str) -> DataFrame:
+    """Lists of one hash partition one after the other."""
+    tasks = min(1 << bits, max(shuffle_partitions(lists.sparkSession), 1))
+    return lists.repartition(tasks, "part").sortWithinPartitions("part", *order)
+
+
+def survivor_table(rows: DataFrame, threshold: int, bits: int) -> np.ndarray:
+    """Pass one over (text, lang): the bit table of n-grams that may occur ``threshold`` times."""
+    lists = dealt(rows.mapInArrow(key_lists(bits), KEYS), bits, "list")
     found = np.zeros((1 << TABLE_BITS) // 8, np.uint8)
     step = len(found) >> bits
-    for row in dealt.mapInArrow(marks(bits, threshold), "part long, bits binary").collect():  # the table's 32 MB, at any size
+    for row in lists.mapInArrow(marks(bits, threshold), "part long, bits binary").collect():  # the table's 32 MB, at any size
         found[row.part * step:(row.part + 1) * step] = np.frombuffer(row.bits, np.uint8)
     return found
 
 
-def exact_counts(table_of_bits):
-    """Arrow function from (text, lang) to ``lang``, ``phrase``, ``n`` of the n-grams whose bits are set, and those of all
-    their parts; the row with a null phrase counts all words of the language."""
-    names = ["lang", "phrase", "n"]
+NAMES = ["lang", "phrase", "n"]
+
+
+def folded(held: list[pa.Table], *more: str) -> pa.Table:
+    """Counts of equal phrases added up."""
+    return pa.concat_tables(held).group_by([*more, *NAMES[:2]]).aggregate([("n", "sum")]).rename_columns([*more, *NAMES])
+
 
-    def folded(held: list[pa.Table]) -> pa.Table:
-        return pa.concat_tables(held).group_by(names[:2]).aggregate([("n", "sum")]).rename_columns(names)
+COUNTS = "part long, lang array<string>, phrase array<string>, n array<long>"
+
+
+def exact_counts(table_of_bits, bits: int):
+    """Arrow function from (text, lang) to the counts of the n-grams whose bits are set, and those of all their parts, one
+    list for each hash partition; a null phrase counts all words of the language."""
+    def lists(found: pa.Table) -> pa.RecordBatch:
+        found = found.sort_by("part").combine_chunks()
+        part = found.column("part").to_numpy()
+        edges = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        ends = pa.array(np.append(edges, len(part)), pa.int32())
+        columns = [pa.ListArray.from_arrays(ends, found.column(c).combine_chunks()) for c in NAMES]
+        return pa.RecordBatch.from_arrays([pa.array(part[edges]), *columns], names=["part", *NAMES])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, held = np.frombuffer(table_of_bits.value, np.uint8), []
+        table, held = np.frombuffer(table_of_bits.value, np.uint8), []
         for grams in portions(batches):
             if len(grams.word):
                 langs = pa.array(grams.langs, pa.string())
                 total = np.bincount(grams.lang, minlength=len(grams.langs))
-                held.append(pa.table({"lang": langs, "phrase": pa.nulls(len(langs), pa.string()), "n": total}))
+                held.append(pa.table({"part": np.zeros(len(langs), np.int64), "lang": langs, "phrase": pa.nulls(len(langs), pa.string()), "n": total}))
             allowed = None
             while grams.order < ORDERS and grams.step(allowed):
                 place = (grams.hash >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-                allowed = (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
+                allowed = (table[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
                 chosen = np.flatnonzero(allowed)
-                held.append(pa.table({"lang": langs.take(pa.array(grams.lang[grams.at[chosen]])), "phrase": grams.phrases(chosen), "n": grams.count[chosen]}))
+                held.append(pa.table({"part": (grams.hash[chosen] >> np.uint64(64 - bits)).astype(np.int64),
+                                      "lang": langs.take(pa.array(grams.lang[grams.at[chosen]])), "phrase": grams.phrases(chosen), "n": grams.count[chosen]}))
             if sum(len(t) for t in held) > 2 * PHRASES:
-                held = [folded(held)]
+                held = [folded(held, "part")]
                 if len(held[0]) > PHRASES:
-                    yield from held.pop().to_batches(max_chunksize=10_000)
+                    yield lists(held.pop())
         if held:
-            yield from folded(held).to_batches(max_chunksize=10_000)
+            yield lists(folded(held, "part"))
     return count
 
 
+def added_up(threshold: int):
+    """Arrow function: lists of :func:`exact_counts`, sorted by partition, to the phrases that occur ``threshold`` times."""
+    def out(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        whole = folded(held)
+        kept = pc.or_(pc.greater_equal(whole.column("n"), threshold), pc.is_null(whole.column("phrase")))
+        yield from whole.filter(kept).to_batches(max_chunksize=10_000)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+        for batch in batches:
+            for i, own in enumerate(batch.column(0).to_pylist()):
+                if own != part and held:
+                    yield from out(held)
+                    held = []
+                part = own
+                held.append(pa.table({c: batch.column(k)[i].values for k, c in enumerate(NAMES, 1)}))
+                if sum(len(t) for t in held) > 2 * PHRASES:
+                    held = [folded(held)]
+        if held:
+            yield from out(held)
+    return add
+
+
 def phrase_counts(rows: DataFrame, text: Column, lang: Column, threshold: int) -> DataFrame:
     """``lang``, ``phrase``, ``n`` of all phrases of one to four words that occur ``threshold`` times in a language, exactly;
     and with a null phrase the number of words of each language.
@@ -276,9 +323,10 @@ def phrase_counts(rows: DataFrame, text: Column, lang: Column, threshold: int) -
     Null texts are empty, a null language is 'und'; words keep their case but for A-Z; an empty table gives no rows.
     """
     named = rows.select(F.coalesce(text, F.lit("")).alias("text"), F.coalesce(lang, F.lit("und")).alias("lang"))
-    bits = rows.sparkSession.sparkContext.broadcast(survivor_table(named, threshold).tobytes())
-    found = named.mapInArrow(exact_counts(bits), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    return found.where(F.col("phrase").isNull() | (F.col("n") >= threshold))
+    bits = part_bits(named)
+    table_of_bits = rows.sparkSession.sparkContext.broadcast(survivor_table(named, threshold, bits).tobytes())
+    lists = dealt(named.mapInArrow(exact_counts(table_of_bits, bits), COUNTS), bits)
+    return lists.mapInArrow(added_up(threshold), "lang string, phrase string, n long")
 
 
 def collocations(rows: DataFrame, text: Column, lang: Column, threshold: int = 30, top: int = 2000) -> DataFrame:
