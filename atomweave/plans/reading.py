@@ -11,7 +11,7 @@ from ..functions import chemistry, identifiers, tables
 from ..operators import assemble
 from ..functions.selection import load_filter
 from ..session import fresh_path, stage
-from ..sources import cif, cif_blocks, dcd, manifest, pdb, routing
+from ..sources import cif, cif_blocks, dcd, loader, manifest, pdb, routing
 from . import fixtures as fx
 from .registry import q, query, r
 
@@ -360,3 +360,24 @@ def load_report(spark: SparkSession, sf: str) -> DataFrame:
     atoms = atoms.where("model_no = 1 OR NOT is_valid")
     flagged = chemistry.with_flags(chemistry.with_residue_class(atoms))
     return pdb.load_report(texts, flagged, load_filter(), FILE)
+
+
+@query("a10_mixed_load", f"""
+    SELECT file || CASE block % 4 WHEN 2 THEN '.cif' WHEN 3 THEN '.txt' ELSE '' END AS file,
+      CASE WHEN block % 4 = 3 THEN 'unknown' ELSE 'mmcif' END AS format, num_kept, num_kept > 0 AS success,
+      CASE WHEN block % 4 = 2 THEN 'coordinate columns missing' WHEN block % 4 = 3 THEN 'unknown format'
+           WHEN num_kept = 0 THEN 'no atom left after load options' ELSE '' END AS reason,
+      CASE WHEN num_kept > 0 THEN num_kept END AS num_atoms, CASE WHEN block % 4 <> 3 THEN structure_id % 30 + 0.5::DOUBLE END AS resolution
+    FROM (SELECT {CIF_FILE} AS file, structure_id, CAST(floor(atom_idx / 256) AS BIGINT) AS block,
+            CASE WHEN any_value(floor(atom_idx / 256)) % 4 >= 2 THEN 0 ELSE
+              count_if(atom_idx % 11 <> 0 AND atom_idx % 97 <> 0 AND NOT is_water AND NOT is_secondary_altloc) END AS num_kept
+          FROM enriched GROUP BY ALL)""", "enriched")
+def mixed_load(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of several kinds through one loader: by content, with a missing column, and foreign ones."""
+    block = F.col("block") % 4
+    texts = fx.cif_texts(spark, sf).select(
+        F.concat("file", F.when(block == 2, ".cif").when(block == 3, ".txt").otherwise("")).alias("file"),
+        F.when(block == 2, F.replace("value", F.lit("_atom_site.Cartn_z"), F.lit("_atom_site.height")))
+         .when(block == 3, F.lit("a note about a structure")).otherwise(F.col("value")).alias("value"))
+    found = loader.load(texts, bond=False)["structures"]
+    return found.select("file", "format", "num_kept", "success", "reason", "num_atoms", "resolution")
