@@ -14,8 +14,7 @@ def components(links: DataFrame) -> DataFrame:
     Large-star and small-star steps in turn: every node is linked to the smallest node it knows, until
     nothing changes.  The steps only join and aggregate on nodes; each result is written and read again,
     so the lineage stays short, and both sides of a join are dealt out anew: adaptive execution can split a
-    hub with many links.  A step's folder is dropped once the next is written.  Links of a node with
-    itself make it a component of its own.
+    hub with many links.  Links of a node with itself make it a component of its own.
     """
     state, edges = None, stage(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
                                .distinct(), "links")
