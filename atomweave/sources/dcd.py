@@ -225,7 +225,7 @@ class TrajectoryReader(DataSourceReader):
         files = sorted((f.path, f.size) for f in found if f.is_file and f.path.lower().endswith(".dcd")
                        and fnmatchcase(f.path.rsplit("/", 1)[-1], self.files))
         if self.table == "report":
-            return pack([Slice(path, size, 0, size) for path, size in files], self.split_bytes)
+            return pack([Slice(path, size, 0, size, False, size) for path, size in files], self.split_bytes)
         frames = self._frame_range() if self.table in ("frames", "cells") else None
         slices = []
         for path, size in files:
