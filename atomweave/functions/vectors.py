@@ -95,7 +95,8 @@ def torsion(middle: Vector, n1: Vector, n2: Vector) -> Column:
     """Signed torsion in the chemists' convention (right-handed helix: negative phi); 0 when collinear.
 
     With n1, n2 the plane normals and u the unit middle bond, the torsion is
-    atan2(u . (n1 x n2), n1 . n2).
+    atan2(u . (n1 x n2), n1 . n2), above -180 and up to 180: Spark's atan2 reads a sine of -0.0 as 0.0, so
+    a flat zigzag is 180 whatever the sign of its zero.
     """
     sine = dot(middle, cross(n1, n2)) / length(middle)
     return F.when(nearly_zero(n1) | nearly_zero(n2), F.lit(0.0)).otherwise(F.degrees(F.atan2(sine, dot(n1, n2))))

@@ -288,7 +288,7 @@ MEASURED = {
 ANGLE = """CASE WHEN ux*ux+uy*uy+uz*uz >= 1e-8 AND vx*vx+vy*vy+vz*vz >= 1e-8 THEN degrees(acos(greatest(-1.0, least(1.0,
     -(ux*vx+uy*vy+uz*vz) / sqrt((ux*ux+uy*uy+uz*uz)*(vx*vx+vy*vy+vz*vz)))))) END"""
 TORSION = """CASE WHEN greatest(abs(mx), abs(my), abs(mz)) <= 1e-4 OR greatest(abs(nx), abs(ny), abs(nz)) <= 1e-4 THEN 0
-    ELSE degrees(atan2((vx*(my*nz-mz*ny) + vy*(mz*nx-mx*nz) + vz*(mx*ny-my*nx)) / vl, mx*nx + my*ny + mz*nz)) END"""
+    ELSE degrees(atan2((vx*(my*nz-mz*ny) + vy*(mz*nx-mx*nz) + vz*(mx*ny-my*nx)) / vl + 0.0::DOUBLE, mx*nx + my*ny + mz*nz)) END"""
 
 
 @query("j12_measure_tuples", f"""

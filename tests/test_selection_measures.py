@@ -2,12 +2,14 @@
 
 import math
 
+import duckdb
 import pytest
 import samples
 from pyspark.sql import functions as F
 
 from atomweave.functions import appearance, chemistry, dynamics, identifiers, selection as sel
 from atomweave.operators import exports, measures, neighbours
+from atomweave.plans import fixtures, joining
 
 
 @pytest.fixture(scope="module")
@@ -132,3 +134,19 @@ def test_boundaries_and_bands(spark):
     assert not value(dynamics.unbinds(0.3, 0.0, F.lit(0.0)))
     assert value(appearance.iso_radius(F.lit(2.0), -2.3, 0.5)) == pytest.approx(2 * math.sqrt(1 + math.log(0.5) / -2.3))
     assert value(appearance.iso_radius(F.lit(2.0), 1.0, 0.5)) == 2.0
+
+
+def test_flat_zigzag_is_180_in_both_engines(spark):
+    """The triple product of these four atoms is -0.0, of their mirror image 0.0."""
+    places = [(13.0, 6.75, 34.75), (39.0, 26.25, 32.75), (26.0, 16.5, 21.75), (22.0, 13.5, 3.5)]
+    rows = [(k, i, x, y, sign * z) for k, sign in ((1, 1.0), (2, -1.0)) for i, (x, y, z) in enumerate(places)]
+    atoms = spark.createDataFrame(rows, "structure_id int, atom_idx int, x double, y double, z double")
+    tuples = spark.createDataFrame([(k, 0, 0, 1, 2, 3) for k in (1, 2)], "structure_id int, tuple_id int, a int, b int, c int, d int")
+    assert [r.dihedral for r in measures.measure_tuples(tuples, atoms).collect()] == [180.0, 180.0]
+    database = duckdb.connect()
+    database.execute("CREATE TABLE atoms AS SELECT * FROM (VALUES " + ", ".join(str(r) for r in rows) + ") AS t(structure_id, atom_idx, x, y, z)")
+    for a in "xyz":
+        database.execute(f"ALTER TABLE atoms ALTER {a} TYPE DOUBLE")
+    views = {**joining.MEASURED, "tuples": "SELECT DISTINCT structure_id, 0 AS tuple_id, 0 AS a, 1 AS b, 2 AS c, 3 AS d FROM atoms"}
+    found = database.execute(fixtures.with_views(f"SELECT {joining.TORSION} FROM normals", extra=views)).fetchall()
+    assert found == [(180.0,), (180.0,)]
