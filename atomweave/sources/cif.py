@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.cloudpickle import register_pickle_by_value
@@ -37,20 +38,41 @@ TOKEN = re.compile(
     re.MULTILINE | re.DOTALL)
 
 
+def whole_words(line: str) -> list[tuple[str, bool]] | None:
+    """Values of a line whose quoted values have no blanks in them and which has no comment, else None."""
+    found = []
+    for word in line.split(" "):
+        first = word[:1]
+        if first == "'" or first == '"':
+            if len(word) < 2 or word[-1] != first:
+                return None
+            found.append((word[1:-1], True))
+        elif first == "#":
+            return None
+        elif word:
+            found.append((word, False))
+    return found
+
+
 def tokens(text: str) -> Iterator[tuple[str, bool]]:
     """Values in order, each with whether it was quoted.
 
-    Lines without quotes, comments and text fields, nearly all of a file, are split into words at
-    once; the pattern only works through the others.
+    Lines without comments, text fields and quoted blanks, nearly all of a file, are split into words
+    at once; the pattern only works through the others.
     """
     at, size = 0, len(text)
     while at < size:
         end = text.find("\n", at)
         end = size if end < 0 else end
         line = text[at:end]
-        if "'" not in line and '"' not in line and "#" not in line and line[:1] != ";" and line.isascii():
-            for word in line.split():
-                yield word, False
+        words, even = None, line.replace("\t", " ").replace("\r", " ")
+        if line[:1] != ";" and even.isascii() and even.isprintable():
+            if "'" not in line and '"' not in line and "#" not in line:
+                words = [(word, False) for word in even.split()]
+            else:
+                words = whole_words(even)
+        if words is not None:
+            yield from words
             at = end + 1
             continue
         at, start = size, at
@@ -63,6 +85,9 @@ def tokens(text: str) -> Iterator[tuple[str, bool]]:
                 break
 
 
+SECTION_STARTS = frozenset("_lLsSdD")
+
+
 def ends_section(token: str, quoted: bool) -> bool:
     if quoted:
         return False
@@ -100,13 +125,17 @@ def rows_of(text: str, wanted: Iterable[str] | None = None) -> Iterator[tuple[st
             used = bool(tags) and (keep is None or category in keep)
             used = used and not (category == "atom_site" and category in next_row)
             row, cells = next_row.get(category, 0), []
-            while token is not None and not ends_section(*token):
+            for token in chain((token,), stream) if token is not None else ():
+                word, quoted = token
+                if not quoted and word[0] in SECTION_STARTS and ends_section(word, quoted):
+                    break
                 if used:
-                    cells.append(token[0])
+                    cells.append(word)
                     if len(cells) == len(names):
                         yield category, row, dict(zip(names, cells))
                         row, cells = row + 1, []
-                token = next(stream, None)
+            else:
+                token = None
             if used:
                 next_row[category] = row
             continue

@@ -103,8 +103,9 @@ class Lexer:
             end = text.find("\n", at)
             end = size if end < 0 else end
             line = text[at:end]
-            if "'" not in line and '"' not in line and "#" not in line and line[:1] != ";" and line.isascii():
-                words = line.split()
+            even = line.replace("\t", " ").replace("\r", " ")
+            if "'" not in line and '"' not in line and "#" not in line and line[:1] != ";" and even.isascii() and even.isprintable():
+                words = even.split()
                 if words:  # keywords and tags have a low line
                     yield words if "_" not in line else [(word, False) for word in words]
                 at = end + 1

@@ -1,5 +1,7 @@
 """Both structure formats: exact values of a small fragment, and edge cases of each."""
 
+import random
+
 import compare
 import pytest
 import samples
@@ -116,3 +118,19 @@ def test_box_lengths_of_trajectories_over_several_files(spark, monkeypatch):
     assert reading.open_trajectories(spark, sf, "report").agg({"part": "max"}).first()[0] >= 3
     problem, count, *_ = compare.check(spark, sf, name, catalogue.QUERIES[name], catalogue.ORACLE[name], compare.connect(sf))
     assert problem is None and count > 0
+
+
+def test_tokens_are_those_of_the_pattern():
+    rng, parts = random.Random(5), ["'a'", "'a b'", '"b\'"', "'", '"', "''", "#", "a#b", "x'y", "\n;", "\n;\n", ";", "\t", "\r\n", "é", "w", "\x0b", "'a'b'"]
+    for _ in range(3000):
+        text = rng.choice([" ", "\n", ""]).join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        want = [(m.group(m.lastgroup), m.lastgroup != "word") for m in cif.TOKEN.finditer(text) if m.lastgroup]
+        assert list(cif.tokens(text)) == want, text
+
+
+def test_lines_are_rendered_once(spark):
+    """Columns cut from a rendered line do not render it again."""
+    from atomweave.plans import catalogue
+    for name in ("a1_pdb_atom_scan", "a2_pdb_model_filter"):
+        plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert max(line.count("array_position") for line in plan.splitlines()) == 1
