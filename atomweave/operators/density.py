@@ -13,6 +13,7 @@ KEY = ("structure_id",)
 INFLUENCE = 2.5
 LEAST_VOXEL = 0.05
 COARSEN = 1.5
+ATOMS_PER_TASK = 16384
 
 
 def contributing(atoms: DataFrame, inflation: float = 0.0, show_water: bool = False,
@@ -65,35 +66,41 @@ def voxel_grid(atoms: DataFrame, voxel: float = 0.6, max_voxels: int | None = No
 
 
 def density_field(atoms: DataFrame, grid: DataFrame, sharpness: float = -2.3, keys: Sequence[str] = KEY,
-                  per_block: int = 8) -> DataFrame:
+                  per_block: int = 24) -> DataFrame:
     """Sum of ``exp(B (d^2/r^2 - 1))`` over atoms within reach, at every voxel that gets any.
 
-    Atoms are scattered to the voxels around them and summed.  Atoms are first rebalanced by
-    structure and coarse block: neighbours meet in one task, so partial aggregation folds most
-    contributions before the second shuffle, and a block that is too full is split by adaptive
-    execution.  Equal atoms at one place are counted first and scattered once.
+    The lattice is cut into blocks of ``per_block`` voxels an axis; an atom goes to every block it reaches and
+    is scattered to the voxels of that block only. A block is summed where its atoms are, so no voxel is shuffled,
+    and as many tasks are used as there are ``ATOMS_PER_TASK`` atoms, so a task's table of sums does not grow with
+    the input. Equal atoms at one place are counted first and scattered once; their places are staged for the count.
     """
     if sharpness >= 0:
         raise ValueError("sharpness has to be negative")
-    places = atoms.groupBy(*keys, "x", "y", "z", "r").agg(F.count(F.lit(1)).alias("_n"))
-    placed = places.join(grid, list(keys))
-    blocks = [f"_b{a}" for a in "xyz"]
-    placed = placed.withColumns({f"_b{a}": F.floor((F.col(a) - F.col(f"origin_{a}")) / (F.col("voxel") * per_block))
-                                 for a in "xyz"})
-    spread = placed.hint("rebalance", *[F.col(c) for c in (*keys, *blocks)])
+    places = stage(atoms.groupBy(*keys, "x", "y", "z", "r").agg(F.count(F.lit(1)).alias("_n")), "atom-places")
+    spread = places.join(grid, list(keys))
 
     def index(axis: str, sign: int) -> Column:
         return (F.col(axis) + sign * F.col("reach") - F.col(f"origin_{axis}")) / F.col("voxel")
 
+    blocks = [f"_b{a}" for a in "xyz"]
+    for a in "xyz":
+        spread = spread.withColumns({
+            f"_low_{a}": F.greatest(F.lit(0), F.ceil(index(a, -1))).cast("int"),
+            f"_high_{a}": F.least(F.col(f"n{a}") - 1, F.floor(index(a, 1))).cast("int")}).where(F.col(f"_low_{a}") <= F.col(f"_high_{a}"))
+    for a in "xyz":
+        spread = spread.withColumn(f"_b{a}", F.explode(F.sequence(
+            F.floor(F.col(f"_low_{a}") / per_block).cast("int"), F.floor(F.col(f"_high_{a}") / per_block).cast("int"))))
+    tasks = max(1, -(-places.count() // ATOMS_PER_TASK))
+    spread = spread.repartition(tasks, *keys, *blocks)
     for a in "xyz":
-        low = F.greatest(F.lit(0), F.ceil(index(a, -1))).cast("int")
-        high = F.least(F.col(f"n{a}") - 1, F.floor(index(a, 1))).cast("int")
+        low = F.greatest(F.col(f"_low_{a}"), F.col(f"_b{a}") * per_block)
+        high = F.least(F.col(f"_high_{a}"), (F.col(f"_b{a}") + 1) * per_block - 1)
         spread = (spread.withColumn(f"i{a}", F.explode(F.sequence(low, high)))
                   .withColumn(f"_d{a}", F.col(f"origin_{a}") + F.col(f"i{a}") * F.col("voxel") - F.col(a)))
     d2 = F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy") + F.col("_dz") * F.col("_dz")
     value = F.col("_n") * F.exp(F.lit(float(sharpness)) * (F.col("_d2") / (F.col("r") * F.col("r")) - 1.0))
     return (spread.withColumn("_d2", d2).where(F.col("_d2") <= F.col("reach") * F.col("reach"))
-            .groupBy(*keys, "ix", "iy", "iz").agg(F.sum(value).alias("density")))
+            .groupBy(*keys, *blocks, "ix", "iy", "iz").agg(F.sum(value).alias("density")).drop(*blocks))
 
 
 def inside_volume(field: DataFrame, grid: DataFrame, iso: float = 0.5, keys: Sequence[str] = KEY) -> DataFrame:

@@ -329,3 +329,16 @@ def test_strict_reconciliation_by_digests(spark):
     got = sorted(map(tuple, measures.reconcile_by_digest(a, b, ["atom_idx", "name"]).collect()))
     assert got == [(1, 1, "x", "only_a"), (3, 1, "z", "only_a"), (4, 1, "z", "only_b")]
     assert measures.reconcile_by_digest(a, a.repartition(5), ["atom_idx", "name"]).count() == 0
+
+
+def test_field_uses_tasks_by_its_atoms(spark, monkeypatch):
+    """More atoms are more tasks, and blocks of any width give the same sums."""
+    monkeypatch.setattr(density, "ATOMS_PER_TASK", 5, raising=False)
+    rng = random.Random(8)
+    rows = [(1, *(rng.uniform(-4, 4) for _ in range(3)), 1.7) for _ in range(40)]
+    atoms = spark.createDataFrame(rows, "structure_id int, x double, y double, z double, r double")
+    lattice = density.voxel_grid(atoms, 0.9)
+    fields = [density.density_field(atoms, lattice, per_block=width) for width in (3, 1000)]
+    assert fields[0].rdd.getNumPartitions() == 8
+    narrow, wide = ({(r.ix, r.iy, r.iz): r.density for r in f.collect()} for f in fields)
+    assert narrow.keys() == wide.keys() and all(abs(wide[k] - v) < 1e-9 for k, v in narrow.items())
