@@ -27,6 +27,8 @@ CA_CUTOFF = 9.0
 NH_LENGTH = 1.0
 PEPTIDE_MAX = 2.5
 
+BONDS_PER_TASK = 32768
+
 BACKBONE_ATOMS = {"n": "N", "ca": "CA", "c": "C", "o": "O"}
 
 # State precedence: a lower number wins, residues without a mark are Coil.
@@ -132,7 +134,9 @@ def bridges(bonds: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Residue pairs (i < j, at least three apart) joined by a parallel or antiparallel bridge.
 
     Each of the four patterns needs two bonds.  A bond names the pair and the half of a pattern it
-    provides (one bit each); a pair is a bridge when both halves of one pattern were named.
+    provides (one bit each); a pair is a bridge when both halves of one pattern were named. The bonds are
+    staged and counted: there are as many tasks as ``BONDS_PER_TASK`` bonds, so a task's table of pairs does not
+    grow with the input.
     """
     co, nh = F.col("co"), F.col("nh")
     halves = [  # (i, j) of the pair for which this bond is the given half
@@ -141,11 +145,13 @@ def bridges(bonds: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
         (co, nh), (nh, co),                  # antiparallel:  CO(i)-NH(j)     and CO(j)-NH(i)
         (co + 1, nh - 1), (nh - 1, co + 1),  # antiparallel:  CO(i-1)-NH(j+1) and CO(j-1)-NH(i+1)
     ]
+    bonds = stage(bonds.select(*keys, "co", "nh"), "bridge-bonds")
     votes = bonds.select(*keys, F.explode(F.array(*[
         F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), F.lit(1 << bit).alias("half"))
         for bit, (i, j) in enumerate(halves)])).alias("_v"))
-    pairs = (votes.select(*keys, "_v.i", "_v.j", "_v.half").where(F.col("j") - F.col("i") >= 3)
-             .groupBy(*keys, "i", "j").agg(F.bit_or("half").alias("_m")))
+    votes = votes.select(*keys, "_v.i", "_v.j", "_v.half").where(F.col("j") - F.col("i") >= 3)
+    tasks = max(1, -(-bonds.count() // BONDS_PER_TASK))
+    pairs = votes.repartition(tasks, *keys, "i", "j").groupBy(*keys, "i", "j").agg(F.bit_or("half").alias("_m"))
 
     def both(low: int) -> Column:
         return F.col("_m").bitwiseAND(F.lit(low * 3)) == low * 3

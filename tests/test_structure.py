@@ -342,3 +342,12 @@ def test_field_uses_tasks_by_its_atoms(spark, monkeypatch):
     assert fields[0].rdd.getNumPartitions() == 8
     narrow, wide = ({(r.ix, r.iy, r.iz): r.density for r in f.collect()} for f in fields)
     assert narrow.keys() == wide.keys() and all(abs(wide[k] - v) < 1e-9 for k, v in narrow.items())
+
+
+def test_bridges_use_tasks_by_their_bonds(spark, monkeypatch):
+    monkeypatch.setattr(secondary, "BONDS_PER_TASK", 5, raising=False)
+    bonds = spark.createDataFrame([(1, 3 * k, 3 * k + 7) for k in range(20)] + [(1, 3 * k + 7, 3 * k) for k in range(20)],
+                                  "structure_id int, co int, nh int")
+    found = secondary.bridges(bonds)
+    assert found.rdd.getNumPartitions() == 8
+    assert {(r.i, r.j) for r in found.where("antiparallel").collect()} >= {(3 * k, 3 * k + 7) for k in range(20)}
