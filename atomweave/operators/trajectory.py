@@ -49,22 +49,32 @@ def _with_last_frame(requests: DataFrame, frames: DataFrame) -> DataFrame:
 def sample(requests: DataFrame, frames: DataFrame, time: str = "t") -> DataFrame:
     """Positions at fractional frame times, blended between the two frames around them.
 
-    ``requests`` is ``(traj_id, request_id, t)``; times outside the series are clamped.  Both frames
-    come from one equi-join on the frame number: a request asks for one or two frames with weights.
+    ``requests`` is ``(traj_id, request_id, t)``; times outside the series are clamped.  A row of a frame goes
+    to its own frame and to the one before, where both are put side by side; the requests join them there, and
+    what they get is not shuffled again.
     """
     at = F.greatest(F.lit(0.0), F.least(F.col(time), F.col("_last").cast("double")))
-    asked = _with_last_frame(requests, frames).withColumn("_at", at).withColumn("_a", F.floor("_at"))
-    share = F.col("_at") - F.col("_a")
-    exact = (share <= ON_A_FRAME) | (F.col("_a") >= F.col("_last"))
-    first = F.struct(F.col("_a").alias("frame"), (1.0 - share).alias("w"))
-    second = F.struct((F.col("_a") + 1).alias("frame"), share.alias("w"))
-    whole = F.struct(F.col("_a").alias("frame"), F.lit(1.0).alias("w"))
-    needs = asked.select("traj_id", "request_id", F.explode(
-        F.when(exact, F.array(whole)).otherwise(F.array(first, second))).alias("_n"))
-    needs = needs.select("traj_id", "request_id", F.col("_n.frame").alias("frame"), F.col("_n.w").alias("_w"))
-    return (needs.join(frames, ["traj_id", "frame"])
-            .groupBy("traj_id", "request_id", "atom_idx")
-            .agg(*[F.sum(F.col("_w") * F.col(a)).alias(a) for a in "xyz"]))
+    asked = _with_last_frame(requests, frames).withColumn("_at", at).withColumn("frame", F.floor("_at"))
+    share = F.col("_at") - F.col("frame")
+    exact = (share <= ON_A_FRAME) | (F.col("frame") >= F.col("_last"))
+    asked = asked.select("traj_id", "request_id", "frame", F.when(~exact, share).alias("_w"))
+    place = F.struct("x", "y", "z")
+    sides = frames.select("traj_id", F.explode(F.array(
+        F.struct(F.col("frame").cast("long").alias("frame"), F.lit(1).alias("role"), place.alias("a"), F.lit(None).cast("struct<x:double,y:double,z:double>").alias("b")),
+        F.struct((F.col("frame") - 1).cast("long").alias("frame"), F.lit(2).alias("role"), F.lit(None).cast("struct<x:double,y:double,z:double>").alias("a"),
+                 place.alias("b")))).alias("_s"), "atom_idx")
+    sides = sides.select("traj_id", "_s.frame", "atom_idx", F.col("_s.role").alias("_role"), *[F.col(f"_s.{s}.{c}").alias(f"_{s}{c}") for s in "ab" for c in "xyz"])
+    both = (sides.repartition("traj_id", "frame").groupBy("traj_id", "frame", "atom_idx")
+            .agg(F.bit_or("_role").alias("_role"), *[F.max(f"_{s}{c}").alias(f"_{s}{c}") for s in "ab" for c in "xyz"]))
+    first, second = F.coalesce(1.0 - F.col("_w"), F.lit(1.0)), F.col("_w")
+    there = (F.col("_role") != 2) | (F.col("_w").isNotNull())
+
+    def blend(c: str) -> Column:
+        one, two = first * F.col(f"_a{c}"), second * F.col(f"_b{c}")
+        return F.coalesce(one + two, one, two).alias(c)
+
+    return asked.join(both, ["traj_id", "frame"]).where(there).select(
+        "traj_id", "request_id", "atom_idx", *[blend(c) for c in "xyz"])
 
 
 def sample_nearest(requests: DataFrame, frames: DataFrame, time: str = "t") -> DataFrame:

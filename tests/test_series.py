@@ -195,3 +195,16 @@ def test_report_by_ranges_equals_report_by_files(spark, tmp_path):
         assert got == want and len(got) == 7
     checks = spark.read.format("dcd").option("table", "checks").option("splitBytes", 900).load(str(tmp_path))
     assert checks.where("path LIKE '%good.dcd'").groupBy(F.spark_partition_id()).count().count() >= 9
+
+
+def test_samples_are_not_summed_after_the_join(spark):
+    """What the requests get is not grouped again; a frame without its successor counts by its own share."""
+    frames = spark.createDataFrame([(1, f, a, 10.0 * f + a, 0.0, 1.0) for f in (0, 1, 3) for a in (0, 1)],
+                                   "traj_id int, frame int, atom_idx int, x double, y double, z double")
+    requests = spark.createDataFrame([(1, 1, 0.25), (1, 2, 1.5), (1, 3, 9.0), (1, 4, 2.5)], "traj_id int, request_id int, t double")
+    found = trajectory.sample(requests, frames)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[:plan.index("Join")]
+    got = {(r.request_id, r.atom_idx): (r.x, r.z) for r in found.collect()}
+    assert got == {(1, 0): (2.5, 1.0), (1, 1): (3.5, 1.0), (2, 0): (5.0, 0.5), (2, 1): (5.5, 0.5), (3, 0): (30.0, 1.0),
+                   (3, 1): (31.0, 1.0), (4, 0): (15.0, 0.5), (4, 1): (15.5, 0.5)}
