@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -106,3 +109,6 @@ def dihedral_degrees(a: Vector, b: Vector, c: Vector, d: Vector) -> Column:
     """Torsion of four points."""
     middle = sub(c, b)
     return torsion(middle, cross(sub(b, a), middle), cross(middle, sub(d, c)))
+
+
+register_pickle_by_value(sys.modules[__name__])  # functions sent to executors that lack this package use it

@@ -2,11 +2,14 @@
 
 import math
 import random
+import subprocess
+import sys
 from types import SimpleNamespace
 
 import numpy as np
 import pytest
 import samples
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from atomweave import session
@@ -217,6 +220,19 @@ def test_shared_folder_of_a_cluster(folder, default, want):
     assert session.shared_folder(SimpleNamespace(conf={"spark.checkpoint.dir": folder}, sparkContext=context)) == want
 
 
+def test_side_vectors_on_executors_without_the_package(tmp_path):
+    (tmp_path / "sent").write_bytes(cloudpickle.dumps((backbone.block_products, backbone.carry_along)))
+    code = """
+import pickle, sys
+import pandas as pd
+products, along = pickle.load(open(sys.argv[1], "rb"))
+rows = pd.DataFrame({"s": 1, "seq": [0, 1], "wx": [0.0, 1.0], "wy": 0.0, "wz": [1.0, 0.0], "hx": 1.0, "hy": 0.0, "hz": 0.0})
+print(*(len(pd.concat(f(iter([rows]), ["s"]))) for f in (products, along)), "atomweave" in sys.modules)
+"""
+    done = subprocess.run([sys.executable, "-c", code, str(tmp_path / "sent")], cwd=tmp_path, capture_output=True, text=True)
+    assert done.stdout.split() == ["1", "2", "False"], done.stderr
+
+
 def stepped(directions, start):
     """Side vectors without carbonyl, one after the other."""
     out, spare = [], []
