@@ -28,6 +28,7 @@ NH_LENGTH = 1.0
 PEPTIDE_MAX = 2.5
 
 BONDS_PER_TASK = 32768
+ACCEPTOR_CELLS = 4  # cells of a tile along an axis: an acceptor goes to 3.4 tiles, not to 8 as with two
 
 BACKBONE_ATOMS = {"n": "N", "ca": "CA", "c": "C", "o": "O"}
 
@@ -85,6 +86,9 @@ def hydrogen_bonds(backbone: DataFrame, keys: Sequence[str] = KEY, best_only: bo
     first.  A donor keeps two acceptors, ties going to the smaller ordinal, and may not use up to
     three neighbours, so the other copies can never be chosen: the result for :func:`best_two` is the
     same while a pile of copies is not paired row by row.
+
+    Both sides are shuffled whatever size the planner takes them for: it does not count the tiles an
+    acceptor is copied to, nor the rows that an explode below the backbone makes.
     """
     whole = backbone.where("complete")
     shared = [*keys, "residue_idx", "chain_idx", *v.flat("ca", "")]
@@ -95,7 +99,8 @@ def hydrogen_bonds(backbone: DataFrame, keys: Sequence[str] = KEY, best_only: bo
         rank = F.row_number().over(Window.partitionBy(*keys, *spot).orderBy("residue_idx"))
         acceptors = acceptors.withColumn("_rank", rank).where(F.col("_rank") <= 5).drop("_rank")
     apart = F.abs(F.col("residue_idx") - F.col("residue_idx_r")) >= 2
-    near = grid.candidates(donors, acceptors, keys, CA_CUTOFF, condition=(grid.distance2() <= CA_CUTOFF ** 2) & apart)
+    near = grid.candidates(donors, acceptors.hint("merge"), keys, CA_CUTOFF, per_tile=ACCEPTOR_CELLS,
+                           condition=(grid.distance2() <= CA_CUTOFF ** 2) & apart)
     n, h, c, o = v.columns("n"), v.columns("h"), v.columns("c", "_r"), v.columns("o", "_r")
     measured = near.select(*keys, F.col("residue_idx").alias("nh"), F.col("residue_idx_r").alias("co"),
                            (F.col("chain_idx") == F.col("chain_idx_r")).alias("same_chain"),

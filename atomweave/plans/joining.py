@@ -112,7 +112,7 @@ def backbone(spark: SparkSession, sf: str) -> DataFrame:
 @query("j3_hydrogen_bonds", f"SELECT structure_id, nh, co, same_chain, {q('energy', 4)} AS energy FROM hbonds",
        "backbone_atoms", extra=BACKBONE)
 def hydrogen_bonds(spark: SparkSession, sf: str) -> DataFrame:
-    found = secondary.hydrogen_bonds(secondary.estimate_amide_h(backbone(spark, sf)))
+    found = secondary.hydrogen_bonds(stage(secondary.estimate_amide_h(backbone(spark, sf)), "backbone"))
     return found.select("structure_id", "nh", "co", "same_chain", r("energy", 4).alias("energy"))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from atomweave import session
 from atomweave.functions import chemistry
 from atomweave.operators import backbone, binding, density, grid, measures, neighbours, scans, secondary
+from atomweave.plans import joining
 
 
 def states(spark, rows):
@@ -220,6 +221,15 @@ def test_shared_folder_of_a_cluster(folder, default, want):
     assert session.shared_folder(SimpleNamespace(conf={"spark.checkpoint.dir": folder}, sparkContext=context)) == want
 
 
+def test_hydrogen_bonds_are_not_broadcast_by_a_guess(spark, tmp_path):
+    orders = spark.range(400).selectExpr("id AS o_orderkey", "id AS o_custkey")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    found = joining.hydrogen_bonds(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert found.count() > 0
+
+
 def test_side_vectors_on_executors_without_the_package(tmp_path):
     (tmp_path / "sent").write_bytes(cloudpickle.dumps((backbone.block_products, backbone.carry_along)))
     code = """
