@@ -131,12 +131,14 @@ def with_breaks(lines: DataFrame, keys: Sequence[str] = KEY, model: int = 1) ->
 def headers(lines: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Identifier, title, method, resolution, prediction flag and model count of each file.
 
-    Only header records enter the aggregate.  Title parts are joined in line order.  A file without
-    header records has empty texts, no resolution and one model.
+    Lines are read once: all that are no header records become one row a file.  Title parts are joined in line
+    order.  A file without header records has empty texts, no resolution and one model.
     """
     rec = record()
     kinds = ("HEADER", "TITLE ", "EXPDTA", "REMARK", "MODEL ")
-    rows = lines.where(rec.isin(*kinds)).withColumn("_rec", rec)
+    head = rec.isin(*kinds)
+    rows = lines.select(*keys, *[F.when(head, c).alias(n) for n, c in
+                                 (("line_no", F.col("line_no")), ("line", F.col("line")), ("_rec", rec))]).distinct()
     at = F.col("line_no")
 
     def is_(kind: str) -> Column:
@@ -159,10 +161,7 @@ def headers(lines: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
         F.bool_or(is_("REMARK") & F.upper("line").contains("ALPHAFOLD")).alias("_remark"),
         F.greatest(F.lit(1), F.coalesce(F.max(F.when(is_("MODEL "), model)), F.lit(1))).alias("num_models"))
     predicted = F.coalesce(F.col("_remark") | F.upper("title").contains("ALPHAFOLD"), F.lit(False))
-    named = lines.select(*keys).distinct().join(found, list(keys), "left")
-    return (named.withColumn("is_prediction", predicted)
-            .withColumns({"title": F.coalesce("title", F.lit("")), "num_models": F.coalesce("num_models", F.lit(1))})
-            .drop("_remark"))
+    return found.withColumn("is_prediction", predicted).drop("_remark")
 
 
 def secondary_ranges(lines: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
