@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from itertools import chain
 
 import pyarrow as pa
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 KEY = ("file",)
 CATEGORIES = ("atom_site", "entry", "struct", "exptl", "refine", "struct_conf", "struct_sheet_range", "ma_qa_metric")
 
+METADATA_ITEMS = {"atom_site": ("pdbx_pdb_model_num",)}
+
 # Text items of an atom row.
 TEXT_ITEMS = ("group_pdb type_symbol label_atom_id auth_atom_id label_alt_id label_comp_id auth_comp_id label_asym_id "
               "auth_asym_id pdbx_pdb_ins_code").split()
@@ -54,35 +56,83 @@ def whole_words(line: str) -> list[tuple[str, bool]] | None:
     return found
 
 
-def tokens(text: str) -> Iterator[tuple[str, bool]]:
-    """Values in order, each with whether it was quoted.
+class Tokens:
+    """Values of a text in order, each with whether it was quoted.
 
     Lines without comments, text fields and quoted blanks, nearly all of a file, are split into words
     at once; the pattern only works through the others.
     """
-    at, size = 0, len(text)
-    while at < size:
-        end = text.find("\n", at)
-        end = size if end < 0 else end
-        line = text[at:end]
-        words, even = None, line.replace("\t", " ").replace("\r", " ")
+
+    def __init__(self, text: str):
+        self.text, self.at, self.held, self.next = text, 0, [], 0
+
+    def __iter__(self) -> Tokens:
+        return self
+
+    def __next__(self) -> tuple[str, bool]:
+        while self.next == len(self.held):
+            if self.at >= len(self.text):
+                raise StopIteration
+            self.held, self.next = self.line(), 0
+        self.next += 1
+        return self.held[self.next - 1]
+
+    def ahead(self) -> tuple[str, int]:
+        """The rest of the line that comes next, and where it ends."""
+        end = self.text.find("\n", self.at)
+        end = len(self.text) if end < 0 else end
+        return self.text[self.at:end], end
+
+    def line(self) -> list[tuple[str, bool]]:
+        line, end = self.ahead()
+        even = line.replace("\t", " ").replace("\r", " ")
         if line[:1] != ";" and even.isascii() and even.isprintable():
             if "'" not in line and '"' not in line and "#" not in line:
-                words = [(word, False) for word in even.split()]
+                found = [(word, False) for word in even.split()]
             else:
-                words = whole_words(even)
-        if words is not None:
-            yield from words
-            at = end + 1
-            continue
-        at, start = size, at
-        for match in TOKEN.finditer(text, start):
+                found = whole_words(even)
+            if found is not None:
+                self.at = end + 1
+                return found
+        start, self.at, found = self.at, len(self.text), []
+        for match in TOKEN.finditer(self.text, start):
             kind = match.lastgroup
             if kind is not None:
-                yield match.group(kind), kind != "word"
+                found.append((match.group(kind), kind != "word"))
             if match.end() >= end:
-                at = match.end()
+                self.at = match.end()
                 break
+        return found
+
+    def rows(self, width: int) -> Iterator[list[str]]:
+        """Values of the lines that come next, as long as each is ``width`` of them; without ``_`` none of them ends a loop."""
+        text, size = self.text, len(self.text)
+        while self.next == len(self.held) and self.at < size:
+            end = text.find("\n", self.at)
+            end = size if end < 0 else end
+            line = text[self.at:end]
+            if "\t" in line or "\r" in line:
+                line = line.replace("\t", " ").replace("\r", " ")
+            if "_" in line or line[:1] == ";" or not (line.isascii() and line.isprintable()):
+                return
+            words = line.split()
+            if len(words) != width:
+                return
+            if "'" in line or '"' in line or "#" in line:
+                for i, word in enumerate(words):
+                    first = word[0]
+                    if first == "'" or first == '"':
+                        if len(word) < 2 or word[-1] != first:
+                            return
+                        words[i] = word[1:-1]
+                    elif first == "#":
+                        return
+            self.at = end + 1
+            yield words
+
+
+def tokens(text: str) -> Iterator[tuple[str, bool]]:
+    return Tokens(text)
 
 
 SECTION_STARTS = frozenset("_lLsSdD")
@@ -101,8 +151,8 @@ def split_tag(tag: str) -> tuple[str, str]:
     return category, item
 
 
-def rows_of(text: str, wanted: Iterable[str] | None = None) -> Iterator[tuple[str, int, dict]]:
-    """``(category, row, {item: value})`` of one file.
+def rows_of(text: str, wanted: Iterable[str] | None = None, items: Mapping[str, Sequence[str]] | None = None) -> Iterator[tuple[str, int, dict]]:
+    """``(category, row, {item: value})`` of one file; of loops of a category in ``items`` only the items named there.
 
     A loop gives one row per complete set of values, an unfinished last row is left out; single
     values of a category together give its row 0.  Only the first atom_site loop counts.
@@ -110,7 +160,7 @@ def rows_of(text: str, wanted: Iterable[str] | None = None) -> Iterator[tuple[st
     keep = None if wanted is None else set(wanted)
     single: dict[str, dict] = {}
     next_row: dict[str, int] = {}
-    stream = tokens(text)
+    stream = Tokens(text)
     token = next(stream, None)
     while token is not None:
         value, quoted = token
@@ -125,6 +175,8 @@ def rows_of(text: str, wanted: Iterable[str] | None = None) -> Iterator[tuple[st
             used = bool(tags) and (keep is None or category in keep)
             used = used and not (category == "atom_site" and category in next_row)
             row, cells = next_row.get(category, 0), []
+            needed = [(i, n) for i, n in enumerate(names) if items is None or category not in items or n in items[category]]
+            every = len(needed) == len(names)
             for token in chain((token,), stream) if token is not None else ():
                 word, quoted = token
                 if not quoted and word[0] in SECTION_STARTS and ends_section(word, quoted):
@@ -132,8 +184,12 @@ def rows_of(text: str, wanted: Iterable[str] | None = None) -> Iterator[tuple[st
                 if used:
                     cells.append(word)
                     if len(cells) == len(names):
-                        yield category, row, dict(zip(names, cells))
-                        row, cells = row + 1, []
+                        yield category, row, dict(zip(names, cells)) if every else {n: cells[i] for i, n in needed}
+                        row += 1
+                        for cells in stream.rows(len(names)):
+                            yield category, row, dict(zip(names, cells)) if every else {n: cells[i] for i, n in needed}
+                            row += 1
+                        cells = []
             else:
                 token = None
             if used:
@@ -145,8 +201,8 @@ def rows_of(text: str, wanted: Iterable[str] | None = None) -> Iterator[tuple[st
             if token is not None and (keep is None or category in keep):
                 single.setdefault(category, {})[item] = token[0].strip()
         token = next(stream, None)
-    for category, items in single.items():
-        yield category, next_row.get(category, 0), items
+    for category, found in single.items():
+        yield category, next_row.get(category, 0), found
 
 
 def read_texts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -155,15 +211,17 @@ def read_texts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 
 def category_rows(texts: DataFrame, keys: Sequence[str] = KEY, text: str = "value",
-                  categories: Sequence[str] | None = None) -> DataFrame:
+                  categories: Sequence[str] | None = None, items: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Category rows of many files: keys, ``ordinal`` (order in the file), ``category``, ``row``, ``items``.
 
-    All categories, or only the named ones; ``CATEGORIES`` are those the functions here read.
+    All categories, or only the named ones; ``CATEGORIES`` are those the functions here read.  Of the loops of a
+    category in ``items`` only the items named there; ``METADATA_ITEMS`` are those :func:`metadata` reads.
     """
     names = list(keys)
     source = texts.select(*names, F.col(text).alias("_text"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema if f.name in names)
     wanted = None if categories is None else tuple(categories)
+    only = None if items is None else {category: tuple(kept) for category, kept in items.items()}
     items_type = pa.map_(pa.string(), pa.string())
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +251,7 @@ def category_rows(texts: DataFrame, keys: Sequence[str] = KEY, text: str = "valu
                         pa.array(values_flat, type=pa.string())).cast(items_type))
                     return pa.RecordBatch.from_arrays(data, names=[*names, "ordinal", "category", "row", "items"])
 
-                for category, row, items in rows_of(text_value, wanted):
+                for category, row, items in rows_of(text_value, wanted, only):
                     pending.append((ordinal, category, row, items))
                     ordinal += 1
                     if len(pending) >= BATCH_ROWS:

@@ -147,3 +147,15 @@ def test_header_of_a_file_without_header_records(spark):
     lines = lines_of(spark, "ATOM  \nEND", "bare").unionByName(lines_of(spark, "TITLE     ONE\nTITLE    2 TWO\nMODEL        3\nATOM  ", "full"))
     found = {r.file: (r.identifier, r.title, r.method, r.resolution, r.is_prediction, r.num_models) for r in pdb.headers(lines).collect()}
     assert found == {"bare": (None, "", None, None, False, 1), "full": (None, "ONE TWO", None, None, False, 3)}
+
+
+def test_lines_of_one_row_are_taken_whole():
+    text = "loop_\n_atom_site.id\n_atom_site.name\n1 a\n2 \"b'\"\n3\n'c d'\n4 #e\n_x\n5 f # g\n6 h\nloop_ _atom_site.id 9\n_m.x y"
+    want = [("1", "a"), ("2", "b'"), ("3", "c d")]
+    rows = list(cif.rows_of(text))
+    assert [(i["id"], i["name"]) for c, _, i in rows if c == "atom_site"] == want
+    only = list(cif.rows_of(text, items={"atom_site": ("name",)}))
+    assert [i for c, _, i in only if c == "atom_site"] == [{"name": name} for _, name in want]
+    stream = cif.Tokens("1 a\n2 \"b'\"\nx 3\n4\n5 6")
+    assert list(stream.rows(2)) == [["1", "a"], ["2", "b'"], ["x", "3"]] and next(stream) == ("4", False)
+    assert list(stream.rows(2)) == [["5", "6"]] and next(stream, None) is None
