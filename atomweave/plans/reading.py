@@ -164,7 +164,7 @@ def metadata_in_blocks(spark: SparkSession, sf: str) -> DataFrame:
       CAST(CASE WHEN n2 > 0 THEN 2 ELSE 1 END AS BIGINT) AS num_models FROM files""",
        "atoms", extra={"files": CIF_FILES.replace(" AND atom_idx % 97 <> 0", "")})
 def cif_metadata(spark: SparkSession, sf: str) -> DataFrame:
-    rows = cif.category_rows(fx.cif_texts(spark, sf), FILE, categories=cif.CATEGORIES)
+    rows = cif.category_rows(fx.cif_texts(spark, sf), FILE, categories=cif.CATEGORIES, items=cif.METADATA_ITEMS)
     return cif.metadata(rows, FILE).withColumn("num_models", F.col("num_models").cast("long"))
 
 
