@@ -8,7 +8,7 @@ bound is below the k-th score found so far: a task keeps the best lists of the q
 threshold is carried from run to run, and a chunk's list leaves the task once for all its runs.
 
 Queries and blocks meet by an equi-join on a salt: blocks are dealt over the salts, chunks of queries are
-copied to every salt.  A task streams pairs of a query chunk and a run of blocks; nothing is collected.
+copied to every salt.  A task streams pairs of a query chunk and a run of blocks; nothing is collected or broadcast.
 """
 
 from __future__ import annotations
@@ -188,7 +188,8 @@ def search(vectors: DataFrame, asked: Column, k: int) -> DataFrame:
     chunks = stage(pack(ready.where(asked), CHUNK), "query-chunks").select(
         "dim", F.col("part").alias("number"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q"),
         F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")).alias("_salt"))
-    pairs = chunks.join(runs, ["dim", "_salt"]).select("dim", "q_ids", "q", "ids", "vectors", "number")
+    # not broadcast by a guess: the planner takes the size of the chunks before their copies are made
+    pairs = chunks.hint("merge").join(runs, ["dim", "_salt"]).select("dim", "q_ids", "q", "ids", "vectors", "number")
     scored = pairs.mapInArrow(_score(k), "query_id long, vec_id long, score long")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return (scored.withColumn("rank", place).where(F.col("rank") <= k)
