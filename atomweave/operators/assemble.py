@@ -13,8 +13,9 @@ KEY = ("structure_id",)
 
 
 def number_runs(atoms: DataFrame, keys: Sequence[str] = KEY, ordinal: str = "line_no",
-                width: int = scans.BLOCK) -> DataFrame:
-    """Add dense ``atom_idx``, ``residue_idx`` and ``chain_idx`` by consecutive runs.
+                width: int = scans.BLOCK, mark_alone: bool = False) -> DataFrame:
+    """Add dense ``atom_idx``, ``residue_idx`` and ``chain_idx`` by consecutive runs, and with ``mark_alone`` whether an atom
+    ``is_alone`` in its residue.
 
     A chain is a run of equal ``chain_id`` without a forced ``break_before``; a residue is a run of
     equal sequence number, insertion code and name inside one chain run, so one id may give several
@@ -30,7 +31,11 @@ def number_runs(atoms: DataFrame, keys: Sequence[str] = KEY, ordinal: str = "lin
                 | (now["ins_code"] != before["ins_code"]) | (now["res_name"] != before["res_name"]))
 
     numbered = scans.runs(atoms, keys, ordinal, state,
-                          {"chain_idx": new_chain, "residue_idx": new_residue}, index="atom_idx", width=width)
+                          {"chain_idx": new_chain, "residue_idx": new_residue}, index="atom_idx",
+                          positions=["residue_idx"] if mark_alone else [], width=width)
+    if mark_alone:
+        numbered = numbered.withColumn("is_alone", (F.col("residue_idx_pos") == 0) & F.col("residue_idx_end")).drop(
+            "residue_idx_pos", "residue_idx_end")
     return numbered.withColumns({c: F.col(c).cast("int") for c in ("atom_idx", "residue_idx", "chain_idx")})
 
 

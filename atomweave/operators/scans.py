@@ -30,6 +30,13 @@ def tag(df: DataFrame, ordinal: str | Column, width: int = BLOCK) -> DataFrame:
     return df.withColumn("_blk", F.floor(value / F.lit(width)).cast("long"))
 
 
+def block_width(df: DataFrame, ordinal: str, blocks: int = 32) -> int:
+    """Width that cuts the range of ``ordinal`` into ``blocks`` at most: the rows of a key that are strewn over a wide range would else be
+    nearly as many blocks as rows.  Reads one column."""
+    low, high = df.agg(F.min(ordinal), F.max(ordinal)).first()
+    return BLOCK if low is None else max(BLOCK, -(-(high - low + 1) // blocks))
+
+
 def inside(keys: Sequence[str], order: Sequence) -> Window:
     """Window over one block."""
     return Window.partitionBy(*keys, "_blk").orderBy(*order)
@@ -56,8 +63,8 @@ def attach(df: DataFrame, keys: Sequence[str], summaries: DataFrame) -> DataFram
 
 
 def row_index(df: DataFrame, keys: Sequence[str], ordinal: str, order: Sequence, name: str,
-              total: str | None = None, width: int = BLOCK) -> DataFrame:
-    """Zero-based dense position of each row within its key, and optionally the key's row count."""
+              total: str | None = None, width: int = BLOCK, keep_block: bool = False) -> DataFrame:
+    """Zero-based dense position of each row within its key, and optionally the key's row count and the block ``_blk``."""
     tagged = tag(df, ordinal, width)
     counts = tagged.groupBy(*keys, "_blk").agg(F.count(F.lit(1)).alias("_n"))
     columns = [F.coalesce(F.sum("_n").over(earlier(keys)), F.lit(0)).alias("_base")]
@@ -67,7 +74,7 @@ def row_index(df: DataFrame, keys: Sequence[str], ordinal: str, order: Sequence,
     local = tagged.withColumn(name, F.row_number().over(inside(keys, order)) - 1)
     return (attach(local, keys, offsets)
             .withColumn(name, F.col("_base") + F.col(name))
-            .drop("_blk", "_base"))
+            .drop("_base", *([] if keep_block else ["_blk"])))
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], ordinal: str, sums: dict[str, Column],
@@ -116,10 +123,12 @@ def runs(df: DataFrame, keys: Sequence[str], ordinal: str, state: Column,
     dense row position ``index``, and for kinds in ``positions`` the row position inside the run
     (``<name>_pos``) and whether the row ends its run (``<name>_end``).  Runs are counted inside
     bounded blocks; whether a block opens with a new run is decided on the block summaries from the
-    last row of the block before it.
+    last row of the block before it.  A column ``_blk`` of ``df`` (:func:`row_index`, with ``ordinal`` as the index) is taken as
+    the blocks, so rows that lie by block already are not shuffled again.
     """
     order, upto_here = inside(keys, [ordinal]), upto(keys, [ordinal])
-    local = tag(df, ordinal, width).withColumn("_state", state).withColumns(
+    placed = df if "_blk" in df.columns else tag(df, ordinal, width)
+    local = placed.withColumn("_state", state).withColumns(
         {"_prev": F.lag("_state").over(order), "_row": F.row_number().over(order) - 1})
     inner = {name: F.col("_prev").isNotNull() & starts(F.col("_state"), F.col("_prev"))
              for name, starts in breaks.items()}
@@ -154,7 +163,7 @@ def runs(df: DataFrame, keys: Sequence[str], ordinal: str, state: Column,
         | {f"_run_{name}": F.max(f"_at_{name}").over(upto_here) for name in positions}
         | {f"_next_{name}": F.lead(f"_s_{name}").over(order) for name in positions})
     joined = attach(local, keys, bases)
-    result = [F.col(c) for c in df.columns if c not in breaks and c != index]
+    result = [F.col(c) for c in df.columns if c not in breaks and c not in (index, "_blk")]
     if index:
         result.append((F.col("_base") + F.col("_row")).alias(index))
     result += [(F.col(f"_b_{name}") + F.col(name)).alias(name) for name in breaks]
