@@ -222,8 +222,10 @@ EVENTS = {
 }
 
 
-def decided(spark: SparkSession, sf: str) -> DataFrame:
-    return stage(binding.decisions(contacts(spark, sf), P_BIND, P_UNBIND, DT), "decisions")
+def decided(spark: SparkSession, sf: str, *more: str) -> DataFrame:
+    """What would happen to each molecule at each tick; staged with the columns that are read."""
+    found = binding.decisions(contacts(spark, sf), P_BIND, P_UNBIND, DT)
+    return stage(found.select("structure_id", "mol_id", "tick", *more, "bind", "unbind"), "decisions")
 
 
 @query("f11_binding_episodes", "SELECT structure_id, mol_id, tick, bound FROM walk", "snapshots", extra=EVENTS)
@@ -439,8 +441,7 @@ def box_lengths(spark: SparkSession, sf: str) -> DataFrame:
 @query("s1_binding_stream", "SELECT structure_id, mol_id, tick, bound, bound_to FROM walk", "snapshots", extra=EVENTS)
 def binding_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Contact rows land in spans of later and later ticks; each span is processed when it has landed."""
-    rows = decided(spark, sf).select(
-        "structure_id", "mol_id", "tick", "partner_id", "bind", "unbind")
+    rows = decided(spark, sf, "partner_id")
     landed, target = fresh_path(spark, "contact-stream"), fresh_path(spark, "binding-states")
     checkpoint = fresh_path(spark, "binding-checkpoint")
     for low, high in ((None, 10), (10, 20), (20, None)):
