@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
+from . import tiles
 
 KEY = ("structure_id",)
 INFLUENCE = 2.5
 LEAST_VOXEL = 0.05
 COARSEN = 1.5
 ATOMS_PER_TASK = 16384
+#: Directions of lattice edges: axes, face diagonals and the body diagonal.
+FORWARD = [(1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 0), (1, 0, 1), (0, 1, 1), (1, 1, 1)]
+#: Blocks of voxels that are held at a time.
+HELD_BLOCKS = 64
 
 
 def contributing(atoms: DataFrame, inflation: float = 0.0, show_water: bool = False,
@@ -120,10 +129,9 @@ def iso_crossings(field: DataFrame, grid: DataFrame, iso: float = 0.5, keys: Seq
     """
     field = stage(field.join(grid, list(keys)).select(
         *keys, "density", *[f"{p}{a}" for a in "xyz" for p in "in"], *[f"origin_{a}" for a in "xyz"], "voxel"), "field")
-    forward = [(1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 0), (1, 0, 1), (0, 1, 1), (1, 1, 1)]
     steps = F.array(*[F.struct(F.lit(s * dx).alias("dx"), F.lit(s * dy).alias("dy"), F.lit(s * dz).alias("dz"),
                                F.lit(s > 0).alias("up"))
-                      for s in (1, -1) for dx, dy, dz in forward])
+                      for s in (1, -1) for dx, dy, dz in FORWARD])
     def within(step: Column) -> Column:
         there = F.lit(True)
         for a in "xyz":
@@ -151,3 +159,120 @@ def iso_crossings(field: DataFrame, grid: DataFrame, iso: float = 0.5, keys: Seq
     return out.select(
         *keys, *[start[a].alias(f"a{a}") for a in "xyz"], *[step[a].alias(f"d{a}") for a in "xyz"], "t",
         *[(F.col(f"origin_{a}") + F.col("voxel") * (start[a] + F.col("t") * step[a])).alias(a) for a in "xyz"])
+
+
+def crossings(atoms: DataFrame, grid: DataFrame, sharpness: float = -2.3, iso: float = 0.5, keys: Sequence[str] = KEY,
+              per_block: int = 24) -> DataFrame:
+    """The points of :func:`iso_crossings` of the field of ``atoms``, of which no voxel becomes a row.
+
+    A block of ``per_block`` voxels an axis has the edges that begin in it, and sums the voxels one step beyond its upper sides
+    as well, so an atom goes to every block it reaches or reaches the border of.  Sums are made row by row, so a task holds
+    the voxels of a few blocks, however many atoms they have.
+    """
+    if sharpness >= 0:
+        raise ValueError("sharpness has to be negative")
+    lattice = [*[f"origin_{a}" for a in "xyz"], *[f"n{a}" for a in "xyz"], "voxel", "reach"]
+    spread = atoms.select(*keys, "x", "y", "z", "r").where(tiles.finite()).join(grid.select(*keys, *lattice), list(keys))
+    low, high = {}, {}
+    for a in "xyz":
+        at = (F.col(a) - F.col(f"origin_{a}"))
+        low[a] = F.greatest(F.lit(0), F.ceil((at - F.col("reach")) / F.col("voxel"))).cast("int")
+        high[a] = F.least(F.col(f"n{a}") - 1, F.floor((at + F.col("reach")) / F.col("voxel"))).cast("int")
+        spread = spread.where(low[a] <= high[a])
+    first = {a: F.floor(F.greatest(F.lit(0), low[a] - 1) / per_block).cast("long") for a in "xyz"}
+    last = {a: F.floor(high[a] / per_block).cast("long") for a in "xyz"}
+    rows = tiles.together(tiles.spread(spread, first, first, last).drop("_copy"), keys)
+    named = [*keys, *tiles.TILES]
+    schema = ", ".join([*[f"{k} {atoms.schema[k].dataType.simpleString()}" for k in keys], *[f"{p}{a} int" for p in "ad" for a in "xyz"],
+                        *[f"{c} double" for c in ("t", "x", "y", "z")]])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_head, open_sums = None, None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            group = tiles.group_numbers(table, named)
+            starts = np.searchsorted(group, np.arange(group[-1] + 1 if len(group) else 0))
+            for begin in range(0, len(starts), HELD_BLOCKS):
+                heads = starts[begin:begin + HELD_BLOCKS]
+                stop = starts[begin + HELD_BLOCKS] if begin + HELD_BLOCKS < len(starts) else len(group)
+                part = table.slice(int(heads[0]), int(stop - heads[0])).combine_chunks()
+                sums = block_sums(part, group[heads[0]:stop] - group[heads[0]], len(heads), sharpness, per_block)
+                head = part.take(pa.array(heads - heads[0])).select([*named, *lattice])
+                if open_head is not None:
+                    if open_head.select(named).equals(head.slice(0, 1).select(named)):
+                        sums[0] += open_sums[0]
+                    else:
+                        yield from block_crossings(open_head, open_sums, keys, iso, per_block)
+                yield from block_crossings(head.slice(0, len(heads) - 1), sums[:-1], keys, iso, per_block)
+                open_head, open_sums = head.slice(len(heads) - 1).combine_chunks(), sums[-1:].copy()
+        if open_head is not None:
+            yield from block_crossings(open_head, open_sums, keys, iso, per_block)
+
+    return rows.mapInArrow(read, schema)
+
+
+def block_sums(table: pa.Table, block: np.ndarray, blocks: int, sharpness: float, per_block: int) -> np.ndarray:
+    """Density at the voxels of some blocks, and one step beyond their upper sides, from the atoms of ``table``."""
+    side = per_block + 1
+    sums = np.zeros(blocks * side ** 3)
+    low, size, base = [], [], []
+    reach, voxel, r = (tiles.numbers(table, c) for c in ("reach", "voxel", "r"))
+    at, origins = [tiles.numbers(table, a) for a in "xyz"], [tiles.numbers(table, f"origin_{a}") for a in "xyz"]
+    for a, x, origin in zip("xyz", at, origins, strict=True):
+        begin = tiles.numbers(table, f"_t{a}") * per_block
+        lowest = np.maximum(np.ceil((x - origin - reach) / voxel), begin).astype(np.int64)
+        highest = np.minimum(np.minimum(np.floor((x - origin + reach) / voxel), tiles.numbers(table, f"n{a}") - 1), begin + per_block).astype(np.int64)
+        low.append(lowest)
+        size.append(np.maximum(highest - lowest + 1, 0))
+        base.append(begin)
+    counts = size[0] * size[1] * size[2]
+    ends = np.cumsum(counts)
+    for begin in range(0, int(ends[-1]) if len(ends) else 0, tiles.PAIRS):
+        place = np.arange(begin, min(begin + tiles.PAIRS, int(ends[-1])))
+        row = np.searchsorted(ends, place, "right")
+        inner = place - (ends[row] - counts[row])
+        steps = (inner // (size[1] * size[2])[row], inner // size[2][row] % size[1][row], inner % size[2][row])
+        index = [low[k][row] + steps[k] for k in range(3)]
+        d2 = 0.0
+        for k in range(3):
+            delta = origins[k][row] + index[k] * voxel[row] - at[k][row]
+            d2 = d2 + delta * delta
+        near = np.flatnonzero(d2 <= (reach * reach)[row])
+        row, d2 = row[near], d2[near]
+        cell = block[row]
+        for k in range(3):
+            cell = cell * side + index[k][near] - base[k][row]
+        sums += np.bincount(cell, np.exp(sharpness * (d2 / (r[row] * r[row]) - 1.0)), minlength=len(sums))
+    return sums.reshape(blocks, side, side, side)
+
+
+def block_crossings(heads: pa.Table, sums: np.ndarray, keys: Sequence[str], iso: float, per_block: int) -> Iterator[pa.RecordBatch]:
+    """Crossings of the edges that begin in some blocks; ``heads`` has a row of each block."""
+    if not len(sums):
+        return
+    begin = [tiles.numbers(heads, t) * per_block for t in tiles.TILES]
+    ends = [tiles.numbers(heads, f"n{a}") for a in "xyz"]
+    origins, voxel = [tiles.numbers(heads, f"origin_{a}") for a in "xyz"], tiles.numbers(heads, "voxel")
+    inside, start = sums >= iso, sums[:, :-1, :-1, :-1]
+    for step in FORWARD:
+        window = tuple(slice(d, d + per_block) for d in step)
+        found = np.nonzero(inside[:, :-1, :-1, :-1] != inside[(slice(None), *window)])
+        own = found[0]
+        corner = [begin[k][own] + found[k + 1] for k in range(3)]
+        there = np.ones(len(own), bool)
+        for k in range(3):
+            there &= corner[k] + step[k] < ends[k][own]
+        own, corner, found = own[there], [c[there] for c in corner], tuple(f[there] for f in found)
+        if not len(own):
+            continue
+        low, high = start[found], sums[(slice(None), *window)][found]
+        span = high - low
+        wide = np.abs(span) > 1e-8
+        t = np.where(wide, np.clip((iso - low) / np.where(wide, span, 1.0), 0.0, 1.0), 0.5)
+        columns = [*[heads.column(k).combine_chunks().take(pa.array(own)) for k in keys], *[pa.array(c.astype(np.int32)) for c in corner],
+                   *[pa.array(np.full(len(own), d, np.int32)) for d in step], pa.array(t),
+                   *[pa.array(origins[k][own] + voxel[own] * (corner[k] + t * step[k])) for k in range(3)]]
+        yield pa.RecordBatch.from_arrays(columns, names=[*keys, *[f"{p}{a}" for p in "ad" for a in "xyz"], "t", "x", "y", "z"])
+
+
+register_pickle_by_value(sys.modules[__name__])

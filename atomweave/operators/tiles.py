@@ -48,25 +48,26 @@ def together(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     return points.repartition(*keys, *TILES).sortWithinPartitions(*keys, *TILES)
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], names: Sequence[str], rows: int = ROWS) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Rows of whole groups (of equal ``names``), with the number of each row's group; a null is a group of its own."""
-    held, size, enough = [], 0, rows
+def group_numbers(table: pa.Table, names: Sequence[str]) -> np.ndarray:
+    """Number of each row's group of equal ``names`` in sorted rows; a null is a group of its own."""
+    change = np.zeros(table.num_rows, bool)
+    for name in names:
+        column = table.column(name).combine_chunks()
+        differs = pc.fill_null(pc.not_equal(column.slice(1), column.slice(0, max(0, len(column) - 1))), True)
+        change[1:] |= differs.to_numpy(zero_copy_only=False)
+    return np.cumsum(change)
 
-    def numbered(table: pa.Table) -> np.ndarray:
-        change = np.zeros(table.num_rows, bool)
-        for name in names:
-            column = table.column(name).combine_chunks()
-            differs = pc.fill_null(pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)), True)
-            change[1:] |= differs.to_numpy(zero_copy_only=False)
-        return np.cumsum(change)
 
+def whole_groups(batches: Iterator[pa.RecordBatch], names: Sequence[str], rows: int = ROWS) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows of whole groups (of equal ``names``), with the number of each row's group."""
+    held, size, enough = [], 0, rows
     for batch in batches:
         held.append(batch)
         size += batch.num_rows
         if size < enough:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
-        group = numbered(table)
+        group = group_numbers(table, names)
         last = int(np.searchsorted(group, group[-1]))
         if last:
             yield table.slice(0, last).combine_chunks(), group[:last]
@@ -75,7 +76,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], names: Sequence[str], rows:
         enough = max(rows, 2 * size)
     if size:
         table = pa.Table.from_batches(held).combine_chunks()
-        yield table, numbered(table)
+        yield table, group_numbers(table, names)
 
 
 def numbers(table: pa.Table, name: str) -> np.ndarray:

@@ -464,9 +464,14 @@ FIELD = {
 }
 
 
+def field_atoms(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Atoms that add to the field, which need no order, and the lattice of each structure."""
+    atoms = density.contributing(chemistry.enrich(fx.unordered_atoms(spark, sf)))
+    return atoms, density.voxel_grid(atoms, VOXEL)
+
+
 def field(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    atoms = density.contributing(fx.enriched(spark, sf))
-    lattice = density.voxel_grid(atoms, VOXEL)
+    atoms, lattice = field_atoms(spark, sf)
     return density.density_field(atoms, lattice), lattice
 
 
@@ -505,8 +510,7 @@ def inside_volume(spark: SparkSession, sf: str) -> DataFrame:
           AND CASE WHEN up THEN i.ix + dx < nx AND i.iy + dy < ny AND i.iz + dz < nz
                    ELSE i.ix - dx >= 0 AND i.iy - dy >= 0 AND i.iz - dz >= 0 END"""})
 def iso_crossings(spark: SparkSession, sf: str) -> DataFrame:
-    voxels, lattice = field(spark, sf)
-    found = density.iso_crossings(voxels, lattice)
+    found = density.crossings(*field_atoms(spark, sf))
     return found.select("structure_id", "ax", "ay", "az", "dx", "dy", "dz", *rr(["t", "x", "y", "z"], 4))
 
 

@@ -95,3 +95,30 @@ def test_strewn_keys_are_few_blocks(spark):
     assert scans.tag(far, "o", width).select("_blk").distinct().count() <= 32
     got = scans.row_index(far, ["k"], "o", ["o"], "i", width=width).where("i * 10000000 <> o").count()
     assert got == 0
+
+
+def test_crossings_without_voxel_rows(spark):
+    """The field went out as a row a voxel, was written, read twice and looked up fourteen times a voxel; same points here, in small blocks."""
+    from atomweave.functions import chemistry
+    from atomweave.operators import density
+    rng = random.Random(4)
+    rows = [(1 + i % 3, i, *(rng.choice([rng.uniform(-6, 6), 2.5]) for _ in range(3)), rng.choice([6, 7, 8, 16]), False) for i in range(60)]
+    atoms = chemistry.with_elements(spark.createDataFrame(rows, "structure_id int, atom_idx int, x double, y double, z double, element int, is_water boolean"))
+    used = density.contributing(atoms)
+    lattice = density.voxel_grid(used, 0.9)
+    place = ["structure_id", "ax", "ay", "az", "dx", "dy", "dz"]
+    def points(df):
+        return {tuple(row[c] for c in place): tuple(row[c] for c in "txyz") for row in df.collect()}
+    by_rows = points(density.iso_crossings(density.density_field(used, lattice), lattice))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # blocks go over several batches
+    try:
+        for per_block in (3, 24):
+            got = density.crossings(used, lattice, per_block=per_block)
+            rows = got.collect()
+            assert len(rows) == len(by_rows)
+            found = points(got)
+            assert found.keys() == by_rows.keys()
+            assert all(found[k] == pytest.approx(by_rows[k], abs=1e-9) for k in found)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert exchanges(density.crossings(used, lattice)) <= 4
