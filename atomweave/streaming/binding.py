@@ -2,7 +2,8 @@
 
 The stream twin of :func:`atomweave.operators.binding.binding_states`: rows arrive in files of later
 and later ticks, the state per molecule (partner and last tick) lives in the state store, so a lost
-executor or a restart continues from the checkpoint.
+executor or a restart continues from the checkpoint.  The store has one entry for up to ``MOLECULES`` molecules of a
+structure, as an entry costs a round trip and its key in every batch.
 """
 
 from __future__ import annotations
@@ -17,13 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUTPUT = "structure_id bigint, mol_id bigint, tick bigint, bound boolean, bound_to bigint, late boolean"
-STATE = "bound_to bigint, last_tick bigint"
+STATE = "mol_id array<bigint>, bound_to array<bigint>, last_tick array<bigint>"
+#: Molecules whose state is one entry: those with equal ``mol_id div MOLECULES``.
+MOLECULES = 64
 NOBODY = -1
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class BindingProcessor(StatefulProcessor):
-    """Value state per molecule: whom it is bound to and the last tick seen.
+    """Value state per group of molecules: of each, whom it is bound to and the last tick seen.
 
     Rows of one batch are put in order.  A row that comes in a later batch than a row of a later tick
     cannot be decided any more: it is returned with ``late`` set and no state, so no row is lost.
@@ -33,21 +36,22 @@ class BindingProcessor(StatefulProcessor):
         self.state = handle.getValueState("binding", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        partner, last_tick = self.state.get() if self.state.exists() else (NOBODY, -1)
-        batch = pd.concat(list(rows)).sort_values("tick")
+        known = {mol: (partner, tick) for mol, partner, tick in zip(*self.state.get(), strict=True)} if self.state.exists() else {}
+        batch = pd.concat(list(rows)).sort_values("tick", kind="stable")
         out = []
-        for row in batch.itertuples(index=False):
-            if row.tick <= last_tick:
-                out.append((int(key[0]), int(key[1]), int(row.tick), None, None, True))
+        columns = [batch[c].tolist() for c in ("mol_id", "tick", "partner_id", "bind", "unbind")]
+        for mol, tick, met, bind, unbind in zip(*columns, strict=True):
+            partner, last_tick = known.get(mol, (NOBODY, -1))
+            if tick <= last_tick:
+                out.append((int(key[0]), mol, tick, None, None, True))
                 continue
             if partner != NOBODY:
-                partner = NOBODY if row.unbind else partner
-            elif row.bind:
-                partner = int(row.partner_id)
-            last_tick = int(row.tick)
-            out.append((int(key[0]), int(key[1]), last_tick, partner != NOBODY,
-                        partner if partner != NOBODY else None, False))
-        self.state.update((partner, last_tick))
+                partner = NOBODY if unbind else partner
+            elif bind:
+                partner = met
+            known[mol] = partner, tick
+            out.append((int(key[0]), mol, tick, partner != NOBODY, partner if partner != NOBODY else None, False))
+        self.state.update((list(known), [partner for partner, _ in known.values()], [tick for _, tick in known.values()]))
         frame = pd.DataFrame(out, columns=["structure_id", "mol_id", "tick", "bound", "bound_to", "late"])
         frame["bound"] = frame["bound"].astype("boolean")
         frame["bound_to"] = frame["bound_to"].astype("Int64")
@@ -62,7 +66,8 @@ def bind_stream(decisions: DataFrame) -> DataFrame:
     return (decisions
             .select("structure_id", "mol_id", "tick", F.coalesce("partner_id", F.lit(NOBODY)).alias("partner_id"),
                     "bind", "unbind")
-            .groupBy("structure_id", "mol_id")
+            .withColumn("_some", F.floor(F.col("mol_id") / MOLECULES))
+            .groupBy("structure_id", "_some")
             .transformWithStateInPandas(statefulProcessor=BindingProcessor(), outputStructType=OUTPUT,
                                         outputMode="append", timeMode="none"))
 

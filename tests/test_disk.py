@@ -122,3 +122,19 @@ def test_crossings_without_voxel_rows(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert exchanges(density.crossings(used, lattice)) <= 4
+
+
+def test_stream_state_of_many_molecules_is_one_entry(spark, tmp_path):
+    """The state store had an entry for each molecule, and a round trip for each in every batch."""
+    from atomweave.streaming import binding as stream
+    landed, target, checkpoint = (str(tmp_path / n) for n in ("landed", "target", "checkpoint"))
+    schema = "structure_id bigint, mol_id bigint, tick bigint, partner_id bigint, bind boolean, unbind boolean"
+    for ticks in ((0, 1), (2, 3)):
+        rows = [(1, m, t, m + 100, t == m % 4, t == 3) for m in range(150) for t in ticks]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(landed)
+        stream.run_available(spark, landed, schema, target, checkpoint)
+    got = {(r.mol_id, r.tick): (r.bound, r.bound_to) for r in spark.read.schema(stream.OUTPUT).parquet(target).collect()}
+    assert got == {(m, t): ((True, m + 100) if m % 4 <= t < 3 or (m % 4 == 3 and t == 3) else (False, None))
+                   for m in range(150) for t in range(4)}
+    state = spark.read.format("statestore").option("stateVarName", "binding").load(checkpoint)
+    assert state.count() == 3
