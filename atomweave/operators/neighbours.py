@@ -222,24 +222,24 @@ def nearest_attribute(points: DataFrame, atoms: DataFrame, attribute: str, cell_
 
     Neighbour cells are searched first.  Points without any atom there are searched again with cells of
     twice the size, and so on; a find counts once its ring of original cells was covered in full.  Only
-    points of keys without any atom keep a null attribute.
+    points of keys without any atom, or without finite coordinates, keep a null attribute.
+
+    Points are copied to the tiles beside their own, places of atoms go to one; these are made once, for keys that have points.
     """
-    sources = (atoms.groupBy(*keys, "x", "y", "z")
-               .agg(F.min(F.struct("atom_idx", attribute)).alias("_a"))
-               .select(*keys, "x", "y", "z", F.col("_a.atom_idx").alias("atom_idx"),
-                       F.col(f"_a.{attribute}").alias(attribute)))
     identity = [*keys, point_id]
-    slim = points.select(*identity, "x", "y", "z")
+    slim = stage(points.select(*identity, "x", "y", "z").where(tiles.finite()), "slim-points")
+    places = (atoms.select(*keys, "x", "y", "z", "atom_idx", attribute).join(slim.select(*keys).distinct(), list(keys), "left_semi")
+              .groupBy(*keys, "x", "y", "z").agg(F.min(F.struct("atom_idx", attribute)).alias("_a")))
+    sources = stage(places.select(*keys, "x", "y", "z", F.col("_a.atom_idx").alias("atom_idx"),
+                                  F.col(f"_a.{attribute}").alias(attribute)), "attribute-places")
     steps = [F.abs(F.floor(F.col(a) / cell_size) - F.floor(F.col(f"{a}_r") / cell_size)) for a in "xyz"]
 
     def best(wanted: DataFrame, times: int) -> DataFrame:
         """Best atom among cells ``times`` as large; all rings below ``times`` are covered."""
         ring = F.greatest(F.lit(1), *steps)
-        return (grid.candidates(wanted, sources, keys, cell_size * times).where(ring <= max(1, times - 1))
-                .groupBy(*identity)
-                .agg(F.min(F.struct(ring.alias("ring"), F.col("d2").alias("d2"),
-                                    F.col("atom_idx_r").alias("atom_idx"),
-                                    F.col(f"{attribute}_r").alias(attribute))).alias("_best"))
+        return (grid.candidates(sources, wanted, keys, cell_size * times).where(ring <= max(1, times - 1))
+                .groupBy(*keys, F.col(f"{point_id}_r").alias(point_id))
+                .agg(F.min(F.struct(ring.alias("ring"), "d2", "atom_idx", attribute)).alias("_best"))
                 .select(*identity, F.col("_best.d2").alias("d2"), F.col("_best.atom_idx").alias("atom_idx"),
                         F.col(f"_best.{attribute}").alias(attribute)))
 

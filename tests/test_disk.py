@@ -138,3 +138,18 @@ def test_stream_state_of_many_molecules_is_one_entry(spark, tmp_path):
                    for m in range(150) for t in range(4)}
     state = spark.read.format("statestore").option("stateVarName", "binding").load(checkpoint)
     assert state.count() == 3
+
+
+def test_nearest_attribute_copies_points_not_atoms(spark, monkeypatch):
+    """Every place of an atom went to eight tiles, and all atoms were made again for every search of farther cells."""
+    made = []
+    plain = neighbours.grid.candidates
+    monkeypatch.setattr(neighbours.grid, "candidates", lambda left, right, *more, **named: made.append((left.count(), right.count())) or plain(
+        left, right, *more, **named))
+    atoms = spark.createDataFrame([(1 + i % 4, i, float(i % 30), 0.0, 0.0, i % 7) for i in range(400)],
+                                  "structure_id int, atom_idx int, x double, y double, z double, element int")
+    points = spark.createDataFrame([(1, 1, 5.0, 1.0, 0.0), (1, 2, 90.0, 0.0, 0.0), (9, 3, 0.0, 0.0, 0.0), (1, 4, float("nan"), 0.0, 0.0)],
+                                   "structure_id int, point_id int, x double, y double, z double")
+    got = {r.point_id: r.atom_idx for r in neighbours.nearest_attribute(points, atoms, "element", 4.0).collect()}
+    assert got[1] == 4 and got[2] is not None and got[3] is None and got[4] is None
+    assert len(made) > 1 and all(left == 15 for left, _ in made)  # the places of the structure with points, on the side without copies
