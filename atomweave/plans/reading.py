@@ -131,10 +131,10 @@ def cif_atom_site(spark: SparkSession, sf: str) -> DataFrame:
                         "x", "y", "z", r("occupancy", 2).alias("occupancy"), "b_factor", "element")
 
 
-def read_in_blocks(spark: SparkSession, sf: str, categories: list[str]) -> DataFrame:
+def read_in_blocks(spark: SparkSession, sf: str, categories: list[str], items: dict[str, tuple] | None = None) -> DataFrame:
     """Category rows of one file a structure, each lexed by as many tasks as it has blocks."""
     blocks = stage(fx.cif_blocks(spark, sf), "cif-blocks").withColumnRenamed("structure_id", "file")
-    return cif_blocks.category_rows(blocks, FILE, categories)
+    return cif_blocks.category_rows(blocks, FILE, categories, items)
 
 
 @query("a7_atom_site_in_blocks", f"""
@@ -153,7 +153,7 @@ def atom_site_in_blocks(spark: SparkSession, sf: str) -> DataFrame:
       'X-RAY DIFFRACTION' AS method, CAST((structure_id % 30) || '.5' AS DOUBLE) AS resolution, TRUE AS is_prediction,
       CAST(2 AS BIGINT) AS num_models FROM atoms GROUP BY structure_id""", "atoms")
 def metadata_in_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    found = cif.metadata(read_in_blocks(spark, sf, list(cif.CATEGORIES)), FILE)
+    found = cif.metadata(read_in_blocks(spark, sf, list(cif.CATEGORIES), cif.METADATA_ITEMS), FILE)
     return found.withColumns({"file": F.col("file").cast("long"), "num_models": F.col("num_models").cast("long")})
 
 

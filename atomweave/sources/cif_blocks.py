@@ -21,11 +21,11 @@ import re
 import sys
 from array import array
 from bisect import bisect_left
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.cloudpickle import register_pickle_by_value
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
@@ -144,6 +144,8 @@ class Trace:
         self.state = lexer.state
 
     def _add(self, line: list, count: int) -> int:
+        if line and isinstance(line[0], str):
+            return count + len(line)
         for run in line_runs(line):
             if isinstance(run, int):
                 count += run
@@ -300,8 +302,8 @@ START = {"lexer": "plain", "state": [IDLE], "rows": {}, "total": 0, "value": Non
 class Reader:
     """Rows of one block from its entry state, as pieces (see :data:`PIECES`)."""
 
-    def __init__(self, text: str, block: int, entry: dict, wanted: frozenset | None):
-        self.text, self.block, self.wanted = text + entry["tail"], block, wanted
+    def __init__(self, text: str, block: int, entry: dict, wanted: frozenset | None, items: Mapping[str, Sequence[str]] | None = None):
+        self.text, self.block, self.wanted, self.items = text + entry["tail"], block, wanted, items or {}
         self.rows, self.total = dict(entry["rows"]), entry["total"]
         self.entry, self.place, self.loops = entry, 0, entry["loops"]
         self.tags: list[tuple[str, str]] = []
@@ -316,14 +318,26 @@ class Reader:
         self.used = bool(self.tags) and self.keeps(category) and not (category == "atom_site" and category in self.rows)
         self.names = [item for _, item in self.tags]
         self.cells, self.first_row = cells, self.rows.get(category, 0)
+        kept = self.items.get(category)
+        self.needed = [(i, n) for i, n in enumerate(self.names) if kept is None or n in kept]
         self.border = bool(self.tags) and cells % len(self.tags) > 0
 
+    def whole_row(self, line: list) -> Sequence[str] | None:
+        """The values of a line that is one row, no part of which lies in another line or block."""
+        if not self.used or self.pending or len(line) != len(self.names) or self.cells % len(line):
+            return None
+        if isinstance(line[0], str):
+            return line
+        if any(not quoted and cif.ends_section(token, quoted) for token, quoted in line):
+            return None
+        return [token for token, _ in line]
+
     def row_piece(self) -> tuple:
         width, category = len(self.names), self.tags[0][0]
         number = (self.cells - 1) // width
         ordinal, row = self.total + number, self.first_row + number
         if len(self.pending) == width and not self.border:
-            return ("row", ordinal, category, row, dict(zip(self.names, (v for _, v in self.pending), strict=True)), None, None, None, None, None, None, None)
+            return ("row", ordinal, category, row, {n: self.pending[i][1] for i, n in self.needed}, None, None, None, None, None, None, None)
         cells = [{"at": at, "block": self.block, "item": self.names[at], "value": value} for at, value in self.pending]
         return ("cells", ordinal, category, row, None, width, cells, None, None, self.loops, None, None)
 
@@ -367,6 +381,12 @@ class Reader:
         if lexer.carried is not None:
             yield from self.carried(lexer)
         for line in lexer.lines():
+            if kind == BODY and line and not self.border and lexer.state == "plain" and (values := self.whole_row(line)) is not None:
+                number = self.cells // len(line)
+                self.cells += len(line)
+                yield ("row", self.total + number, self.tags[0][0], self.first_row + number, {n: values[i] for i, n in self.needed},
+                       None, None, None, None, None, None, None)
+                continue
             if kind == BODY and line and isinstance(line[0], str) and self.used:
                 for token in line:
                     self.pending.append((self.cells % len(self.names), token))
@@ -448,12 +468,16 @@ def entry_states(maps: DataFrame, keys: Sequence[str], wanted: frozenset | None)
         first = [table.column(k).combine_chunks().take(pa.array([0] * len(states))) for k in keys]
         return pa.Table.from_arrays([*first, pa.array(table.column("block").to_pylist() + [None], pa.int64()), pa.array(states)],
                                     names=[*keys, "block", "state"])
-    return maps.groupBy(*keys).applyInArrow(walk, _fields(maps, [*keys, "block"]) + ", state string")
+    # a map is a short row, so adaptive execution would walk the states of most files in one task
+    tasks = int(maps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return maps.repartition(tasks, *keys).groupBy(*keys).applyInArrow(walk, _fields(maps, [*keys, "block"]) + ", state string")
 
 
-def category_rows(blocks: DataFrame, keys: Sequence[str] = cif.KEY, categories: Sequence[str] | None = None) -> DataFrame:
+def category_rows(blocks: DataFrame, keys: Sequence[str] = cif.KEY, categories: Sequence[str] | None = None,
+                  items: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Rows of ``blocks`` (keys, ``block``, ``text``): keys, ``ordinal``, ``category``, ``row``, ``items``, as
-    :func:`atomweave.sources.cif.category_rows` gives them for the whole files.
+    :func:`atomweave.sources.cif.category_rows` gives them for the whole files; of the loops of a category in ``items`` only
+    the items named there.  The states of the blocks, which are read twice, are staged.
 
     The texts of a file, joined by line breaks in the order of ``block``, are the file, but for the line break at its
     end where the file's ``size`` in bytes, a column that may be missing, tells that there is one.  A block holds whole
@@ -465,7 +489,8 @@ def category_rows(blocks: DataFrame, keys: Sequence[str] = cif.KEY, categories:
     # a line break stands before every block, so that all that begins a line is seen where it stands; the first is white space
     source = blocks.where("text IS NOT NULL").select(*keys, F.col("block").cast("long").alias("block"), size.alias("size"),
                                                      F.concat(F.lit("\n"), "text").alias("text"))
-    states = entry_states(state_maps(source, keys, wanted), keys, wanted)
+    only = None if items is None else {category: frozenset(kept) for category, kept in items.items()}
+    states = stage(entry_states(state_maps(source, keys, wanted), keys, wanted), "cif-states")
     started = source.join(states, [*keys, "block"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -484,7 +509,7 @@ def category_rows(blocks: DataFrame, keys: Sequence[str] = cif.KEY, categories:
             for i in range(batch.num_rows):
                 block, text, state = (batch.column(len(keys) + k)[i].as_py() for k in range(3))
                 held = []
-                for piece in Reader(text, block, json.loads(state), wanted).pieces():
+                for piece in Reader(text, block, json.loads(state), wanted, only).pieces():
                     held.append(piece)
                     if len(held) >= cif.BATCH_ROWS:
                         yield packed(batch, i, held)
@@ -493,10 +518,14 @@ def category_rows(blocks: DataFrame, keys: Sequence[str] = cif.KEY, categories:
                     yield packed(batch, i, held)
 
     pieces = started.select(*keys, "block", "text", "state").mapInArrow(read, _fields(source, keys) + ", " + PIECES)
-    return _assembled(pieces, states, keys)
+    return _assembled(pieces, states, keys, only or {})
+
+
+def _is_one_of(kept: frozenset) -> Callable[[Column, Column], Column]:
+    return lambda name, _: name.isin(*kept)
 
 
-def _assembled(pieces: DataFrame, states: DataFrame, keys: list[str]) -> DataFrame:
+def _assembled(pieces: DataFrame, states: DataFrame, keys: list[str], only: Mapping[str, frozenset]) -> DataFrame:
     """Whole rows, rows put together from cells of several blocks, and one row of the single values of each category."""
     pieces = stage(pieces, "cif-pieces")
     whole = pieces.where("kind = 'row'").select(*keys, "ordinal", "category", "row", "items")
@@ -512,6 +541,9 @@ def _assembled(pieces: DataFrame, states: DataFrame, keys: list[str]) -> DataFra
                          lambda kv: ~F.exists(F.slice(values, kv["i"] + 2, F.lit(LAST)), lambda later: later["key"] == kv["key"]))
     glued = complete.select(*keys, "ordinal", "category", "row", F.map_from_entries(
         F.transform(last_wins, lambda kv: F.struct(kv["key"], kv["value"]))).alias("items"))
+    for category, kept in only.items():
+        glued = glued.withColumn("items", F.when(F.col("category") != category, F.col("items")).otherwise(
+            F.map_filter("items", _is_one_of(kept))))
 
     singles = pieces.where("kind = 'single'")
     closed = singles.where("part IS NULL").select(*keys, "category", "item", "at_block", "at", "value")

@@ -153,3 +153,20 @@ def test_nearest_attribute_copies_points_not_atoms(spark, monkeypatch):
     got = {r.point_id: r.atom_idx for r in neighbours.nearest_attribute(points, atoms, "element", 4.0).collect()}
     assert got[1] == 4 and got[2] is not None and got[3] is None and got[4] is None
     assert len(made) > 1 and all(left == 15 for left, _ in made)  # the places of the structure with points, on the side without copies
+
+
+def test_blocks_give_only_the_items_asked_for(spark):
+    """Every value of every atom left the lexer for the model numbers; rows cut by blocks and quoted values included."""
+    from atomweave.sources import cif, cif_blocks
+    lines = ["data_X", "_entry.id E", "loop_", "_atom_site.id", "_atom_site.name", "_atom_site.pdbx_PDB_model_num"]
+    lines += [f"{i} {name} {1 + i % 2}" for i, name in enumerate(["CA", "\"C A\"", "'loop_'", "N"] * 5)] + ["20 \"O", "5\"", "2", "21 ", "C 1", "#", "_exptl.method 'X RAY'"]
+    text = "\n".join(lines)
+    items = {"atom_site": ("pdbx_pdb_model_num",)}
+    place = ["file", "ordinal", "category", "row", "items"]
+    def rows(df):
+        return sorted((r.file, r.ordinal, r.category, r.row, tuple(sorted(r["items"].items()))) for r in df.select(*place).collect())
+    whole = spark.createDataFrame([(1, text)], "file int, value string")
+    for size in (1, 3, 100):
+        blocks = spark.createDataFrame([(1, i, "\n".join(lines[i:i + size])) for i in range(0, len(lines), size)], "file int, block long, text string")
+        for only in (None, items):
+            assert rows(cif_blocks.category_rows(blocks, items=only)) == rows(cif.category_rows(whole, items=only))
